@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, packing, quality, sharding, topk
+from . import chat, jaccard, katz, line_dedup, packing, quality, sharding, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op5_minimax_sharding": sharding.op5_minimax_sharding,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_katz_scoring": katz.op9_katz_scoring,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
