@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, katz, line_dedup, packing, quality, sharding, topk
+from . import chat, jaccard, katz, licences, line_dedup, packing, pieces, quality, sharding, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_licence_scans": licences.op2_licence_scans,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op4_piece_encoding": pieces.op4_piece_encoding,
     "op5_minimax_sharding": sharding.op5_minimax_sharding,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
