@@ -11,11 +11,12 @@ order that both sets share: parts with more rare features first, empty parts las
 pair shares a signature, whatever the texts.
 
 Equal sets are one member from the start, and blocks of documents hand out each signature once, so
-groups of copies cost nothing further on. Groups of members that share a signature become cells of
-bounded size: small groups whole, large ones as a few pivots against chunks. A sketch (counts of
-features by bin, which bounds the intersection from above) discards most cells, whole texts confirm
-the rest. Large groups that end up in several components are then compared across components, block
-by block. No pair is capped, dropped or sampled, and no group is expanded into all pairs.
+groups of copies cost nothing further on. Members that share a signature are compared: all pairs of a
+small group, a few pivots against the rest of a large one. A sketch (a bitmap of bins, which bounds
+the intersection from above) discards most pairs, whole texts confirm the rest, in cells of bounded
+size. Large groups that still lie in several components meet further pivots, and at last are compared
+across components, block by block. No link is capped, dropped or sampled away, and pairs within a
+component are not expanded.
 
 Edge cases: null texts and texts without words have empty sets, n_shingles 0, and link with nothing;
 texts of fewer than `words` words have one shingle; repeated rows of one doc_id are one document; a
@@ -34,8 +35,10 @@ WORDS = 5
 PERCENT = 75
 #: Words that a block of documents gathers before it hands out its signatures.
 BLOCK_WORDS = 1_500_000
-#: Groups up to SMALL members are compared whole; larger ones as PIVOTS against chunks of CHUNK members.
-SMALL, PIVOTS, CHUNK = 8, 4, 64
+#: Groups up to SMALL members are compared whole; larger ones as PIVOTS against the rest. A cell has about CHUNK members.
+SMALL, PIVOTS, CHUNK = 8, 3, 64
+#: Turns of new pivots for large groups before their remaining members are compared throughout.
+TURNS = 2
 #: Features in so many sets of a block count as common when signatures are ordered; any number is correct.
 COMMON = 16
 
@@ -127,22 +130,21 @@ def signatures(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.
     return np.concatenate(out)
 
 
-def sketch(s: np.ndarray, band: int) -> bytes:
-    """Counts of the features by bin, about two to four a bin; empty if a count is beyond a byte."""
-    counts = np.bincount((mix(s + _U(77)) & _U((1 << max(band - 1, 0)) - 1)).astype(np.int64), minlength=1 << max(band - 1, 0))
-    return b"" if counts.max(initial=0) > 255 else counts.astype(np.uint8).tobytes()
+def sketch(s: np.ndarray, band: int) -> np.ndarray:
+    """A bitmap of the features' bins, eight to sixteen bins a feature."""
+    bits = np.zeros(16 << band, np.uint8)
+    bits[(mix(s + _U(77)) & _U((16 << band) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits)
 
 
 def may_link(a: dict, b: dict, percent: int = PERCENT) -> bool:
-    """False only if sizes or sketches rule the link out."""
+    """False only if sizes or sketches rule the link out: the intersection is at most the bins in common and the features beside a bin's first."""
     na, nb = a["n"], b["n"]
     if 100 * min(na, nb) < percent * max(na, nb):
         return False
     band = max(na, nb).bit_length() - 1
-    x, y = a["sketch"].get(band), b["sketch"].get(band)
-    if not x or not y:
-        return True
-    most = int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+    (x, ox), (y, oy) = a["sketch"][band], b["sketch"][band]
+    most = int(np.bitwise_count(x & y).sum(dtype=np.int64)) + min(na - ox, nb - oy)
     return (100 + percent) * most >= percent * (na + nb)
 
 
@@ -225,7 +227,7 @@ def signed(docs: DataFrame, slices: int, words: int = WORDS, percent: int = PERC
                     rows.append((-1, doc, 0, None, None, None, None))
                 else:
                     key = set_key(s)
-                    drawn = b"".join(bytes([c]) + len(x).to_bytes(4, "little") + x for c, _, _ in bands(len(s), percent) for x in [sketch(s, c)])
+                    drawn = b"".join(bytes([c]) + len(x).to_bytes(4, "little") + x for c, _, _ in bands(len(s), percent) for x in [packer.compress(sketch(s, c).tobytes())])
                     rows.append((-1, doc, len(s), signed64(key[0]), signed64(key[1]), drawn, None))
                     if doc is not None:
                         old = sets.get(key)
@@ -245,12 +247,12 @@ def signed(docs: DataFrame, slices: int, words: int = WORDS, percent: int = PERC
     return docs.mapInArrow(run, _SIGNED)
 
 
-# ---------------------------------------------------------------- stage 2: groups to cells
-_CELLS = "kind int, cell long, n_a int, ids array<long>"
+# ---------------------------------------------------------------- stage 2: groups to pairs
+_PAIRS = "kind int, a long, b long"
 
 
-def cells_of(signed_rows: DataFrame) -> DataFrame:
-    """kind 0: cells, ids[:n_a] against all ids. kind 1: members of large groups, in pieces."""
+def pairs_of(signed_rows: DataFrame) -> DataFrame:
+    """kind 0: pairs to compare, all of small groups, pivots against the rest of large ones. kind 1: large groups (a) and their members (b)."""
 
     def run(table):
         import pyarrow as pa
@@ -281,37 +283,30 @@ def cells_of(signed_rows: DataFrame) -> DataFrame:
         s, m, z = s[keep], m[keep], z[keep]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         count = np.diff(np.r_[first, len(s)])
-        cells: dict[tuple, int] = {}
-        groups: dict[int, tuple] = {}
-        for a, n in zip(first[count > 1].tolist(), count[count > 1].tolist()):
-            g, gz = m[a : a + n], z[a : a + n]
-            if n <= SMALL:
-                by = np.sort(gz)
-                if (100 * by[:-1] >= PERCENT * by[1:]).any():
-                    cells[tuple(g.tolist())] = n
-                continue
-            rank = np.argsort(mix(g.astype(np.uint64)), kind="stable")
-            g = g[rank]
-            key = int(mix(g.astype(np.uint64)).sum(dtype=np.uint64) >> _U(1))
-            if key in groups:
-                continue
-            groups[key] = tuple(g.tolist())
-            pivots = g[:PIVOTS].tolist()
-            rest = np.sort(g[PIVOTS:]).tolist()
-            for i in range(0, len(rest), CHUNK):
-                cells[(*pivots, *rest[i : i + CHUNK])] = len(pivots)
-        rows = []
-        for got, n_a in cells.items():
-            key = int(mix(np.array(got, np.int64).astype(np.uint64) + np.arange(1, len(got) + 1, dtype=np.uint64) * _M1).sum(dtype=np.uint64) >> _U(1))
-            rows.append((0, key, n_a, got))
-        for key, got in groups.items():
-            rows += [(1, key, i, got[i : i + 1024]) for i in range(0, len(got), 1024)]
-        cols = list(zip(*rows)) or [[], [], [], []]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "cell", "n_a", "ids"])
+        pairs: set[tuple[int, int]] = set()
+        groups: dict[int, list[int]] = {}
+        for start, n in zip(first[count > 1].tolist(), count[count > 1].tolist()):
+            rank = np.argsort(mix(m[start : start + n].astype(np.uint64)), kind="stable")
+            g, gz = m[start : start + n][rank].tolist(), z[start : start + n][rank].tolist()
+            if n > SMALL:
+                key = int(mix(m[start : start + n].astype(np.uint64)).sum(dtype=np.uint64) >> _U(1))
+                if key in groups:
+                    continue
+                groups[key] = g
+            for i in range(n if n <= SMALL else PIVOTS):
+                for j in range(i + 1, n):
+                    if 100 * min(gz[i], gz[j]) >= PERCENT * max(gz[i], gz[j]):
+                        pairs.add((g[i], g[j]))
+        a_, b_ = [p[0] for p in pairs], [p[1] for p in pairs]
+        kind = [0] * len(pairs)
+        for key, g in groups.items():
+            kind += [1] * len(g)
+            a_ += [key] * len(g)
+            b_ += g
+        return pa.table([pa.array(kind, pa.int32()), pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["kind", "a", "b"])
 
     blobs = signed_rows.where("slice >= 0").select("slice", "blob")
-    return blobs.groupBy("slice").applyInArrow(run, _CELLS).dropDuplicates(["kind", "cell", "n_a"])
+    return blobs.groupBy("slice").applyInArrow(run, _PAIRS).distinct()
 
 
 # ---------------------------------------------------------------- stage 3: cells to links
@@ -336,51 +331,64 @@ def _streamed(batches, names, finish):
         yield from finish(rows)
 
 
+def starred(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, comp_a, comp_b) as cells: a against up to about CHUNK of its partners."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
+    celled = pairs.join(many, "a").withColumn("cell", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_n"))))
+    heads = celled.select("cell", F.lit(0).alias("pos"), F.lit(True).alias("side_a"), F.col("a").alias("doc_id"), F.col("comp_a").alias("comp")).distinct()
+    return heads.unionByName(celled.select("cell", F.lit(1).alias("pos"), F.lit(False).alias("side_a"), F.col("b").alias("doc_id"), F.col("comp_b").alias("comp")))
+
+
+def _near(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of documents that may be among the members: a filter of at most 2**18 hash buckets, sent to all."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18)).cast("int")
+    wanted = members.select(bucket.alias("_b")).distinct()
+    return rows.withColumn("_b", bucket).join(F.broadcast(wanted), "_b", "left_semi").drop("_b")
+
+
 def sifted(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Members of cells that a sketch doesn't rule out. members: cell, pos, side_a, doc_id, comp."""
-    joined = _by_cell(members.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id").select("cell", "pos", "side_a", "doc_id", "comp", "n_shingles", "sketch"))
+    """Pairs (a, b, comp_a, comp_b) of cells that a sketch doesn't rule out. members: cell, pos, side_a, doc_id, comp."""
+    joined = _by_cell(members.join(_near(members, sets.select("doc_id", "n_shingles", "sketch")), "doc_id").select("cell", "pos", "side_a", "doc_id", "comp", "n_shingles", "sketch"))
     names = joined.columns
 
-    def opened(blob):
-        out, at = {}, 0
-        while at < len(blob):
-            n = int.from_bytes(blob[at + 1 : at + 5], "little")
-            out[blob[at]] = blob[at + 5 : at + 5 + n]
-            at += 5 + n
-        return out
-
     def run(batches):
         import pyarrow as pa
+        import zstandard
+
+        opener = zstandard.ZstdDecompressor()
+
+        def opened(blob):
+            out, at = {}, 0
+            while at < len(blob):
+                n = int.from_bytes(blob[at + 1 : at + 5], "little")
+                bits = np.frombuffer(opener.decompress(blob[at + 5 : at + 5 + n], max_output_size=2**30), np.uint8)
+                out[blob[at]] = bits, int(np.bitwise_count(bits).sum(dtype=np.int64))
+                at += 5 + n
+            return out
 
         def finish(rows):
             rows = [r | {"n": r["n_shingles"], "sketch": opened(r["sketch"])} for r in rows]
-            hit = set()
             for i, a in enumerate(rows):
                 if a["side_a"]:
                     for j, b in enumerate(rows):
                         if (j > i or not b["side_a"]) and a["comp"] != b["comp"] and a["doc_id"] != b["doc_id"] and may_link(a, b, percent):
-                            hit |= {i, j}
-            for i in sorted(hit):
-                yield tuple(rows[i][k] for k in ("cell", "pos", "side_a", "doc_id", "comp"))
+                            yield a["doc_id"], b["doc_id"], a["comp"], b["comp"]
 
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
         out = []
         for row in _streamed(batches, names, finish):
             out.append(row)
-            if len(out) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["cell", "pos", "side_a", "doc_id", "comp"])
+            if len(out) >= 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "comp_a", "comp_b"])
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["cell", "pos", "side_a", "doc_id", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "comp_a", "comp_b"])
 
-    return joined.mapInArrow(run, "cell long, pos int, side_a boolean, doc_id long, comp long")
+    return joined.mapInArrow(run, "a long, b long, comp_a long, comp_b long")
 
 
 def confirmed(members: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that whole texts confirm; inside a cell, members that are connected already are not compared."""
-    wanted = members.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18)).alias("_b")).distinct()  # at most 2**18 rows
-    near = docs.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))).join(F.broadcast(wanted), "_b", "left_semi").drop("_b")
-    joined = _by_cell(members.join(near, "doc_id").select("cell", "pos", "side_a", "doc_id", "comp", "text"))
+    joined = _by_cell(members.join(_near(members, docs), "doc_id").select("cell", "pos", "side_a", "doc_id", "comp", "text"))
     names = joined.columns
 
     def run(batches):
@@ -437,32 +445,43 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 def links_of(docs: DataFrame, signed_rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links between different sets, enough to connect every component; ids are each set's smallest."""
-    sets = signed_rows.where("slice < 0 and n_shingles > 0 and doc_id is not null")
-    cells = written(cells_of(signed_rows), "cells")
-    release_shuffles(docs.sparkSession)
-    stars = cells.where("kind = 0").select("cell", "n_a", F.posexplode("ids").alias("pos", "doc_id"))
-    stars = stars.select("cell", "pos", (F.col("pos") < F.col("n_a")).alias("side_a"), "doc_id", F.col("doc_id").alias("comp"))
-    links = written(confirmed(written(sifted(stars, sets, percent), "sifted"), docs, words, percent), "links")
-    groups = cells.where("kind = 1").select(F.col("cell").alias("g"), F.explode("ids").alias("doc_id"))
-    if groups.limit(1).count() == 0:
-        return links
-    labels = components(links)
-    member = groups.join(labels, "doc_id", "left").select("g", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    by = member.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = by.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.max_by("comp", "n").alias("main")).where("comps > 1")
-    open_ = written(member.join(main, "g").withColumn("blocks", F.ceil(F.col("size") / CHUNK).cast("int")), "open")
-    if open_.limit(1).count() == 0:
-        return links
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    side_b = open_.select("g", own.alias("j"), every.alias("i"), "doc_id", "comp").withColumn("side_a", F.lit(False))
-    side_a = open_.where("comp <> main").select("g", own.alias("i"), every.alias("j"), "doc_id", "comp").withColumn("side_a", F.lit(True))
-    rows = side_a.unionByName(side_b)
-    used = side_a.select("g", "i").distinct()
-    rows = rows.join(used, ["g", "i"], "left_semi")
-    members = rows.select(F.xxhash64("g", "i", "j").alias("cell"), F.when(F.col("side_a"), 0).otherwise(1).cast("int").alias("pos"), "side_a", "doc_id", "comp")
-    more = written(confirmed(written(sifted(members, sets, percent), "sifted"), docs, words, percent), "links")
-    return links.unionByName(more)
+    spark = docs.sparkSession
+    sets = signed_rows.where("slice < 0 and n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
+
+    def compared(members: DataFrame) -> DataFrame:
+        left = written(sifted(members, sets, percent).distinct(), "sifted")
+        return written(confirmed(starred(left), docs, words, percent), "links")
+
+    found = written(pairs_of(signed_rows), "pairs")
+    release_shuffles(spark)
+    links = compared(starred(found.where("kind = 0").select("a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b"))))
+    release_shuffles(spark)
+    groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("doc_id"))
+    for turn in range(1, TURNS + 2):
+        # large groups that lie in several components: what is outside the main one meets new pivots of it, in the last turn all members
+        if groups.limit(1).count() == 0:
+            return links
+        member = groups.join(components(links), "doc_id", "left").select("g", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+        by = member.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"))
+        main = by.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1")
+        member = written(member.join(main, "g"), "open")
+        groups = member.select("g", "doc_id")
+        others = member.where("comp <> main")
+        if turn <= TURNS:
+            ranks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(turn * PIVOTS + k)), "doc_id"))["doc_id"] for k in range(PIVOTS)]
+            pivots = member.where("comp = main").groupBy("g").agg(F.array_distinct(F.array(*ranks)).alias("_p"))
+            pairs = others.join(pivots, "g").select(F.explode("_p").alias("a"), F.col("doc_id").alias("b"), F.col("main").alias("comp_a"), F.col("comp").alias("comp_b")).distinct()
+            links = links.unionByName(compared(starred(pairs)))
+            continue
+        member = member.withColumn("blocks", F.ceil(F.col("size") / CHUNK).cast("int"))
+        own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        side_a = member.where("comp <> main").select("g", own.alias("i"), every.alias("j"), "doc_id", "comp")
+        side_b = member.select("g", own.alias("j"), every.alias("i"), "doc_id", "comp").join(side_a.select("g", "i").distinct(), ["g", "i"], "left_semi")
+        rows = side_a.withColumn("side_a", F.lit(True)).unionByName(side_b.withColumn("side_a", F.lit(False)))
+        members = rows.select(F.xxhash64("g", "i", "j").alias("cell"), F.when(F.col("side_a"), 0).otherwise(1).cast("int").alias("pos"), "side_a", "doc_id", "comp")
+        return links.unionByName(compared(members))
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
