@@ -9,17 +9,24 @@ from .. import constants as C
 from ..functions import columns as X
 
 
-def bm25(docs: DataFrame, query: list[str], id_col: str, text_col: str, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
-    """id and score of documents that hold a query term, best score 1. Only query terms leave the scan; corpus statistics are one row."""
-    toks = docs.select(F.col(id_col), X.tokens(F.col(text_col)).alias("_t")).select(id_col, F.size("_t").alias("_len"), F.transform(F.array(*map(F.lit, query)), lambda q: F.struct(q.alias("term"), F.size(F.filter("_t", lambda x: x == q)).alias("tf"))).alias("_q"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"))
-    found = toks.select(id_col, "_len", F.explode("_q").alias("q")).select(id_col, "_len", "q.term", "q.tf").where("tf > 0")
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row per query term
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("avg_len")))
-    raw = found.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(id_col).agg(F.sum(part).alias("raw"))
-    top = raw.agg(F.max("raw").alias("top"))
-    return raw.join(F.broadcast(top)).select(id_col, (F.col("raw") / F.col("top")).alias("score"))
+def bm25(docs: DataFrame, query: list[str], k: int, id_col: str, text_col: str, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+    """id and score of the k best documents that hold a query term, best score 1, ties to the smaller id.
+
+    Two scans: one for the corpus statistics (one row), one for the scores, which are a column
+    expression; nothing but the k best is shuffled.
+    """
+    low, edge = F.lower(F.col(text_col)), r"[\p{L}\p{N}_]"
+    toks = docs.select(F.col(id_col), F.regexp_count(low, F.lit(rf"(?<!{edge})[a-z0-9]+(?!{edge})")).alias("_len"), *[F.regexp_count(low, F.lit(rf"(?<!{edge}){q}(?!{edge})")).alias(f"_f{i}") for i, q in enumerate(query)])
+    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(query))])
+    n = F.col("n")
+
+    def part(i: int) -> Column:
+        tf, df = F.col(f"_f{i}"), F.col(f"_d{i}")
+        return F.when(tf > 0, F.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("avg_len")))).otherwise(0.0)
+
+    raw = toks.where(" or ".join(f"_f{i} > 0" for i in range(len(query)))).join(F.broadcast(stats)).select(id_col, sum((part(i) for i in range(len(query))), F.lit(0.0)).alias("raw"))
+    best = raw.orderBy(F.desc("raw"), id_col).limit(k)
+    return best.select(id_col, (F.col("raw") / F.max("raw").over(Window.partitionBy(F.lit(1)))).alias("score"))
 
 
 def top(rows: DataFrame, k: int, id_col: str, score: str = "score") -> DataFrame:

@@ -36,6 +36,12 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files than cores are dealt to all cores before costly text work; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # ------------------------------------------------------------------ retrieval
 TERMS = ["the", "tion", "there", "der", "que"]
 _SQL_TOKENS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^[a-z0-9]+$'))"
@@ -54,7 +60,7 @@ k AS (SELECT doc_id, raw / max(raw) OVER () AS score FROM r)"""
 
 @_q(f"WITH {_SQL_BM25} SELECT doc_id, round(score, 9) AS score FROM k ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf):
-    return V.top(V.bm25(_t(spark, sf, "documents"), TERMS, "doc_id", "text"), 10, "doc_id").withColumn("score", F.round("score", 9))
+    return V.bm25(_spread(_t(spark, sf, "documents")), TERMS, 10, "doc_id", "text").withColumn("score", F.round("score", 9))
 
 
 QUERY_VECTOR = [((i * 37) % 64 - 31.5) / 64 for i in range(64)]
@@ -100,7 +106,7 @@ SELECT doc_id, round(raw / max(raw) OVER (), 4) AS score, n_modes FROM u"""
 )
 def hybrid_fusion(spark, sf):
     d = _t(spark, sf, "documents")
-    keyword = V.top(V.bm25(d, TERMS, "doc_id", "text"), 50, "doc_id").withColumn("mode", F.lit("keyword"))
+    keyword = V.bm25(_spread(d), TERMS, 50, "doc_id", "text").withColumn("mode", F.lit("keyword"))
     score = ((F.col("lang") == "en").cast("int") + (F.col("source") == "src1").cast("int")) / 2
     meta = V.top(d.select("doc_id", score.alias("score")).where("score > 0"), 50, "doc_id").withColumn("mode", F.lit("metadata"))
     return V.rank_fusion(keyword.unionByName(meta), "doc_id").withColumn("score", F.round("score", 4))
@@ -146,7 +152,7 @@ SELECT item_id AS statement_id, doc_id AS chunk_id, shared, rank::INT AS rank FR
 )
 def token_overlap_top3(spark, sf):
     s = _t(spark, sf, "benchmark").select(F.col("item_id").alias("statement_id"), "text")
-    return V.attribute(s, _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return V.attribute(s, _spread(_t(spark, sf, "documents")).select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 # ------------------------------------------------------------------ text
@@ -158,7 +164,7 @@ len(regexp_extract_all(text, '(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s
 FROM documents WHERE length(text) >= 10"""
 )
 def enrich_flags(spark, sf):
-    e = T.enrich(_t(spark, sf, "documents").select("doc_id", "text"))
+    e = T.enrich(_spread(_t(spark, sf, "documents")).select("doc_id", "text"))
     return e.select("doc_id", "word_count", (F.size("emails") > 0).alias("has_email"), (F.size("urls") > 0).alias("has_url"), (F.size("phones") > 0).alias("has_phone"))
 
 
