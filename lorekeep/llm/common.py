@@ -58,7 +58,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 8 bytes of its 64-bit hash; emptied at a size bound, so memory stays bounded on any vocabulary."""
 
-    BOUND = 600_000
+    BOUND = 250_000
 
     def __missing__(self, word: bytes) -> bytes:
         import xxhash

@@ -34,13 +34,14 @@ from .common import LOWER, WordHashes, documents, parts, release_shuffles, slice
 WORDS = 5
 PERCENT = 75
 #: Words that a block of documents gathers before it hands out its signatures.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 #: Groups up to SMALL members are compared whole; larger ones as PIVOTS against the rest. A cell has about CHUNK members.
 SMALL, PIVOTS, CHUNK = 8, 3, 64
-#: Turns of new pivots for large groups before their remaining members are compared throughout.
-TURNS = 2
-#: Features in so many sets of a block count as common when signatures are ordered; any number is correct.
-COMMON = 16
+#: Turns of new pivots for groups above WIDE members before their remaining members are compared throughout.
+TURNS, WIDE = 1, 128
+#: Features in so many of a sample of SAMPLE_ROWS short texts count as common when signatures are ordered. All sets use one
+#: list, so any list is correct; the sample only decides how selective the signatures are that come first.
+COMMON, SAMPLE_ROWS, SAMPLE_CHARS = 3, 3000, 16_384
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -161,8 +162,21 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 _SIGNED = "slice int, doc_id long, n_shingles long, k1 long, k2 long, sketch binary, blob binary"
 
 
-def signed(docs: DataFrame, slices: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def common_features(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Shingles that several texts of a bounded sample share, sorted."""
+    step = max(1, docs.count() // SAMPLE_ROWS)
+    rows = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0) & (F.length("text") <= SAMPLE_CHARS)).limit(SAMPLE_ROWS)
+    hashes = WordHashes()
+    found = [s for s in (shingles(r["text"], hashes, words) for r in rows.select("text").toLocalIterator()) if len(s)]
+    if not found:
+        return np.zeros(0, np.uint64)
+    kinds, count = np.unique(np.concatenate(found), return_counts=True)
+    return kinds[count >= COMMON]
+
+
+def signed(docs: DataFrame, slices: int, common: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row per document (slice -1) and, per block of documents and slice of the signatures, a row with a blob."""
+    spread = docs.sparkSession.sparkContext.broadcast(common)  # bounded by the sample
 
     def run(batches):
         import pyarrow as pa
@@ -190,10 +204,7 @@ def signed(docs: DataFrame, slices: int, words: int = WORDS, percent: int = PERC
             held = 0
             if not members:
                 return
-            features = np.concatenate([m[1][1] for m in members])
-            features.sort()
-            step = COMMON - 1
-            often = np.unique(features[step:][features[step:] == features[:-step]]) if len(features) > step else features[:0]
+            often = spread.value
             sigs, who = [], []
             for i, (_, (_, s)) in enumerate(members):
                 at = np.searchsorted(often, s)
@@ -202,7 +213,9 @@ def signed(docs: DataFrame, slices: int, words: int = WORDS, percent: int = PERC
                 sigs.append(got)
                 who.append(np.full(len(got), i, np.uint32))
             sigs, who = np.concatenate(sigs), np.concatenate(who)
-            to = (mix(sigs) % _U(slices)).astype(np.int64)
+            sigs = mix(sigs)
+            to = (sigs % _U(slices)).astype(np.int64)
+            sigs = (sigs >> _U(24)).astype(np.uint64)  # 40 bits travel: a chance match is one more candidate
             order = np.lexsort((sigs, to))
             sigs, who, to = sigs[order], who[order], to[order]
             edges = np.searchsorted(to, np.arange(slices + 1))
@@ -215,7 +228,8 @@ def signed(docs: DataFrame, slices: int, words: int = WORDS, percent: int = PERC
                     continue
                 used, local = np.unique(who[a:b], return_inverse=True)
                 head = np.array([b - a, len(used)], np.int64)
-                blob = b"".join(x.tobytes() for x in (head, sigs[a:b], local.astype(np.uint32), ids[used], k1[used], size[used]))
+                short = np.ascontiguousarray(sigs[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                blob = b"".join(x.tobytes() for x in (head, short, local.astype(np.uint32), ids[used], k1[used], size[used]))
                 rows.append((k, None, None, None, None, None, packer.compress(blob)))
                 if len(rows) >= 64:
                     yield flush()
@@ -263,8 +277,11 @@ def pairs_of(signed_rows: DataFrame) -> DataFrame:
         for blob in table.column("blob"):
             raw = opener.decompress(blob.as_py(), max_output_size=2**31 - 1)
             n, m = np.frombuffer(raw, np.int64, 2)
-            at = 16
-            for out, kind, count in ((sigs, np.uint64, n), (who, np.uint32, n), (ids, np.int64, m), (k1, np.uint64, m), (size, np.uint32, m)):
+            full = np.zeros((int(n), 8), np.uint8)
+            full[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 16).reshape(-1, 5)
+            sigs.append(full.view("<u8").ravel())
+            at = 16 + 5 * int(n)
+            for out, kind, count in ((who, np.uint32, n), (ids, np.int64, m), (k1, np.uint64, m), (size, np.uint32, m)):
                 out.append(np.frombuffer(raw, kind, count, at))
                 at += int(count) * np.dtype(kind).itemsize
             who[-1] = who[-1].astype(np.int64) + base
@@ -469,7 +486,7 @@ def links_of(docs: DataFrame, signed_rows: DataFrame, words: int = WORDS, percen
         others = member.where("comp <> main")
         if turn <= TURNS:
             ranks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(turn * PIVOTS + k)), "doc_id"))["doc_id"] for k in range(PIVOTS)]
-            pivots = member.where("comp = main").groupBy("g").agg(F.array_distinct(F.array(*ranks)).alias("_p"))
+            pivots = member.where(F.col("comp") == F.col("main")).where(F.col("size") > WIDE).groupBy("g").agg(F.array_distinct(F.array(*ranks)).alias("_p"))
             pairs = others.join(pivots, "g").select(F.explode("_p").alias("a"), F.col("doc_id").alias("b"), F.col("main").alias("comp_a"), F.col("comp").alias("comp_b")).distinct()
             links = links.unionByName(compared(starred(pairs)))
             continue
@@ -488,7 +505,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """doc_id, n_shingles, component_id: one row per row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    signed_rows = written(signed(docs, slices_for(size, 12 << 20), words, percent), "signed")
+    signed_rows = written(signed(docs, slices_for(size, 12 << 20), common_features(docs, words), words, percent), "signed")
     labels = components(links_of(docs, signed_rows, words, percent))
     sets = signed_rows.where("slice < 0").select("doc_id", "n_shingles", "k1", "k2")
     classes = sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))

@@ -39,7 +39,7 @@ FOLDS, HELD_OUT = 5, 1
 K = 5
 #: Set aside in every context beside what discounting frees, for contexts all of whose counts are above K.
 HALF = 0.5
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 _U = np.uint64
 #: Keys of the end of a text and of its start.
 END_KEY, START_KEY = _U(0x656E64), _U(0x7374617274)
