@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import tempfile
@@ -39,6 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of finished jobs; called after a table has been written."""
+    gc.collect()  # plans that only Python's garbage still holds
     spark.sparkContext._jvm.System.gc()
 
 
