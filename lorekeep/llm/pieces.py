@@ -64,7 +64,11 @@ class Model:
                 self.byte[int(p[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.score[p], self.id[p] = sp.get_score(i), i
-        self.bytes = {i: b for b, i in enumerate(self.byte) if i >= 0}
+        #: byte pieces stand as private characters until runs of them are read; no other piece holds such a character
+        self.shown = [p.replace(BLANK, " ") for p in self.piece]
+        for b, i in enumerate(self.byte):
+            if i >= 0:
+                self.shown[i] = chr(_FIRST + b)
         self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - 10
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in self.score)
@@ -156,19 +160,13 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids with blanks as spaces; the blank that encoding puts first is still there."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.bytes:
-                run.append(self.bytes[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append(self.piece[i])
-        out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(BLANK, " ")
+        text = "".join(map(self.shown.__getitem__, ids))
+        return _BYTES.sub(lambda m: bytes(ord(c) - _FIRST for c in m[0]).decode("utf-8", "replace"), text)
+
 
 
+_FIRST = 0xF0000
+_BYTES = re.compile(f"[{chr(_FIRST)}-{chr(_FIRST + 255)}]+")
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
 _CUT = re.compile(f"(?<=[^{BLANK}]){BLANK}")
 
