@@ -11,9 +11,11 @@ Scores are the model file's own piece scores, added exactly; equal sums prefer t
 each end, as the library's unigram mode does. The file at hand is of the merge-rule kind, whose own
 merging is not a longest path: here its pieces and scores are read in the unigram mode, with the same
 ids, and decoding is the same for both. Where no piece fits, a character becomes its UTF-8 byte
-pieces. Pieces never run from a non-blank into a blank (checked when the model is read), so a path
-splits before each run of blanks; the stretches between are solved once and remembered, up to a bound.
-Chunk borders are put at such places where there are any; elsewhere, sums that are equal on both sides
+pieces. A chunk between two known borders is solved by the tokenizers library's longest path over the
+same pieces and scores; entering and leaving a border at every state, and stretches that spell a
+control or byte piece's name, by forward() here. Pieces never run from a non-blank into a blank
+(checked when the model is read), so a path splits before each run of blanks, and a chunk's matrix
+needs forward() only before its first and after its last such place. Chunk borders are put at such places where there are any; elsewhere, sums that are equal on both sides
 of a border may be resolved to another path of the same score.
 
 Edge cases: null and empty texts have no ids and one empty row; a text without any blank is solved by
@@ -47,11 +49,14 @@ def model_path() -> str:
 class Model:
     """Pieces and scores of a SentencePiece file, and best paths over them."""
 
-    BOUND = 300_000
-
     def __init__(self, path: str):
+        import os
+
         import sentencepiece
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        from tokenizers import Tokenizer, models
+
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -76,7 +81,16 @@ class Model:
         for p in self.score:
             self.lengths.setdefault(p[:2], set()).add(len(p))  # type: ignore[arg-type]
         self.lengths = {k: sorted(v) for k, v in self.lengths.items()}
-        self.memory: dict[str, tuple[float, bytes]] = {}
+        # what an id adds to a path's score; of a byte run, each character's first byte carries the unknown character's
+        self.value = np.array([self.score.get(p, 0.0) for p in self.piece])
+        for b, i in enumerate(self.byte):
+            if i >= 0:
+                self.value[i] = 0.0 if 0x80 <= b < 0xC0 else self.unknown
+        named = [p for i, p in enumerate(self.piece) if p not in self.score or i in self.byte]
+        self.named = re.compile("|".join(map(re.escape, named)) or "(?!)")
+        #: the library's longest path, if all bytes have pieces; it would take the names of other pieces in a text for those pieces
+        vocabulary = [(p, self.score.get(p, 0.0)) for p in self.piece]
+        self.native = Tokenizer(models.Unigram(vocabulary, sp.unk_id(), True)) if min(self.byte) >= 0 else None
 
     # -- one stretch
     def forward(self, s: str, n: int, start: list[float]) -> tuple[list[float], list[int]]:
@@ -113,17 +127,20 @@ class Model:
             e = back[e]
         return out[::-1], e
 
-    def stretch(self, s: str) -> tuple[float, bytes]:
-        """Score and ids of a stretch with borders on both sides."""
-        got = self.memory.get(s)
-        if got is None:
-            best, back = self.forward(s, len(s), [0.0])
-            got = best[len(s)], np.array(self.ids_of(s, back, len(s))[0], "<u4").tobytes()
-            if len(s) <= 48:
-                if len(self.memory) >= self.BOUND:
-                    self.memory.clear()
-                self.memory[s] = got
-        return got
+    def plain(self, s: str) -> tuple[float, bytes]:
+        """solved(), by forward()."""
+        best, back = self.forward(s, len(s), [0.0])
+        return best[len(s)], np.array(self.ids_of(s, back, len(s))[0], "<u4").tobytes()
+
+    def solved(self, s: str) -> tuple[float, bytes]:
+        """Score and ids of a text with borders on both sides."""
+        if self.native is None:
+            return self.plain(s)
+        if self.named.search(s):
+            got = [self.plain(x) if self.named.search(x) else self.solved(x) for x in self.stretches(s)]
+            return sum(x[0] for x in got), b"".join(x[1] for x in got)
+        ids = np.array(self.native.encode_batch_fast([s], add_special_tokens=False)[0].ids, "<u4")
+        return float(self.value[ids].sum()), ids.tobytes()
 
     def stretches(self, s: str) -> list[str]:
         return _STRETCH.findall(s) if self.cuts else [s]
@@ -136,7 +153,7 @@ class Model:
         cut = _first_cut(s, n) if self.cuts else 0
         if cut:
             last = _last_cut(s, n)
-            middle = sum(self.stretch(x)[0] for x in self.stretches(s[cut:last]))
+            middle = self.solved(s[cut:last])[0]
             tail, _ = self.forward(s[last:], n - last, [0.0])
             after = np.array([tail[n - last + j] if n - last + j < len(tail) else NEVER for j in range(size)])
             for i in range(min(size, cut + 1)):
@@ -152,11 +169,7 @@ class Model:
 
     def trace(self, s: str, n: int, entry: int, exit_: int) -> tuple[float, bytes]:
         """Score and ids of the best path of a chunk from its entry to its exit state."""
-        part = s[entry : n + exit_]
-        if self.cuts:
-            got = [self.stretch(x) for x in self.stretches(part)]
-            return sum(x[0] for x in got), b"".join(x[1] for x in got)
-        return self.stretch(part)
+        return self.solved(s[entry : n + exit_])
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids with blanks as spaces; the blank that encoding puts first is still there."""
@@ -164,7 +177,6 @@ class Model:
         return _BYTES.sub(lambda m: bytes(ord(c) - _FIRST for c in m[0]).decode("utf-8", "replace"), text)
 
 
-
 _FIRST = 0xF0000
 _BYTES = re.compile(f"[{chr(_FIRST)}-{chr(_FIRST + 255)}]+")
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
