@@ -16,7 +16,9 @@ most 4 rows a slice), and leaves for each block a compact record of terms, in wh
 are open. Those follow from the counts of counts of all slices, and a last pass adds up each text's
 terms. Counts, slices and tables grow with the input; a slice's size does not.
 
-Words are told apart by 64-bit hashes, pairs by mixing two of them.
+Words are told apart by 64-bit hashes. With its count, a word's slice gives it a number, small for
+frequent words; pairs and contexts travel by these numbers, as bytes of equal weight side by side,
+which compress well. Pairs are told apart by mixing two numbers.
 
 Edge cases: a null text is an empty one (one token: its end); a null doc_id counts as the text
 "null"-less empty string for the training split; an empty training set makes every word unknown;
@@ -41,8 +43,8 @@ K = 5
 HALF = 0.5
 BLOCK_TOKENS = 1_000_000
 _U = np.uint64
-#: Keys of the end of a text and of its start.
-END_KEY, START_KEY = _U(0x656E64), _U(0x7374617274)
+#: The key of a text's end, which is a token; the number of its start, which is only a context and above all words' numbers.
+END_KEY, START = _U(0x656E64), _U(1 << 56)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,8 +91,9 @@ class Unigrams:
 
 
 def _pack(packer, *arrays: np.ndarray) -> bytes:
+    """Arrays as one blob: first bytes of all values, then their second bytes, and so on."""
     head = np.array([len(a) for a in arrays], np.int64)
-    return packer.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return packer.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays))
 
 
 def _open(opener, blob: bytes, *kinds) -> list[np.ndarray]:
@@ -98,8 +101,10 @@ def _open(opener, blob: bytes, *kinds) -> list[np.ndarray]:
     head = np.frombuffer(raw, np.int64, len(kinds))
     at, out = 8 * len(kinds), []
     for n, kind in zip(head.tolist(), kinds):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * width
     return out
 
 
@@ -122,8 +127,11 @@ def tokenised(docs: DataFrame) -> DataFrame:
         ids, held, sizes, streams, n = [], [], [], [], 0
 
         def block():
-            keys, at = np.unique(np.concatenate(streams), return_inverse=True)
-            blob = _pack(packer, np.array(ids, np.int64), np.array(held, np.uint8), np.array(sizes, np.uint32), keys, at.astype(np.uint32))
+            keys, at, often = np.unique(np.concatenate(streams), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            place = np.empty(len(keys), np.uint32)
+            place[order] = np.arange(len(keys), dtype=np.uint32)
+            blob = _pack(packer, np.array(ids, np.int64), np.array(held, np.uint8), np.array(sizes, np.uint32), keys[order], place[at])
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(ids)], pa.int32()), pa.array([blob], pa.binary())], ["block", "n_docs", "blob"])
 
         for batch in batches:
@@ -150,7 +158,7 @@ def _stats_cols(prefix: str = "n") -> list[str]:
 
 
 def word_counts(blocks: DataFrame, slices: int) -> DataFrame:
-    """Answers (block, slice, blob of the counts of the block's words in that slice) and one row of statistics a slice."""
+    """Answers (block, slice, blob of the counts and numbers of the block's words in that slice) and one row of statistics a slice."""
 
     def ask(batches):
         import pyarrow as pa
@@ -180,11 +188,14 @@ def word_counts(blocks: DataFrame, slices: int) -> DataFrame:
         keys, at = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
         count = np.bincount(at, np.concatenate([c for _, c in asked]), len(keys)).astype(np.int64)
         of = np.bincount(np.minimum(count[count > 0], K + 2), minlength=K + 3)
+        slice_ = table.column("slice")[0].as_py()
+        number = np.empty(len(keys), np.uint64)
+        number[np.lexsort((keys, -count))] = np.arange(len(keys), dtype=np.uint64) * _U(slices) + _U(slice_)
         names, blobs, pos = table.column("block").to_pylist(), [], 0
         for k, _ in asked:
-            blobs.append(_pack(packer, count[at[pos : pos + len(k)]].astype(np.uint64)))
+            mine = at[pos : pos + len(k)]
+            blobs.append(_pack(packer, count[mine].astype(np.uint64), number[mine]))
             pos += len(k)
-        slice_ = table.column("slice")[0].as_py()
         rows = [(n, slice_, b, None) for n, b in zip(names, blobs)]
         rows.append((None, slice_, None, [int(count.sum()), int((count > 0).sum()), *(int(x) for x in of[1 : K + 2])]))
         kinds = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
@@ -196,7 +207,7 @@ def word_counts(blocks: DataFrame, slices: int) -> DataFrame:
 
 # ---------------------------------------------------------------- 3: pairs to slices
 _PAIRS = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
-# first and second word, their counts, training count in the block, entries, then entries: document, how often
+# first words' numbers as differences, second words' numbers, their counts, training count in the block, entries, then entries: document, how often
 _TERMS = "kind int, slice int, block string, blob binary, stats array<bigint>"
 
 
@@ -213,9 +224,13 @@ def pairs_of(blocks: DataFrame, answers: DataFrame, words: Unigrams, train_docs:
         name = table.column("block")[0].as_py()
         ids, held, sizes, keys, stream = _open(opener, got.pop(-1), *_STREAM)
         to = mix(keys) % _U(word_slices)
-        count = np.zeros(len(keys), np.uint64)
+        count, number = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
         for s, b in got.items():
-            count[to == s] = _open(opener, b, np.uint64)[0]
+            count[to == s], number[to == s] = _open(opener, b, np.uint64, np.uint64)
+        order = np.argsort(number)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        count, number, stream = count[order], number[order], place[stream]
         doc = np.repeat(np.arange(len(ids)), sizes)
         c = count[stream]
         base = np.log10((c + 0.5) / (words.n + 0.5 * (words.v + 1)))
@@ -223,12 +238,12 @@ def pairs_of(blocks: DataFrame, answers: DataFrame, words: Unigrams, train_docs:
         stats = [ids, held, sizes, np.bincount(doc, c > 0, n_docs).astype(np.uint32), np.bincount(doc, base, n_docs)]
         rows = [(0, -1, name, _pack(packer, *stats), None)]
         starts = np.cumsum(sizes) - sizes
-        second = stream.astype(np.int64)
+        second = stream
         first = np.empty_like(second)
         first[1:] = second[:-1]
-        first[starts[sizes > 0]] = len(keys)  # the start of a text
+        first[starts[sizes > 0]] = len(number)  # the start of a text
         # entries (pair, document) with how often, in order of the pair
-        pair = first * (len(keys) + 1) + second
+        pair = first * (len(number) + 1) + second
         order = np.lexsort((doc, pair))
         p, d = pair[order], doc[order]
         new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (d[1:] != d[:-1])])
@@ -237,10 +252,10 @@ def pairs_of(blocks: DataFrame, answers: DataFrame, words: Unigrams, train_docs:
         heads = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
         entries = np.diff(np.r_[heads, len(p)]).astype(np.uint32)
         trained = np.add.reduceat(np.where(held[d] == 0, often, 0), heads).astype(np.uint32)
-        all_keys = np.r_[keys, START_KEY]
+        all_numbers = np.r_[number, START]
         all_count = np.r_[count, _U(train_docs)]
-        i1, i2 = p[heads] // (len(keys) + 1), p[heads] % (len(keys) + 1)
-        k1, k2, c1, c2 = all_keys[i1], all_keys[i2], all_count[i1], all_count[i2]
+        i1, i2 = p[heads] // (len(number) + 1), p[heads] % (len(number) + 1)
+        k1, k2, c1, c2 = all_numbers[i1], all_numbers[i2], all_count[i1], all_count[i2]
         with np.errstate(over="ignore"):
             parts_ = np.maximum(1, np.ceil(c1 / share)).astype(np.uint64)  # as many as its share asks for
             to = (mix(mix(k1) + np.where(c1 > share, mix(k2) % parts_, 0).astype(np.uint64) * _U(0x9E3779B97F4A7C15)) % _U(slices)).astype(np.int64)
@@ -250,7 +265,7 @@ def pairs_of(blocks: DataFrame, answers: DataFrame, words: Unigrams, train_docs:
         for s in range(slices):
             m, e = by[at[s] : at[s + 1]], by_entry[at_entry[s] : at_entry[s + 1]]
             if len(m):
-                rows.append((1, s, name, _pack(packer, k1[m], k2[m], c1[m], c2[m], trained[m], entries[m], d[e].astype(np.uint32), often[e]), None))
+                rows.append((1, s, name, _pack(packer, np.diff(k1[m], prepend=_U(0)), k2[m], c1[m], c2[m], trained[m], entries[m], d[e].astype(np.uint32), often[e]), None))
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64())]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kind", "slice", "block", "blob", "stats"])
 
@@ -278,6 +293,8 @@ def terms_of(pairs: DataFrame, words: Unigrams, slices: int) -> DataFrame:
         slice_ = table.column("slice")[0].as_py()
         blocks = table.column("block").to_pylist()
         got = [_open(opener, b.as_py(), *_PAIRS) for b in table.column("blob")]
+        for g in got:
+            g[0] = np.cumsum(g[0], dtype=np.uint64)
         k1, k2, c1, c2, trained = (np.concatenate([g[i] for g in got]) for i in range(5))
         with np.errstate(over="ignore"):
             key = mix(k1 + mix(k2) * _U(0x9E3779B97F4A7C15))
