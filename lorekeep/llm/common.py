@@ -38,6 +38,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that no later plan reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def trim() -> None:
+    """Hands freed memory of this Python process back to the system; called before each large group."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of finished jobs; called after a table has been written."""
     gc.collect()  # plans that only Python's garbage still holds

@@ -7,8 +7,8 @@ Good-Turing discounted as well; the freed mass is the unknown class's. Counts ab
 discounted. Where counts of counts give no usable discount, (r - 0.5) / r takes its place; if no
 count is small at all, unigrams fall back to (c + 0.5) / (N + 0.5 (V + 1)).
 
-Nothing is held whole anywhere. Documents are read once, into blocks: a table of token streams with
-each block's own word list. Words go to slices by hash, which count them and answer each block with
+Nothing is held whole anywhere. Documents are read once, into blocks: a table of token streams, and
+one of the blocks' word lists, which goes when words are counted. Words go to slices by hash, which count them and answer each block with
 the counts it asked for. Pairs go to slices by their first word, with the documents that hold them;
 a first word that makes up a large share of all tokens is split by its second word. A slice counts
 its pairs, knows its contexts whole (a split context's sums are put together in a table that has at
@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, documents, release_shuffles, slices_for, written
+from .common import LOWER, WordHashes, documents, dropped, release_shuffles, scratch_path, slices_for, trim, written
 
 FOLDS, HELD_OUT = 5, 1
 #: Counts up to K are discounted.
@@ -109,12 +109,12 @@ def _open(opener, blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 # ---------------------------------------------------------------- 1: blocks of tokens
-_BLOCK = "block string, n_docs int, blob binary"
-_STREAM = (np.int64, np.uint8, np.uint32, np.uint64, np.uint32)  # doc ids (2**63-1: null), held out, tokens a doc, word keys, stream
+_BLOCK = "kind int, block string, blob binary"
+_STREAM = (np.int64, np.uint8, np.uint32, np.uint32, np.uint32)  # doc ids (2**63-1: null), held out, tokens a doc, slices of words, stream
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: their ids, word list and token stream. Written at once, so a block's name holds."""
+def tokenised(docs: DataFrame, slices: int) -> DataFrame:
+    """Blocks of documents: ids and token stream (kind 0), words and their training counts (kind 1). Written at once, so a block's name holds."""
 
     def run(batches):
         import uuid
@@ -131,8 +131,11 @@ def tokenised(docs: DataFrame) -> DataFrame:
             order = np.argsort(-often, kind="stable")
             place = np.empty(len(keys), np.uint32)
             place[order] = np.arange(len(keys), dtype=np.uint32)
-            blob = _pack(packer, np.array(ids, np.int64), np.array(held, np.uint8), np.array(sizes, np.uint32), keys[order], place[at])
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(ids)], pa.int32()), pa.array([blob], pa.binary())], ["block", "n_docs", "blob"])
+            keys, stream, out = keys[order], place[at], np.array(held, np.uint8)
+            count = np.bincount(stream[np.repeat(out == 0, sizes)], minlength=len(keys)).astype(np.uint32)
+            to = (mix(keys) % _U(slices)).astype(np.uint32)
+            blobs = [_pack(packer, np.array(ids, np.int64), out, np.array(sizes, np.uint32), to, stream), _pack(packer, keys, count)]
+            return pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([uuid.uuid4().hex] * 2), pa.array(blobs, pa.binary())], ["kind", "block", "blob"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -167,9 +170,7 @@ def word_counts(blocks: DataFrame, slices: int) -> DataFrame:
         packer, opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, held, sizes, keys, stream = _open(opener, blob.as_py(), *_STREAM)
-                train = np.repeat(held == 0, sizes)
-                count = np.bincount(stream[train], minlength=len(keys)).astype(np.uint32)
+                keys, count = _open(opener, blob.as_py(), np.uint64, np.uint32)
                 to = mix(keys) % _U(slices)
                 out = [[], [], []]
                 for k in range(slices):
@@ -183,6 +184,7 @@ def word_counts(blocks: DataFrame, slices: int) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        trim()
         packer, opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         asked = [_open(opener, b.as_py(), np.uint64, np.uint32) for b in table.column("blob")]
         keys, at = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
@@ -211,7 +213,7 @@ _PAIRS = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.u
 _TERMS = "kind int, slice int, block string, blob binary, stats array<bigint>"
 
 
-def pairs_of(blocks: DataFrame, answers: DataFrame, words: Unigrams, train_docs: int, word_slices: int, slices: int) -> DataFrame:
+def pairs_of(blocks: DataFrame, answers: DataFrame, words: Unigrams, train_docs: int, slices: int) -> DataFrame:
     """From each block and its answers: rows of documents (kind 0) and pairs by slice (kind 1)."""
     share = max(2.0, words.n / (4 * slices))  # a context above this many tokens is split
 
@@ -219,17 +221,17 @@ def pairs_of(blocks: DataFrame, answers: DataFrame, words: Unigrams, train_docs:
         import pyarrow as pa
         import zstandard
 
+        trim()
         packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         got = {s: b for s, b in zip(table.column("slice").to_pylist(), table.column("blob").to_pylist())}
         name = table.column("block")[0].as_py()
-        ids, held, sizes, keys, stream = _open(opener, got.pop(-1), *_STREAM)
-        to = mix(keys) % _U(word_slices)
-        count, number = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
+        ids, held, sizes, to, stream = _open(opener, got.pop(-1), *_STREAM)
+        count, number = np.zeros(len(to), np.uint64), np.zeros(len(to), np.uint64)
         for s, b in got.items():
             count[to == s], number[to == s] = _open(opener, b, np.uint64, np.uint64)
         order = np.argsort(number)
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         count, number, stream = count[order], number[order], place[stream]
         doc = np.repeat(np.arange(len(ids)), sizes)
         c = count[stream]
@@ -285,6 +287,7 @@ def terms_of(pairs: DataFrame, words: Unigrams, slices: int) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        trim()
         packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64())]
         names = ["kind", "slice", "block", "blob", "stats"]
@@ -296,6 +299,8 @@ def terms_of(pairs: DataFrame, words: Unigrams, slices: int) -> DataFrame:
         for g in got:
             g[0] = np.cumsum(g[0], dtype=np.uint64)
         k1, k2, c1, c2, trained = (np.concatenate([g[i] for g in got]) for i in range(5))
+        for g in got:  # whole columns are held now
+            g[0] = g[1] = g[4] = None
         with np.errstate(over="ignore"):
             key = mix(k1 + mix(k2) * _U(0x9E3779B97F4A7C15))
         _, one, at = np.unique(key, return_index=True, return_inverse=True)
@@ -315,7 +320,7 @@ def terms_of(pairs: DataFrame, words: Unigrams, slices: int) -> DataFrame:
             rows.append((2, slice_, None, _pack(packer, contexts[split], mass[split], small[split].ravel()), None))
         pos = 0
         for name, g in zip(blocks, got):
-            n = len(g[0])
+            n = len(g[2])
             mine = at[pos : pos + n]
             pos += n
             entry = np.repeat(np.arange(n), g[5])
@@ -383,18 +388,21 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = written(tokenised(docs), "blocks")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not rows:
+        return spark.createDataFrame([], _SCORED)
     word_slices, slices = slices_for(size, 64 << 20, 48), slices_for(size, 12 << 20)
-    answers = written(word_counts(blocks, word_slices), "word-counts")
+    path = scratch_path(spark, "blocks")
+    tokenised(docs, word_slices).write.partitionBy("kind").parquet(path)
+    blocks, lists = (spark.read.schema("block string, blob binary").parquet(f"{path}/kind={k}") for k in (0, 1))
+    answers = written(word_counts(lists, word_slices), "word-counts")
+    dropped(spark, f"{path}/kind=1")
     release_shuffles(spark)
     totals = [sum(c) for c in zip(*(r[0] for r in answers.where("stats is not null").select("stats").collect()))]  # one row a slice
-    if not totals:
-        return spark.createDataFrame([], _SCORED)
     words = Unigrams(totals[0], totals[1], totals[2:])
     ids = docs.select(F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(FOLDS)).alias("fold"))
     train_docs = ids.where(F.col("fold") != HELD_OUT).count()
-    pairs = pairs_of(blocks, answers.where("block is not null"), words, train_docs, word_slices, slices)
+    pairs = pairs_of(blocks, answers.where("block is not null"), words, train_docs, slices)
     terms = written(terms_of(pairs, words, slices), "terms")
     release_shuffles(spark)
     found = [r[0] for r in terms.where("kind = 3").select("stats").collect()]  # one row a slice
