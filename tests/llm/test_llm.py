@@ -281,3 +281,20 @@ def test_pipeline(spark):
     comp = brute_components(cleaned)
     want = {i for i in comp if comp[i][1] == i}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == want
+
+
+def test_solved_equals_own_forward():
+    m = pieces.Model(pieces.model_path())
+    texts = ["", "<0x41>", "a<s>b", "x</s> <unk> y<0xE3>", "日本<s>語 テキスト", "😀😀é", "   x ", "a\n\tb" * 50, "x" * 300, "plain words, some rarer: zyxwv qqq"]
+    for s in map(pieces.normalise, texts):
+        assert m.solved(s) == m.plain(s)
+
+
+def test_planes_round_trip():
+    import numpy as np
+    import zstandard
+
+    arrays = [np.array([0, 1, 2**63], np.uint64), np.zeros(0, np.uint32), np.array([-1.5, 2.0]), np.array([7], np.uint8), np.zeros(0, np.float64)]
+    blob = katz._pack(zstandard.ZstdCompressor(), *arrays)
+    back = katz._open(zstandard.ZstdDecompressor(), blob, *(a.dtype for a in arrays))
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, back))
