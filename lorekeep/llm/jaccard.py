@@ -66,7 +66,9 @@ def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.nda
         for j in range(min(words, len(a))):
             s = (s ^ a[j : j + n]) * _M1
             s ^= s >> _U(29)
-    return np.unique(mix(s))
+    s = mix(s)
+    s.sort()
+    return s[np.r_[True, s[1:] != s[:-1]]]
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
