@@ -442,7 +442,7 @@ def health_score(spark, sf):
 
 
 def _edges(spark, sf):
-    k = _t(spark, sf, "lineitem").where("l_partkey <= 400")
+    k = _t(spark, sf, "lineitem")
     seen = k.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.lit("supplies").alias("type"), F.col("l_quantity").alias("strength"), F.col("l_orderkey").alias("evidence"), F.col("l_shipdate").alias("seen_at"))
     return G.upsert_edges(seen)
 
