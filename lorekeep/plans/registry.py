@@ -470,7 +470,7 @@ _SQL_LINKS = "p AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000 AS t FRO
 
 
 def _links(spark, sf):
-    k = _t(spark, sf, "lineitem").where("l_partkey <= 40")
+    k = _t(spark, sf, "lineitem")
     return k.select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target")).distinct()
 
 
@@ -489,8 +489,7 @@ r AS (SELECT s AS node, s AS seen FROM b UNION SELECT r.node, b.t FROM r JOIN b
 SELECT node, min(seen) AS component FROM r GROUP BY node"""
 )
 def connected_components(spark, sf):
-    k = _t(spark, sf, "lineitem").where("l_partkey <= 40 and l_linenumber = 1 and l_quantity < 5")
-    return G.components(k.select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") + 1000000).alias("t")).distinct(), "s", "t")
+    return G.components(_links(spark, sf), "source", "target")
 
 
 @_q("WITH m AS (SELECT DISTINCT o_custkey, o_orderpriority AS i FROM orders) SELECT x.i AS a, y.i AS b, count(*) AS together FROM m x JOIN m y ON x.o_custkey = y.o_custkey AND x.i < y.i GROUP BY 1, 2")

@@ -38,3 +38,25 @@ def test_edges_of_every_part(spark, lines):
     as_of = datetime.datetime(2000, 1, 1)
     want = {k: not ((as_of - max(t for _, _, t in rows)).days > 180 and len(rows) < 3) for k, rows in seen.items()}
     assert {(r["source"], r["target"]): r["is_active"] for r in registry.QUERIES["stale_edges"](spark, lines).collect()} == want
+
+
+def brute_hops(edges, start):
+    near, hops = defaultdict(set), {start: 0}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    front = [start]
+    while front:
+        node = front.pop(0)
+        for other in near[node] - hops.keys():
+            hops[other] = hops[node] + 1
+            front.append(other)
+    return hops
+
+
+def test_links_of_every_part(spark, lines):
+    edges = {(supp, part + 1000000) for _, part, supp, *_ in LINES}
+    want = {(n, h) for n, h in brute_hops(edges, 1).items() if h <= 2}
+    assert {(r["node"], r["hop"]) for r in registry.QUERIES["bfs_depth2"](spark, lines).collect()} == want
+    least = {(n, min(brute_hops(edges, n))) for e in edges for n in e}
+    assert {(r["node"], r["component"]) for r in registry.QUERIES["connected_components"](spark, lines).collect()} == least
