@@ -4,12 +4,14 @@ Rows are grouped by host. For each line, the pages of the host that hold it are
 by the host's pages; lines found on at least `least_pages` pages and on more than `ratio` of them
 are boilerplate there and are dropped from every page of the host. A host has at most
 (lines per page / ratio) such lines, so they travel as one array per host; lines are told apart by
-two independent 64-bit hashes. Counts are of distinct lines per page and are summed before the
-shuffle, so neither a common line nor a large host is one task's work.
+two independent 64-bit hashes. Pages of a host with equal texts count once, in its pages as well as
+in a line's, so a repeated document is left to the near-duplicate stage. Counts are of distinct lines
+per text and are summed before the last shuffle, so neither a common line nor a large host is one
+task's work.
 
 Edge cases: a null text stays null and counts as a page without lines; lines without a word are
 never dropped; rows with a null host form one group; a page of boilerplate alone becomes an empty
-text; repeated rows count as pages each; an empty table gives an empty result; further columns pass
+text; repeated rows are equal texts; an empty table gives an empty result; further columns pass
 through `drop_boilerplate`. Names starting with `_lk_` are reserved.
 """
 
@@ -40,9 +42,11 @@ def _lines(text: Column) -> Column:
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """_lk_host, _lk_a, _lk_b, pages, host_pages for each boilerplate line."""
     worded = F.filter(_lines(F.col(text)), lambda x: x.rlike(WORD))
-    lines = docs.select(F.col(host).alias("_lk_host"), F.explode(F.array_distinct(F.transform(worded, _hashed))).alias("_lk_h"))
-    counted = lines.groupBy("_lk_host", F.col("_lk_h.a").alias("_lk_a"), F.col("_lk_h.b").alias("_lk_b")).agg(F.count(F.lit(1)).alias("pages"))
-    totals = docs.groupBy(F.col(host).alias("_lk_site")).agg(F.count(F.lit(1)).alias("host_pages"))
+    lines = docs.select(F.col(host).alias("_lk_host"), _hashed(F.col(text)).alias("_lk_t"), F.explode(F.array_distinct(F.transform(worded, _hashed))).alias("_lk_h"))
+    once = lines.select("_lk_host", F.col("_lk_h.a").alias("_lk_a"), F.col("_lk_h.b").alias("_lk_b"), F.col("_lk_t.a").alias("_lk_ta"), F.col("_lk_t.b").alias("_lk_tb")).distinct()
+    counted = once.groupBy("_lk_host", "_lk_a", "_lk_b").agg(F.count(F.lit(1)).alias("pages"))
+    texts = docs.select(F.col(host).alias("_lk_site"), F.when(F.col(text).isNotNull(), _hashed(F.col(text))).alias("_lk_t"))
+    totals = texts.groupBy("_lk_site").agg((F.count_distinct("_lk_t") + F.count_if(F.col("_lk_t").isNull())).alias("host_pages"))
     often = counted.filter(F.col("pages") >= least_pages)
     joined = often.join(totals, F.col("_lk_host").eqNullSafe(F.col("_lk_site")))
     return joined.filter(F.col("pages") > ratio * F.col("host_pages")).drop("_lk_site")
