@@ -227,11 +227,10 @@ def event_types(spark, sf):
 
 @_q()
 def fuzzy_customer_pairs(spark, sf):
-    """Names of customers and suppliers that share a nation, scored in Arrow batches."""
-    c = _t(spark, sf, "customer").select("c_custkey", "c_nationkey", X.normalise_name(F.col("c_name")).alias("a"))
+    """Names of all customers and suppliers that share a nation, scored in Arrow batches."""
+    c = _spread(_t(spark, sf, "customer")).select("c_custkey", "c_nationkey", X.normalise_name(F.col("c_name")).alias("a"))
     s = _t(spark, sf, "supplier").select("s_suppkey", "s_nationkey", X.normalise_name(F.col("s_name")).alias("b"))
-    key = F.substring
-    pairs = c.join(s, (c["c_nationkey"] == s["s_nationkey"]) & (key("a", -2, 2) == key("b", -2, 2)))
+    pairs = c.join(s, c["c_nationkey"] == s["s_nationkey"])
     return E.with_name_score(pairs, "a", "b").select("c_custkey", "s_suppkey", F.round("name_score", 6).alias("name_score"))
 
 

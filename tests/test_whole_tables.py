@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from lorekeep.operators.entities import name_score
 from lorekeep.plans import registry
 
 LINES = [(order, part, supp, float(order % 7 + 1), line, datetime.datetime(1997 + order % 4, 1 + part % 12, 1)) for order, part, supp, line in [
@@ -60,3 +61,14 @@ def test_links_of_every_part(spark, lines):
     assert {(r["node"], r["hop"]) for r in registry.QUERIES["bfs_depth2"](spark, lines).collect()} == want
     least = {(n, min(brute_hops(edges, n))) for e in edges for n in e}
     assert {(r["node"], r["component"]) for r in registry.QUERIES["connected_components"](spark, lines).collect()} == least
+
+
+def test_names_of_every_pair(spark, tmp_path):
+    customers = [(1, 7, "Acme Corp"), (2, 7, "Customer#000000012"), (3, 8, "Jon Smith"), (4, None, "Acme Corp")]
+    suppliers = [(1, 7, "Acme Corporation"), (2, 7, "Supplier#000000099"), (3, 8, "Jon Smyth"), (4, 9, "Acme Corp")]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["c_custkey"], r["s_suppkey"]): r["name_score"] for r in registry.QUERIES["fuzzy_customer_pairs"](spark, str(tmp_path)).collect()}
+    plain = lambda x: x.lower().replace("#", "")
+    want = {(c, s): round(name_score(plain(a), plain(b)), 6) for c, n, a in customers for s, m, b in suppliers if n == m}
+    assert got == want and got[1, 1] >= 0.7
