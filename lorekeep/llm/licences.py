@@ -6,8 +6,10 @@ licence sentence, by lookup or by pattern. Ordered rules, longer statements firs
 sequences of identifiers of neighbouring sentences; a match uses its sentences up, so a short
 reference inside a full text isn't reported twice. Copyright lines may stand anywhere between.
 
-Long statements may run over line ends: lines are joined with their neighbours while they continue a
-known statement, by matching on the normalised text of each paragraph as well as of each line.
+Long statements may run over line ends, and stops of abbreviations may cut them: from each sentence's
+start the known statements are also matched on the normalised text of all that follows, where a blank
+of a pattern may be a sentence's end. A statement with a gap in its middle (an organisation's name)
+ends at the next text that closes it, unless another known statement starts before.
 
 Edge cases: null and empty texts have no sentences and no licences; repeated sentences count each;
 an empty table gives an empty result; repeated rows are scanned each; other columns are ignored.
@@ -16,6 +18,8 @@ an empty table gives an empty result; repeated rows are scanned each; other colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,8 +86,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT-partial", ("MitPermission",)),
     ("BSD-partial", ("BsdRedistribution",)),
 )
-#: Every pattern above holds one of these; a text without any has no known sentence.
-ANCHORS = re.compile(r"licen[sc]e|copyright|spdx|permission|warrant|redistribut|reserved|public domain|mozilla|cc0|creative commons|cc by|liable|free software|(?:released|licensed|available|distributed|published) under", re.I)
+#: Every pattern above holds one of these, on one line; a text without any has no known sentence.
+ANCHORS = re.compile(r"licen[sc]e|copyright|spdx|permission|warrant|redistribut|reserved|domain|creative|cc0|(?<![a-z0-9+])cc(?![a-z0-9+])|liable|endorse", re.I)
 BETWEEN = {"Copyright", "AllRights"}
 _SHORT = {"ccnc": {" nc": "-NC", " noncommercial": "-NC"}, "ccsa": {" sa": "-SA", " sharealike": "-SA"}, "ccnd": {" nd": "-ND", " noderivatives": "-ND"}}
 
@@ -106,9 +110,24 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def across(pattern: str) -> str:
+    """The pattern on sentences joined by line ends: a blank may be one, and what is open at the start or the end stays in its sentence."""
+    return re.sub(r"\[[^]]*\]|\.\*| ", lambda m: {" ": "[ \\n]", ".*": "[^\\n]*"}.get(m[0], m[0]), pattern)
+
+
 class Recogniser:
     def __init__(self, known: dict[str, tuple[str, ...]] = SENTENCES, rules=RULES):
         self.known = [(name, re.compile(p)) for name, ps in known.items() for p in ps]
+        self.plain: list[tuple[str, re.Pattern]] = []
+        self.gapped: list[tuple[str, re.Pattern, re.Pattern]] = []  # identifier, up to the gap, from the gap's end
+        for name, p in ((name, p) for name, ps in known.items() if name not in BETWEEN for p in ps):
+            head, gap, tail = p.partition(".* ")
+            if gap:
+                self.gapped.append((name, re.compile(across(head)), re.compile(across(f" {tail}") + "(?=\n)")))
+            else:
+                self.plain.append((name, re.compile(across(p) + "(?=\n)")))
+        heads = [f"(?:{p.pattern})" for _, p in self.plain] + [f"(?:{p.pattern})" for _, p, _ in self.gapped]
+        self.opening = re.compile(re.sub(r"\(\?P<\w+>", "(?:", "|".join(heads)))
         self.rules = rules
         self.memory: dict[str, tuple[str, dict] | None] = {}
 
@@ -130,26 +149,42 @@ class Recogniser:
         return found
 
     def identified(self, text: str) -> list[tuple[int, int, int, str, dict]]:
-        """(sentence number, start, end, identifier, groups); neighbouring lines are joined where only that gives a known sentence."""
+        """(sentence number, start, end, identifier, groups); neighbouring sentences are joined where only that gives a known one."""
         sents, out, i = sentences(text), [], 0
+        joined = "".join(norm + "\n" for _, _, norm in sents)
+        starts = [0, *accumulate(len(norm) + 1 for _, _, norm in sents)]
+        tails: dict[int, re.Match | None] = {}  # the next close of each gapped pattern, found once
         while i < len(sents):
-            best = None
-            norm = ""
-            for j in range(i, min(i + 12, len(sents))):
-                if j > i and not ANCHORS.search(norm):
-                    break
-                norm = f"{norm} {sents[j][2]}".strip()
-                hit = self.identify(norm) if len(norm) < 4000 else None
-                if hit and (j == i or hit[0] not in BETWEEN):
-                    best = (j, hit)
-                    break
-            if best:
-                out.append((i, sents[i][0], sents[best[0]][1], *best[1]))
-                i = best[0] + 1
-            else:
-                i += 1
+            j, hit = i, self.identify(sents[i][2])
+            if not hit and self.opening.match(joined, starts[i]):
+                end, hit = self.joint(joined, starts, i, tails)
+                j = bisect_left(starts, end) - 1
+            if hit:
+                out.append((i, sents[i][0], sents[j][1], *hit))
+                i = j
+            i += 1
         return out
 
+    def joint(self, joined: str, starts: list[int], i: int, tails: dict) -> tuple[int, tuple[str, dict] | None]:
+        """End, identifier and groups of the known sentence that starts at sentence i and runs on in the next ones."""
+        at = starts[i]
+        for name, pattern in self.plain:
+            m = pattern.match(joined, at)
+            if m:
+                groups = m.groupdict()
+                return m.end(), (name + "+later" * bool(groups.get("gpllater")), groups)
+        for k, (name, head, tail) in enumerate(self.gapped):
+            m = head.match(joined, at)
+            if m:
+                close = tails.get(k)
+                if k not in tails or close and close.start() < m.end():
+                    close = tails[k] = tail.search(joined, m.end())
+                if close:
+                    inside = starts[bisect_right(starts, at) : bisect_left(starts, close.end())]
+                    if not any(self.opening.match(joined, x) for x in inside):
+                        return close.end(), (name, m.groupdict() | close.groupdict())
+        return at, None
+
     def scan(self, text: str | None) -> tuple[list[str], list[tuple[str, int, int]]]:
         """Identifiers in order, and (licence, start, end) of each rule that matched."""
         if not text or not ANCHORS.search(text):
