@@ -2,8 +2,8 @@
 
 Atoms are sets of whole equal-text groups, ordered by the first digits of the text's MD5: at most
 `2**atom_bits` of them, so their sizes are a bounded table. A binary search over the capacity finds
-the smallest one for which cutting greedily gives at most `shards` contiguous runs, and the runs of
-that capacity are the shards. Slots number a shard's rows without gaps: salted buckets are counted,
+the smallest one for which cutting greedily gives at most `shards` contiguous runs; under that
+capacity the runs are cut towards fair shares of what remains. Slots number a shard's rows without gaps: salted buckets are counted,
 summed up, and numbered inside, so neither a large shard nor a hot text is one task's work.
 
 Edge cases: a null text counts as an empty one (8 bytes, CRC 0) and shares its group; equal texts
@@ -37,8 +37,41 @@ def feasible(sums: list[int], capacity: int, shards: int) -> list[int] | None:
     return cuts
 
 
+def fair_share(sizes: list[int], shards: int) -> float:
+    """An equal share among the shards that are left when each atom beyond it has one of its own; 0 if those take all."""
+    heavy, share = [], 0.0
+    while shards > len(heavy):
+        share = (sum(sizes) - sum(heavy)) / (shards - len(heavy))
+        beyond = [x for x in sizes if x > share]
+        if len(beyond) == len(heavy):
+            return share
+        heavy = beyond
+    return 0.0
+
+
+def even_cuts(sizes: list[int], sums: list[int], capacity: int, shards: int) -> list[int]:
+    """Cuts under a feasible capacity, each nearest to a fair share of what remains, as far as the rest still fits."""
+    need = [0] * (len(sums) + 1)  # the fewest runs under `capacity` that take the atoms from here on
+    for i in range(len(sums) - 1, -1, -1):
+        need[i] = 1 + need[bisect_right(sums, (sums[i - 1] if i else 0) + capacity, i)]
+    cuts, at, base = [], 0, 0
+    for left in range(shards, 0, -1):
+        if at == len(sums):
+            break
+        last = bisect_right(sums, base + capacity, at)
+        share = fair_share(sizes[at:], left)
+        nxt = min(max(bisect_right(sums, base + share, at), at + 1), last)
+        if nxt < last and sums[nxt] - base - share < base + share - sums[nxt - 1]:
+            nxt += 1
+        while need[nxt] > left - 1:
+            nxt += 1
+        cuts.append(nxt)
+        base, at = sums[nxt - 1], nxt
+    return cuts
+
+
 def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity that is feasible, and the greedy cuts under it."""
+    """The smallest capacity that is feasible, and even cuts under it."""
     if not sizes:
         return 0, []
     sums = list(accumulate(sizes))
@@ -49,7 +82,7 @@ def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
             low = mid + 1
         else:
             high = mid
-    return low, feasible(sums, low, shards)
+    return low, even_cuts(sizes, sums, low, shards)
 
 
 def atom_of(text: Column, bits: int = ATOM_BITS) -> Column:
