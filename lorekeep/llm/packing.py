@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -62,18 +63,15 @@ class _Stock:
 def _best_pair(stock: _Stock, j: int, room: int) -> tuple[int, int]:
     """Two lengths a >= b beside j with the largest a + b <= room."""
     best = (0, 0)
-    lo, hi = 0, bisect_left(stock.sizes, room + 1) - 1
-    while lo <= hi:
-        b, a = stock.sizes[lo], stock.sizes[hi]
-        need: dict[int, int] = {j: 1}
-        for x in (a, b):
-            need[x] = need.get(x, 0) + 1
-        if a + b > room:
-            hi -= 1
-        else:
-            if a + b > sum(best) and all(stock.n[x] >= c for x, c in need.items()):
-                best = (a, b)
-            lo += 1
+    for b in stock.sizes:
+        if 2 * b > room:
+            break
+        used = Counter((j, b))
+        if stock.n[b] < used[b]:
+            continue
+        a = stock.largest(room - b, used)
+        if a >= b and a + b > sum(best):
+            best = (a, b)
     return best
 
 
@@ -96,7 +94,8 @@ def dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[dict[in
     piece that fills the room exactly; with the largest that fits, if no two fit; with the largest
     that fits or with the best two, where these dominate all pairs and no three fit. Each step keeps
     an optimal packing reachable (Martello and Toth 1990); a step is taken for as many equal bins at
-    once as the counts allow without changing its premises.
+    once as the counts allow without changing its premises. A length without such a step is passed over
+    and stays among the pieces for shorter ones.
     """
     stock, fixed = _Stock(counts), []
     for s in list(stock.sizes):  # exact pairs dominate whatever else is there
@@ -110,9 +109,9 @@ def dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[dict[in
             k = stock.n[s] // 2
             fixed.append(({s: 2}, k))
             stock.take(s, 2 * k)
-    kept: dict[int, int] = {}  # lengths for which no set is known to dominate: left for best fit
-    while stock.sizes:
-        j = stock.sizes[-1]
+    below = capacity + 1  # no set is known to dominate for the lengths from here on: they still go with shorter ones, or are left for best fit
+    while i := bisect_left(stock.sizes, below):
+        j = stock.sizes[i - 1]
         room = capacity - j
         few = stock.smallest(3, {j: 1})
         one = stock.largest(room, {j: 1})
@@ -133,17 +132,17 @@ def dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[dict[in
             elif a and _beaten(stock, room, a, b) and a >= one:
                 chosen = [a, b]
         if not chosen:
-            break
+            below = j
+            continue
         need: dict[int, int] = {j: 1}
         for x in chosen:
             need[x] = need.get(x, 0) + 1
         # equal bins at once, while each chosen length outlasts them
-        times = max(1, min(stock.n[x] // c for x, c in need.items()) - 2) if len(chosen) == 1 else 1
+        times = max(1, min(stock.n[x] // c for x, c in need.items()) - 2)
         fixed.append((need, times))
         for x, c in need.items():
             stock.take(x, c * times)
-    kept.update(stock.n)
-    return fixed, kept
+    return fixed, stock.n
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
