@@ -145,8 +145,10 @@ def brute_components(rows, percent=75):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-def test_join_finds_every_link(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_WORDS", 3000)
+@pytest.mark.parametrize("small,chunk,heads", [(8, 64, 4), (2, 3, 1)])
+def test_join_finds_every_link(spark, monkeypatch, small, chunk, heads):
+    for name, value in {"BLOCK_SIGS": 3000, "SMALL": small, "CHUNK": chunk, "CELL": chunk, "LIST": chunk, "HEADS": heads}.items():
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(5)
     rows = []
     for g in range(30):
