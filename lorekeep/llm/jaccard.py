@@ -491,23 +491,26 @@ def _streamed(batches, names, finish):
 
 
 def starred(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, comp_a, comp_b) as cells: a against up to about CHUNK of its partners."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
-    celled = pairs.join(many, "a").withColumn("cell", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_n"))))
-    heads = celled.select("cell", F.lit(0).alias("pos"), F.lit(True).alias("side_a"), F.col("a").alias("doc_id"), F.col("comp_a").alias("comp")).distinct()
+    """Pairs (a, b, comp_a, comp_b) as cells: a against about CHUNK of its partners. A cell may hold its head alone."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_n"), F.min("comp_a").alias("comp"))
+    celled = pairs.join(many.select("a", "_n"), "a").withColumn("cell", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_n")).cast("int")))
+    heads = many.select("a", "comp", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"))
+    heads = heads.select(F.xxhash64("a", "i").alias("cell"), F.lit(0).alias("pos"), F.lit(True).alias("side_a"), F.col("a").alias("doc_id"), "comp")
     return heads.unionByName(celled.select("cell", F.lit(1).alias("pos"), F.lit(False).alias("side_a"), F.col("b").alias("doc_id"), F.col("comp_b").alias("comp")))
 
 
-def _near(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of documents that may be among the members: a filter of at most 2**18 hash buckets, sent to all."""
+def _near(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of documents that may be among the ids: a filter of at most 2**18 hash buckets, sent to all."""
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18)).cast("int")
-    wanted = members.select(bucket.alias("_b")).distinct()
+    wanted = ids.select(bucket.alias("_b")).distinct()
     return rows.withColumn("_b", bucket).join(F.broadcast(wanted), "_b", "left_semi").drop("_b")
 
 
-def confirmed(members: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that whole texts confirm; inside a cell, members that are connected already are not compared."""
-    joined = _by_cell(members.join(_near(members, docs), "doc_id").select("cell", "pos", "side_a", "doc_id", "comp", "text"))
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) among written pairs (a, b, comp_a, comp_b) that whole texts confirm; inside a cell, members that are connected
+    already are not compared."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    joined = _by_cell(starred(pairs).join(_near(ids, docs), "doc_id").select("cell", "pos", "side_a", "doc_id", "comp", "text"))
     names = joined.columns
 
     def run(batches):
@@ -543,7 +546,7 @@ def confirmed(members: DataFrame, docs: DataFrame, words: int = WORDS, percent:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- components
@@ -551,7 +554,7 @@ def components(links: DataFrame) -> DataFrame:
     """doc_id, comp (smallest id reachable) for every end of a link: least labels of neighbours, then a jump to the label's own."""
     spark = links.sparkSession
     edges_at = scratch_path(spark, "edges")
-    links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().write.parquet(edges_at)
+    links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).write.parquet(edges_at)
     edges = spark.read.schema("a long, b long").parquet(edges_at)
     at, turn = "", edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.col("doc_id")).alias("comp")).withColumn("was", F.lit(-1).cast("long"))
     while True:
@@ -632,7 +635,7 @@ def labels_of(docs: DataFrame, sets: DataFrame, rows: DataFrame, slices: int, ta
     stars = head.join(hub, "sig").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     stars = stars.distinct().withColumn("comp_a", F.col("a")).withColumn("comp_b", F.col("b"))
     found = tables.write("sieved0", sieved(stars, light, percent))
-    links = tables.write("links0", confirmed(starred(found), docs, words, percent))
+    links = tables.write("links0", confirmed(found, docs, words, percent))
     tables.drop("sieved0")
     labels = components(links)
 
@@ -647,7 +650,7 @@ def labels_of(docs: DataFrame, sets: DataFrame, rows: DataFrame, slices: int, ta
     pairs = groups.where("kind = 0").select("a", "b").distinct()
     pairs = _labelled(_labelled(pairs, labels, "a", "comp_a"), labels, "b", "comp_b").select("a", "b", "comp_a", "comp_b")
     found = tables.write("sieved1", sieved(pairs, light, percent))
-    links = links.unionByName(tables.write("links1", confirmed(starred(found), docs, words, percent)))
+    links = links.unionByName(tables.write("links1", confirmed(found, docs, words, percent)))
     tables.drop("sieved1")
 
     # turn 3: large groups that are still in several components
@@ -665,11 +668,15 @@ def labels_of(docs: DataFrame, sets: DataFrame, rows: DataFrame, slices: int, ta
     drawn = tables.write("bitmaps", mapped(_near(ids, docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words))
     found = tables.write("candidates", across(cells.join(drawn, "doc_id"), percent))
     release_shuffles(spark)
-    best = found.groupBy("a", "comp_b").agg(F.min(F.struct("apart", "b", "comp_a")).alias("m")).select("a", "m.b", "m.comp_a", "comp_b")
-    links = links.unionByName(tables.write("links2", confirmed(starred(best), docs, words, percent)))
+    best = found.groupBy("a", "comp_b").agg(F.min(F.struct("apart", "b", "comp_a")).alias("m"))
+    best = tables.write("best", best.select("a", "m.b", "m.comp_a", "comp_b"))
+    links = links.unionByName(tables.write("links2", confirmed(best, docs, words, percent)))
     labels = components(links)
     left = _labelled(_labelled(found.select("a", "b").distinct(), labels, "a", "comp_a"), labels, "b", "comp_b").where("comp_a <> comp_b")
-    last = tables.write("links3", confirmed(starred(left), docs, words, percent))
+    left = tables.write("left", left.select("a", "b", "comp_a", "comp_b"))
+    if left.limit(1).count() == 0:
+        return labels
+    last = tables.write("links3", confirmed(left, docs, words, percent))
     return labels if last.limit(1).count() == 0 else components(links.unionByName(last))
 
 
