@@ -51,8 +51,10 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "ApacheSee": (r"see the license for the specific language governing permissions and limitations under the license",),
     "GplReference": (r"(this (work|program|software|file|project|page|text) is )?(released|licensed|distributed|available) under the (terms of the )?gnu general public licen[sc]e( version| v)? (?P<gpl>[23])( 0)?(?P<gpllater> or (any )?later.*)?",),
     "GplFree": (r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version (?P<gplfree>[23]) of the license or (at your option )?any later version",),
-    "GplHope": (r"this program is distributed in the hope that it will be useful but without any warranty.*",),
-    "GplReceived": (r"you should have received a copy of the gnu general public license.*",),
+    "LgplFree": (r"this (library|program) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license as published by the free software foundation either version (?P<lgplfree>2 1|2|3) of the license or (at your option )?any later version",),
+    "AgplFree": (r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or (at your option )?any later version",),
+    "GplHope": (r"this (program|library) is distributed in the hope that it will be useful but without any warranty.*",),
+    "GplReceived": (r"you should have received a copy of the gnu (lesser |library |affero )?general public license.*",),
     "LgplReference": (r"(this (work|library|software|file) is )?(released|licensed|distributed|available) under the (terms of the )?gnu (lesser|library) general public licen[sc]e( version| v)? (?P<lgpl>2 1|2|3).*",),
     "AgplReference": (r"(this (work|program|software|file) is )?(released|licensed|distributed|available) under the (terms of the )?gnu affero general public licen[sc]e( version| v)? 3.*",),
     "MplReference": (r"this source code form is subject to the terms of the mozilla public license v 2 0", r"(released|licensed|distributed) under the mozilla public licen[sc]e( version)? 2 0"),
@@ -71,6 +73,10 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("ApacheReference", "ApacheMayNot")),
     ("GPL-{gplfree}.0-or-later", ("GplFree", "GplHope", "GplReceived")),
     ("GPL-{gplfree}.0-or-later", ("GplFree",)),
+    ("LGPL-{lgplfree}-or-later", ("LgplFree", "GplHope", "GplReceived")),
+    ("LGPL-{lgplfree}-or-later", ("LgplFree",)),
+    ("AGPL-3.0-or-later", ("AgplFree", "GplHope", "GplReceived")),
+    ("AGPL-3.0-or-later", ("AgplFree",)),
     ("{spdx}", ("Spdx",)),
     ("MIT", ("MitReference",)),
     ("Apache-2.0", ("ApacheReference",)),
@@ -89,7 +95,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: Every pattern above holds one of these, on one line; a text without any has no known sentence.
 ANCHORS = re.compile(r"licen[sc]e|copyright|spdx|permission|warrant|redistribut|reserved|domain|creative|cc0|(?<![a-z0-9+])cc(?![a-z0-9+])|liable|endorse", re.I)
 BETWEEN = {"Copyright", "AllRights"}
-_SHORT = {"ccnc": {" nc": "-NC", " noncommercial": "-NC"}, "ccsa": {" sa": "-SA", " sharealike": "-SA"}, "ccnd": {" nd": "-ND", " noderivatives": "-ND"}}
+_SHORT = {"lgplfree": {"2": "2.0", "2 1": "2.1", "3": "3.0"}, "ccnc": {" nc": "-NC", " noncommercial": "-NC"}, "ccsa": {" sa": "-SA", " sharealike": "-SA"}, "ccnd": {" nd": "-ND", " noderivatives": "-ND"}}
 
 
 def normalised(sentence: str) -> str:

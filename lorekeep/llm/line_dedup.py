@@ -12,7 +12,9 @@ task's work.
 Edge cases: a null text stays null and counts as a page without lines; lines without a word are
 never dropped; rows with a null host form one group; a page of boilerplate alone becomes an empty
 text; repeated rows are equal texts; an empty table gives an empty result; further columns pass
-through `drop_boilerplate`. Names starting with `_lk_` are reserved.
+through `drop_boilerplate`, but input columns named n_lines or n_dropped are replaced. Names starting
+with `_lk_` are reserved. A line is looked up in its host's list from the start, so a host's longest
+list (lines a page / ratio) is the most a line costs.
 """
 
 from __future__ import annotations
@@ -80,9 +82,9 @@ WITH l AS (
          generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents),
 p AS (
-  SELECT source, line, count(DISTINCT doc_id) AS pages FROM l
+  SELECT source, line, count(DISTINCT text) AS pages FROM l
   WHERE regexp_matches(line, '[^ \\t\\n\\x0b\\f\\r]') GROUP BY source, line),
-h AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
+h AS (SELECT source, count(DISTINCT text) + count(*) FILTER (WHERE text IS NULL) AS host_pages FROM documents GROUP BY source),
 bad AS (
   SELECT p.source, p.line FROM p JOIN h ON p.source IS NOT DISTINCT FROM h.source
   WHERE pages >= {LEAST_PAGES} AND pages > {RATIO} * host_pages),

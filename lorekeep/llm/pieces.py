@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, written
+from .common import documents, parts, written
 
 #: Texts longer than this are split.
 CHUNK = 32_768
@@ -235,11 +235,11 @@ def split_points(s: str, chunk: int, longest: int) -> list[int]:
     return [*out, len(s)]
 
 
-_CHUNKS = "doc_id long, row_id string, chunk int, start long, n int, text string, matrix binary, n_tokens long, score double, ids binary"
+_CHUNKS = "doc_id long, row_id string, chunk int, start long, n int, text string, n_tokens long, score double, ids binary"
 
 
 def chunked(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """Short texts encoded at once (chunk 0 with ids); long ones as chunks with text and matrix."""
+    """Short texts encoded at once (chunk 0 with ids); long ones cut into chunks with their text."""
 
     def run(batches):
         import hashlib
@@ -247,22 +247,22 @@ def chunked(docs: DataFrame, path: str, chunk: int) -> DataFrame:
         import pyarrow as pa
 
         model = Model(path)
-        names = ["doc_id", "row_id", "chunk", "start", "n", "text", "matrix", "n_tokens", "score", "ids"]
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.float64(), pa.binary()]
+        names = ["doc_id", "row_id", "chunk", "start", "n", "text", "n_tokens", "score", "ids"]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.binary()]
         rows, held = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = normalise(text.as_py())
                 if len(s) <= chunk:
                     score, ids = model.trace(s, len(s), 0, 0) if s else (0.0, b"")
-                    rows.append((doc, None, 0, 0, len(s), None, None, len(ids) // 4, score, ids))
+                    rows.append((doc, None, 0, 0, len(s), None, len(ids) // 4, score, ids))
                     held += len(ids)
                 else:
                     name = hashlib.md5(f"{doc} {s}".encode("utf-8", "surrogatepass")).hexdigest()
                     edges = split_points(s, chunk, model.longest)
                     for k, (a, b) in enumerate(zip(edges, edges[1:])):
                         part = s[a : b + model.longest - 1]
-                        rows.append((doc, name, k, a, b - a, part, model.matrix(part, b - a).tobytes(), None, None, None))
+                        rows.append((doc, name, k, a, b - a, part, None, None, None))
                         held += 4 * len(part)
                 if held > 4 << 20 or len(rows) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -273,6 +273,21 @@ def chunked(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     return docs.mapInArrow(run, _CHUNKS)
 
 
+def _matrices(chunks: DataFrame, path: str) -> DataFrame:
+    """row_id, chunk, matrix: each chunk by itself, wherever it was dealt."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = Model(path)
+        for batch in batches:
+            rows = [(r["row_id"], r["chunk"], model.matrix(r["text"], r["n"]).tobytes()) for r in batch.to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary()))], ["row_id", "chunk", "matrix"])
+
+    return chunks.mapInArrow(run, "row_id string, chunk int, matrix binary")
+
+
 def _border_states(chunks: DataFrame, longest: int) -> DataFrame:
     """row_id, chunk, entry, exit for the chunks of long texts; a text's matrices are a small part of its size."""
 
@@ -292,10 +307,11 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, id_col:
     path = path or model_path()
     longest = Model(path).longest
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(chunked(narrow, path, chunk), "chunks")
+    rows = written(chunked(narrow, path, chunk), "chunks", "zstd")
     short = rows.where("row_id is null").select("doc_id", "chunk", "start", F.col("n").cast("long").alias("n_chars"), "n_tokens", "score", "ids")
-    long_ = rows.where("row_id is not null").select("doc_id", "row_id", "chunk", "start", "n", "text")
-    border = _border_states(rows.where("row_id is not null"), longest)
+    # chunks of one text go to many tasks, once: for their matrices and again for their paths
+    long_ = rows.where("row_id is not null").select("doc_id", "row_id", "chunk", "start", "n", "text").repartition(parts(docs.sparkSession), "row_id", "chunk")
+    border = _border_states(_matrices(long_, path), longest)
 
     def trace(batches):
         import pyarrow as pa

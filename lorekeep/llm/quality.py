@@ -134,12 +134,14 @@ def cascade(texts: list[str | None], rules: tuple[Rule, ...]) -> list[str]:
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, measures: bool = True) -> DataFrame:
-    """docs with base_failed and kept, and the measures if asked for. The sample only orders the rules."""
+    """docs with kept and, if measures are asked for, these and base_failed. Base rules that `rules` lacks are asked last. The sample
+    only orders the rules."""
+    rules = (*rules, *(r for r in BASE if r not in rules))
     order = cascade([r[0] for r in docs.select(text).limit(sample_rows).collect()], rules)
     named = {r.name: r for r in rules}
     base = {r.name for r in BASE}
     names = MEASURES if measures else ()
-    own = [*names, "base_failed", "kept"]
+    own = [*names, "base_failed", "kept"] if measures else ["kept"]
     through = [c for c in docs.columns if c not in own]
     at = through.index(text)
 
@@ -155,14 +157,14 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
                 for value in part.column(at):
                     m = Measured(value.as_py(), hashes)
                     failed = next((n for n in order if named[n].rejects(m)), None)
-                    # base_failed is asked for by itself; measures already taken are not taken again
-                    base_failed = failed in base or any(r.rejects(m) for r in BASE)
-                    for col, v in zip(out, [*(getattr(m, n) for n in names), base_failed, failed is None and not base_failed]):
+                    # base_failed is asked for by itself, and only where it is returned; measures already taken are not taken again
+                    asked = [failed in base or any(r.rejects(m) for r in BASE)] if measures else []
+                    for col, v in zip(out, [*(getattr(m, n) for n in names), *asked, failed is None]):
                         col.append(v)
-                kinds = [pa.int64()] * len(names) + [pa.bool_()] * 2
+                kinds = [pa.int64()] * len(names) + [pa.bool_()] * (len(own) - len(names))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(out, kinds))], [*through, *own])
 
-    kinds = [T.LongType()] * len(names) + [T.BooleanType()] * 2
+    kinds = [T.LongType()] * len(names) + [T.BooleanType()] * (len(own) - len(names))
     src = docs.select(*through)
     schema = T.StructType(src.schema.fields + [T.StructField(n, k) for n, k in zip(own, kinds)])
     return src.mapInArrow(judge, schema)
