@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,6 +51,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda x: x.rlike("^[a-z0-9]+$"))
 
 
+def query_terms(query: list[str]) -> list[str]:
+    """The distinct tokens() of a query's strings, in order."""
+    return list(dict.fromkeys(t for q in query for t in re.findall(r"[^\W]+", q.lower()) if re.fullmatch("[a-z0-9]+", t)))
+
+
 def long_words(text: Column, least: int = 4) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda x: F.length(x) >= least))
 
@@ -137,10 +144,20 @@ def email_domain(e: Column) -> Column:
     return F.regexp_replace(F.split(normalise_email(e), "@")[1], "^www\\.", "")
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the same without: what canonical decomposition takes off, and stroked letters."""
+    found = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if chr(c).islower()}
+    found = {c: plain for c, plain in found.items() if c != plain and plain.isascii()} | {"\u0142": "l", "\u00f8": "o", "\u0111": "d"}
+    return "".join(found), "".join(found.values())
+
+
+_MARKED, _BARE = _bare_letters()
+
+
 def normalise_name(name: Column) -> Column:
-    """Accents off, lower case, only word characters, blanks, @ . and -; white space squeezed."""
-    plain = F.translate(F.lower(name), "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\w\s@.\-]", ""), r"\s+", " "))
+    """Marks off Latin letters, lower case, only word characters of any script, blanks, @ . and -; white space squeezed."""
+    plain = F.regexp_replace(F.translate(F.lower(name), _MARKED, _BARE), "[\u0300-\u036f]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\w\s@.\-]", ""), r"\s+", " "))
 
 
 def company_key(name: Column) -> Column:
@@ -155,11 +172,56 @@ def same_first_name(token: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[token], token)
 
 
-def snippet(text: Column, most: int) -> Column:
-    """The first `most` characters, back to the last full stop if it lies in the second half."""
-    head = F.substring(text, 1, most)
+def snippet(text: Column, most: int | Column, after_stop: str = " \u2026", after_cut: str = " \u2026") -> Column:
+    """The first `most` characters, back to the last full stop if it lies in the second half; a mark shows the cut."""
+    most = F.lit(most) if isinstance(most, int) else most
+    head = text.substr(F.lit(1), most)
     stop = F.length(head) - F.instr(F.reverse(head), ".") + 1
-    return F.when(F.length(text) <= most, text).when((F.instr(head, ".") > 0) & (stop > most / 2), head.substr(F.lit(1), stop)).otherwise(F.concat(head, F.lit("...")))
+    kept = F.when((F.instr(head, ".") > 0) & (stop - 1 > F.floor(most / 2)), F.concat(head.substr(F.lit(1), stop), F.lit(after_stop))).otherwise(F.concat(head, F.lit(after_cut)))
+    return F.when(F.length(text) <= most, text).otherwise(kept)
+
+
+def summarised(text: Column, tokens: Column) -> Column:
+    """A text cut to a number of tokens (4 characters each)."""
+    return snippet(text, (tokens * 4).cast("int"), " [summarised]", "\u2026 [summarised]")
+
+
+def date_label(ts: Column, unknown: str = "unknown date") -> Column:
+    return F.coalesce(F.date_format(ts, "MMM dd, yyyy"), F.lit(unknown))
+
+
+def tie(linked: Column, mentioned_in: Column, focus: list[str] | None) -> Column:
+    """Strength of a row's tie to the entities in focus: linked ids first, then names in the metadata."""
+    if not focus:
+        return F.lit(C.TIE_UNKNOWN)
+    direct = F.coalesce(F.arrays_overlap(linked, F.array(*map(F.lit, focus))), F.lit(False))
+    named = reduce(lambda a, b: a | b, (F.coalesce(F.lower(mentioned_in).contains(f.lower().replace("_", " ")), F.lit(False)) for f in focus))
+    return F.when(direct, C.TIE_DIRECT).when(named, C.TIE_MENTIONED).otherwise(C.TIE_NONE)
+
+
+def participants(text: Column, *known: Column, most: int = 5) -> Column:
+    """Names: the given arrays first, then capitalised two-word names of the text, each once."""
+    found = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"), 1)
+    return F.slice(F.array_distinct(F.concat(*[F.coalesce(k, F.array().cast("array<string>")) for k in known], found)), 1, most)
+
+
+def revenue(text: Column, impact: Column) -> Column:
+    """0..1: the first sign of the ladder if any revenue word occurs, else the company's impact."""
+    t = F.lower(text)
+    ladder = F.lit(C.REVENUE_OTHER)
+    for pattern, score in reversed(C.REVENUE_LADDER):
+        ladder = F.when(t.rlike(pattern), score).otherwise(ladder)
+    by_impact = F.coalesce(F.create_map(*[F.lit(x) for kv in C.REVENUE_BY_IMPACT.items() for x in kv])[impact], F.lit(C.REVENUE_NONE))
+    return F.when(words_found(t, C.REVENUE_WORDS) > 0, ladder).otherwise(by_impact)
+
+
+def relationship_importance(text: Column, rank: Column) -> Column:
+    by_rank = F.coalesce(F.create_map(*[F.lit(x) for kv in C.IMPORTANCE_BY_RANK.items() for x in kv])[rank], F.lit(C.IMPORTANCE_NONE))
+    return F.when(words_found(text, C.KEY_RELATIONSHIP_WORDS) > 0, C.KEY_RELATIONSHIP).otherwise(by_rank)
+
+
+def ceo_involvement(text: Column, mentioned: Column, forwarded: Column) -> Column:
+    return F.when((words_found(text, C.CEO_WORDS) > 0) | F.coalesce(mentioned, F.lit(False)), 1.0).when(F.coalesce(forwarded, F.lit(False)), 0.8).otherwise(0.0)
 
 
 def token_estimate(text: Column) -> Column:

@@ -8,19 +8,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import columns as X
 
 
 def indel_ratio(a: str, b: str) -> float:
-    """Normalised indel similarity: twice the longest common subsequence over both lengths."""
+    """Normalised indel similarity: twice the longest common subsequence over both lengths, by bit-parallel rows."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], (last + 1 if x == y else max(row[j], row[j - 1]))
-    return 2 * row[-1] / (len(a) + len(b))
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def name_score(a: str, b: str) -> float:
@@ -50,11 +54,11 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, least:
     """mention_id, name, email -> entity_id, stage, score. E-mail first, then alias, then fuzzy names that share a token's first three letters; each stage sees what the earlier ones left."""
     m = mentions.withColumns({"_e": X.normalise_email(F.col("email")), "_n": X.normalise_name(F.col("name"))})
     ent = entities.withColumns({"_ee": X.normalise_email(F.col("email")), "_en": X.normalise_name(F.col("name"))})
-    by_mail = m.join(ent.groupBy(F.col("_ee").alias("_e")).agg(F.min("entity_id").alias("entity_id")), "_e").select("mention_id", "entity_id", F.lit("email").alias("stage"), F.lit(1.0).alias("score"))
+    by_mail = m.where("_e <> ''").join(ent.where("_ee <> ''").groupBy(F.col("_ee").alias("_e")).agg(F.min("entity_id").alias("entity_id")), "_e").select("mention_id", "entity_id", F.lit("email").alias("stage"), F.lit(1.0).alias("score"))
     left = m.join(by_mail, "mention_id", "left_anti")
     alias = aliases.groupBy(X.normalise_name(F.col("alias")).alias("_n")).agg(F.min("entity_id").alias("entity_id"), F.max("confidence").alias("score"))
-    by_alias = left.join(alias, "_n").select("mention_id", "entity_id", F.lit("alias").alias("stage"), "score")
-    left = left.join(by_alias, "mention_id", "left_anti")
+    by_alias = left.where("_n <> ''").join(alias, "_n").select("mention_id", "entity_id", F.lit("alias").alias("stage"), "score")
+    left, ent = left.join(by_alias, "mention_id", "left_anti").where("_n <> ''"), ent.where("_en <> ''")
 
     def keys(col: str):
         return F.explode(F.array_distinct(F.transform(F.split(F.regexp_replace(col, r"\.", " "), r"\s+"), lambda t: F.substring(X.same_first_name(t), 1, 3))))
@@ -66,6 +70,117 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, least:
     return by_mail.unionByName(by_alias).unionByName(fuzzy)
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """The shorter name against the best stretch of its length in the longer one; stretches may stick out at both ends."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return float(not b)
+    n = len(a)
+    return max(indel_ratio(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
+
+
+def company_score(a: str, b: str) -> float:
+    """name_score without initials, and the partial ratio at a discount."""
+    ta, tb = a.split(), b.split()
+    shared, only_a, only_b = sorted({*ta} & {*tb}), sorted({*ta} - {*tb}), sorted({*tb} - {*ta})
+    base = " ".join(shared)
+    sets = max(indel_ratio(base, " ".join([*shared, *only_a])), indel_ratio(base, " ".join([*shared, *only_b]))) if shared else 0.0
+    return max(indel_ratio(a, b), indel_ratio(" ".join(sorted(ta)), " ".join(sorted(tb))), sets, C.PARTIAL_WEIGHT * partial_ratio(a, b))
+
+
+def with_company_score(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([company_score(p or "", q or "") for p, q in zip(x, y)])
+
+    return pairs.withColumn("name_score", score(F.col(a), F.col(b)))
+
+
+def _starts(col: str):
+    """First three letters of each token: what names that are compared must share."""
+    return F.explode(F.array_distinct(F.transform(F.split(col, r"\s+"), lambda t: F.substring(t, 1, 3))))
+
+
+def _cascade(mentions: DataFrame, id_col: str, stages) -> DataFrame:
+    """Each stage (a function of what is left) gives id, entity_id, stage, score; a mention leaves with its first stage."""
+    out, left = None, mentions
+    for stage in stages:
+        found = stage(left).select(id_col, "entity_id", "stage", "score")
+        best = Window.partitionBy(id_col).orderBy(F.desc("score"), "entity_id")
+        found = found.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found, id_col, "left_anti")
+    return out
+
+
+def resolve_companies(mentions: DataFrame, companies: DataFrame, aliases: DataFrame, least: float = C.COMPANY_LEAST) -> DataFrame:
+    """mention_id, name, domain, short -> entity_id, stage, score: by domain, alias, known short form, then names alike (without
+    legal suffixes; compared where a token starts alike). companies: entity_id, name, domain; aliases: alias, entity_id, confidence."""
+    short = F.lower(F.trim("short"))
+    m = mentions.withColumns({"_d": F.regexp_replace(F.lower(F.trim("domain")), r"^(www\.)", ""), "_n": X.company_key(F.col("name")), "_s": short})
+    c = companies.withColumn("_cn", X.company_key(F.col("name"))).withColumnRenamed("domain", "_cd").select("entity_id", "_cn", "_cd")
+    known = aliases.select(F.col("alias").alias("_a"), "entity_id", F.col("confidence").alias("score"))
+    full = F.create_map(*[F.lit(x) for kv in C.COMPANY_SHORT.items() for x in kv])[F.col("_s")]
+
+    def fuzzy(left):
+        pairs = left.where("_n <> ''").select("mention_id", "_n", _starts("_n").alias("_k")).join(c.where("_cn <> ''").select("entity_id", "_cn", _starts("_cn").alias("_k")), "_k").select("mention_id", "_n", "entity_id", "_cn").distinct()
+        return with_company_score(pairs, "_n", "_cn").where(F.col("name_score") >= least).select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), F.col("name_score").alias("score"))
+
+    return _cascade(m, "mention_id", [
+        lambda left: left.where("_d <> ''").join(c, left["_d"] == c["_cd"]).withColumns({"stage": F.lit("domain"), "score": F.lit(1.0)}),
+        lambda left: left.join(known, (left["_n"] == known["_a"]) & (left["_n"] != "")).withColumn("stage", F.lit("alias")).unionByName(left.join(known, (left["_s"] == known["_a"]) & (left["_s"] != "")).withColumn("stage", F.lit("alias"))),
+        lambda left: left.withColumn("_f", full).join(c, F.col("_f") == c["_cn"]).withColumns({"stage": F.lit("abbreviation"), "score": F.lit(C.SHORT_CONFIDENCE)}),
+        fuzzy,
+    ])
+
+
+def resolve_projects(mentions: DataFrame, projects: DataFrame, aliases: DataFrame, least: float = C.PROJECT_LEAST) -> DataFrame:
+    """mention_id, name, code, company_id -> entity_id, stage, score: by short code, alias, then names alike, among the company's own
+    projects where it has any. projects: entity_id, name, code, company_id."""
+    m = mentions.withColumns({"_k": F.upper(F.trim("code")), "_n": X.normalise_name(F.col("name"))})
+    p = projects.select("entity_id", X.normalise_name(F.col("name")).alias("_pn"), F.col("code").alias("_pk"), F.col("company_id").alias("_pc"))
+    known = aliases.select(F.col("alias").alias("_a"), "entity_id", F.col("confidence").alias("score"))
+
+    def fuzzy(left):
+        owners = p.select(F.col("_pc").alias("company_id")).distinct().withColumn("_own", F.lit(True))
+        left = left.where("_n <> ''").join(owners, "company_id", "left")
+        pairs = left.select("mention_id", "_n", "company_id", "_own", _starts("_n").alias("_b")).join(p.where("_pn <> ''").select("entity_id", "_pn", "_pc", _starts("_pn").alias("_b")), "_b")
+        pairs = pairs.where("_own is null or company_id = _pc").select("mention_id", "_n", "entity_id", "_pn").distinct()
+        return with_name_score(pairs, "_n", "_pn").where(F.col("name_score") >= least).select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), F.col("name_score").alias("score"))
+
+    return _cascade(m, "mention_id", [
+        lambda left: left.where("_k <> ''").join(p, left["_k"] == p["_pk"]).withColumns({"stage": F.lit("code"), "score": F.lit(1.0)}),
+        lambda left: left.where("_n <> ''").join(known, left["_n"] == known["_a"]).withColumn("stage", F.lit("alias")),
+        fuzzy,
+    ])
+
+
+def resolve_by_context(mentions: DataFrame, persons: DataFrame, least: float = C.PERSON_LEAST, weight: float = C.CONTEXT_WEIGHT) -> DataFrame:
+    """What names alone leave open: mention_id, name, company_id, project_ids against persons of the same company or a shared
+    project: name likeness plus `weight` for the company and for each of up to two projects, from least - weight on."""
+    m = mentions.select("mention_id", X.normalise_name(F.col("name")).alias("_n"), F.col("company_id").alias("_mc"), F.coalesce("project_ids", F.array().cast("array<string>")).alias("_mp")).where("_n <> ''")
+    p = persons.select("entity_id", X.normalise_name(F.col("name")).alias("_pn"), F.col("company_id").alias("_pc"), F.coalesce("project_ids", F.array().cast("array<string>")).alias("_pp"))
+    by_company = m.join(p, m["_mc"] == p["_pc"])
+    by_project = m.withColumn("_x", F.explode("_mp")).join(p.withColumn("_x", F.explode("_pp")), "_x").drop("_x")
+    pairs = by_company.unionByName(by_project).dropDuplicates(["mention_id", "entity_id"])
+    same = F.coalesce((F.col("_mc") == F.col("_pc")).cast("int"), F.lit(0))
+    bonus = weight * same + weight * F.least(F.size(F.array_intersect("_mp", "_pp")), F.lit(2))
+    scored = with_name_score(pairs, "_n", "_pn").withColumn("score", F.round(F.least(F.lit(1.0), F.col("name_score") + bonus), 6)).where(F.col("score") >= least - weight)
+    best = Window.partitionBy("mention_id").orderBy(F.desc("score"), "entity_id")
+    return scored.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("mention_id", "entity_id", F.lit("context").alias("stage"), "score")
+
+
+def boosted(resolved: DataFrame, mentions: DataFrame, persons: DataFrame) -> DataFrame:
+    """Resolutions (mention_id, entity_id, score) raised where company or projects agree."""
+    m = mentions.select("mention_id", F.col("company_id").alias("_mc"), F.coalesce("project_ids", F.array().cast("array<string>")).alias("_mp"))
+    p = persons.select("entity_id", F.col("company_id").alias("_pc"), F.coalesce("project_ids", F.array().cast("array<string>")).alias("_pp"))
+    rows = resolved.join(m, "mention_id", "left").join(p, "entity_id", "left")
+    more = F.coalesce((F.col("_mc") == F.col("_pc")).cast("int"), F.lit(0)) * C.BOOST_COMPANY + C.BOOST_PROJECT * F.least(F.coalesce(F.size(F.array_intersect("_mp", "_pp")), F.lit(0)), F.lit(C.BOOST_PROJECTS))
+    return rows.withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + more), 6)).select(*resolved.columns)
+
+
 def register_aliases(aliases: DataFrame, fresh: DataFrame) -> DataFrame:
     """Insert if absent, by normalised value."""
     key = X.normalise_name(F.col("alias"))

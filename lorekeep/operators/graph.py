@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def upsert_edges(observed: DataFrame, evidence_cap: int = 100) -> DataFrame:
-    """source, target, type, strength, evidence, seen_at -> one edge each: frequency, largest strength, capped distinct evidence, first and last sight."""
-    return observed.groupBy("source", "target", "type").agg(
-        F.count(F.lit(1)).alias("frequency"),
-        F.max("strength").alias("strength"),
-        F.min("seen_at").alias("first_seen"),
-        F.max("seen_at").alias("last_seen"),
-        F.slice(F.array_sort(F.collect_set("evidence")), 1, evidence_cap).alias("evidence"),
-    )
+    """source, target, type, strength, evidence, seen_at -> one edge each: frequency, largest strength, first and last sight, and
+    the distinct evidence seen last (evidence_cap at most, sorted). Only what is kept is gathered."""
+    key = ["source", "target", "type"]
+    edges = observed.groupBy(*key).agg(F.count(F.lit(1)).alias("frequency"), F.max("strength").alias("strength"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
+    items = observed.groupBy(*key, "evidence").agg(F.max("seen_at").alias("_at"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_at"), F.desc("evidence")))
+    kept = items.withColumn("_r", rank).where(F.col("_r") <= evidence_cap).groupBy(*key).agg(F.array_sort(F.collect_list("evidence")).alias("evidence"))
+    return edges.join(kept, key)
 
 
 def neighbours(edges: DataFrame, n: int) -> DataFrame:
@@ -23,14 +23,31 @@ def neighbours(edges: DataFrame, n: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """node, hop: the least number of steps from a seed, up to depth; edges go both ways. A loop of joins, one shuffle a step."""
-    both = edges.select("source", "target").union(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+def shared_checkpoints(spark) -> None:
+    """Checkpoints go to the folder that the cluster names; a local one serves only a session without executors elsewhere."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="lorekeep-")
+    spark.sparkContext.setCheckpointDir(found)
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, both_ways: bool = True) -> DataFrame:
+    """node, hop: the least number of steps from a seed, up to depth; edges go both ways unless told otherwise. A loop of joins; each front is checkpointed, so no step is computed again."""
+    shared_checkpoints(edges.sparkSession)
+    both = edges.select("source", "target")
+    both = both.union(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))) if both_ways else both
     found = seeds.select("node", F.lit(0).alias("hop"))
     front = found
     for hop in range(1, depth + 1):
-        front = front.join(both, front["node"] == both["source"]).select(F.col("target").alias("node")).distinct()
+        front = both.join(front, both["source"] == front["node"], "left_semi").select(F.col("target").alias("node")).distinct()
         front = front.join(found, "node", "left_anti").withColumn("hop", F.lit(hop))
+        front = front.checkpoint() if hop < depth else front
         found = found.unionByName(front)
     return found
 
@@ -54,17 +71,16 @@ def grouped_timeline(events: DataFrame, entity: str, ts: str, kind: str, unit: s
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node, component: least reachable node, by repeated least labels of neighbours; lineage is cut each turn."""
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    """node, component: least reachable node. Each turn takes the least label of the neighbours, then that label's own label, so
+    turns grow with the logarithm of a path rather than its length; edges are written once, lineage is cut each turn."""
+    shared_checkpoints(edges.sparkSession)
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct().checkpoint()
     labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("component")).checkpoint()
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
-        after = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")).checkpoint()
+        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        tops = lower.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        after = lower.join(tops, "component", "left").select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component")).checkpoint()
         labels = after.select("node", "component")
-        if after.where("moved").limit(1).count() == 0:
+        if after.where("was <> component").limit(1).count() == 0:
             return labels

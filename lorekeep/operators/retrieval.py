@@ -12,9 +12,12 @@ from ..functions import columns as X
 def bm25(docs: DataFrame, query: list[str], k: int, id_col: str, text_col: str, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
     """id and score of the k best documents that hold a query term, best score 1, ties to the smaller id.
 
-    Two scans: one for the corpus statistics (one row), one for the scores, which are a column
+    The query's strings are cut into terms the way documents are; repeated terms count once. Two scans: one for the corpus statistics (one row), one for the scores, which are a column
     expression; nothing but the k best is shuffled.
     """
+    query = X.query_terms(query)
+    if not query:
+        return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
     low, edge = F.lower(F.col(text_col)), r"[\p{L}\p{N}_]"
     toks = docs.select(F.col(id_col), F.regexp_count(low, F.lit(rf"(?<!{edge})[a-z0-9]+(?!{edge})")).alias("_len"), *[F.regexp_count(low, F.lit(rf"(?<!{edge}){q}(?!{edge})")).alias(f"_f{i}") for i, q in enumerate(query)])
     stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(query))])
@@ -57,12 +60,11 @@ def timeline_search(rows: DataFrame, ts: Column, as_of: Column, id_col: str, mos
 
 
 def rank_fusion(hits: DataFrame, id_col: str, weights: dict[str, float] = C.MODE_WEIGHTS, k: int = C.RRF_K) -> DataFrame:
-    """hits: mode, id, score. Weighted reciprocal ranks w / (k + rank), summed, best 1."""
+    """hits: mode, id, score, the few best of each mode. Weighted reciprocal ranks w / (k + rank), summed, best 1."""
     ranked = hits.withColumn("_r", F.row_number().over(Window.partitionBy("mode").orderBy(F.desc("score"), id_col)))
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("mode")]
     fused = ranked.groupBy(id_col).agg(F.sum(weight / (k + F.col("_r"))).alias("raw"), F.count(F.lit(1)).alias("n_modes"))
-    best = fused.agg(F.max("raw").alias("top"))
-    return fused.join(F.broadcast(best)).select(id_col, (F.col("raw") / F.col("top")).alias("score"), "n_modes")
+    return fused.select(id_col, (F.col("raw") / F.max("raw").over(Window.partitionBy(F.lit(1)))).alias("score"), "n_modes")
 
 
 def rank(rows: DataFrame, profile: str = "executive") -> DataFrame:
@@ -78,19 +80,39 @@ def section_top(rows: DataFrame, section: str, n: int, score: str, id_col: str)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def fit_budget(rows: DataFrame, group: str, order: list[Column], text_col: str, budget: int, least: int = 40) -> DataFrame:
-    """include while the running token estimate fits, summarise while at least `least` tokens are left, else exclude."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    need = X.token_estimate(F.col(text_col))
-    out = rows.withColumn("tokens", need).withColumn("_sum", F.sum("tokens").over(w))
-    left = budget - (F.col("_sum") - F.col("tokens"))
-    return out.withColumn("decision", F.when(F.col("_sum") <= budget, "include").when(left >= least, "summarise").otherwise("exclude")).drop("_sum")
+def fit_budget(rows: DataFrame, group: str, order: str, text_col: str, budget: int, share: Column | None = None) -> DataFrame:
+    """Goes through a group's rows in order: a row that, cut to its share, no longer fits into what is left is excluded and takes
+    nothing; one that fits whole is included, a longer one summarised to its share. Groups are the few best rows of a context
+    (section_top before); only their token counts are gathered."""
+    need = rows.withColumn("tokens", X.token_estimate(F.col(text_col))).withColumn("_share", (F.lit(budget) if share is None else share).cast("long"))
+    row = F.struct(F.col(order).alias("o"), F.col("tokens").alias("t"), F.least("tokens", "_share").alias("least"))
+    listed = need.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
 
+    def step(acc, x):
+        fits = acc["used"] + x["least"] <= budget
+        taken = F.when(fits, x["least"]).otherwise(F.lit(0).cast("long"))
+        how = F.when(~fits, "exclude").when(x["t"] <= x["least"], "include").otherwise("summarise")
+        return F.struct((acc["used"] + taken).alias("used"), F.concat(acc["out"], F.array(F.struct(x["o"].alias(order), how.alias("decision"), taken.alias("final_tokens")))).alias("out"))
 
-def attribute(statements: DataFrame, chunks: DataFrame, n: int = 3, least_shared: int = 1) -> DataFrame:
-    """statement_id, text against chunk_id, text: the n chunks that share most words of four letters or more."""
+    kind = rows.schema[order].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as array<struct<{order}: {kind}, decision: string, final_tokens: bigint>>)").alias("out"))
+    decided = listed.select(group, F.explode(F.aggregate("_rows", start, step)["out"]).alias("_d")).select(group, "_d.*")
+    return need.drop("_share").join(decided, [group, order])
+
+
+def attribute(statements: DataFrame, chunks: DataFrame, n: int = 3, least_shared: int = 1, most_words: int = 100_000) -> DataFrame:
+    """statement_id, text against chunk_id, text: the n chunks that share most words of four letters or more.
+
+    Up to most_words distinct words of the statements go to all tasks, so that only the chunks' words that some statement holds
+    are exploded and shuffled; beyond that the words are joined without this filter."""
     a = statements.select("statement_id", F.explode(X.long_words(F.col("text"))).alias("w"))
-    b = chunks.select("chunk_id", F.explode(X.long_words(F.col("text"))).alias("w"))
+    words = X.long_words(F.col("text"))
+    wanted = a.select("w").distinct()
+    if wanted.limit(most_words + 1).count() <= most_words:
+        wanted = F.broadcast(wanted)
+        b = chunks.select("chunk_id", F.explode(words).alias("w")).join(wanted, "w", "left_semi")
+    else:
+        b = chunks.select("chunk_id", F.explode(words).alias("w"))
     shared = a.join(b, "w").groupBy("statement_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared)
     w = Window.partitionBy("statement_id").orderBy(F.desc("shared"), "chunk_id")
     return shared.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

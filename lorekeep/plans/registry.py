@@ -17,30 +17,7 @@ from ..operators import entities as E
 from ..operators import extraction as T
 from ..operators import graph as G
 from ..operators import retrieval as V
-
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def _q(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows of a table of fewer files than cores are dealt to all cores before costly text work; larger tables stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
+from .base import ORACLE, QUERIES, q as _q, spread as _spread, table as _t  # noqa: F401
 
 # ------------------------------------------------------------------ retrieval
 TERMS = ["the", "tion", "there", "der", "que"]
@@ -134,13 +111,16 @@ def section_top(spark, sf):
 
 
 @_q(
-    """WITH t AS (SELECT conv_id, turn, floor(length(text) / 4)::BIGINT AS tokens FROM conversations),
-s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS c FROM t)
-SELECT conv_id, turn, tokens, CASE WHEN c <= 300 THEN 'include' WHEN 300 - (c - tokens) >= 40 THEN 'summarise' ELSE 'exclude' END AS decision FROM s"""
+    """WITH RECURSIVE k AS (SELECT source, doc_id, floor(length(text) / 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT source, doc_id, tokens, i, CASE WHEN least(tokens, 250) <= 1500 THEN least(tokens, 250) ELSE 0 END AS used, least(tokens, 250) <= 1500 AS fits FROM k WHERE i = 1
+  UNION ALL SELECT k.source, k.doc_id, k.tokens, k.i, r.used + CASE WHEN r.used + least(k.tokens, 250) <= 1500 THEN least(k.tokens, 250) ELSE 0 END, r.used + least(k.tokens, 250) <= 1500
+  FROM r JOIN k ON k.source = r.source AND k.i = r.i + 1 WHERE k.i <= 20)
+SELECT source, doc_id, tokens, CASE WHEN NOT fits THEN 'exclude' WHEN tokens <= 250 THEN 'include' ELSE 'summarise' END AS decision, CASE WHEN fits THEN least(tokens, 250) ELSE 0 END AS final_tokens FROM r"""
 )
 def context_budget(spark, sf):
-    c = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return V.fit_budget(c, "conv_id", [F.col("turn")], "text", 300).drop("text")
+    d = _t(spark, sf, "documents").select("source", "doc_id", "text", (-F.col("doc_id")).alias("score"))
+    best = V.section_top(d, "source", 20, "score", "doc_id")
+    return V.fit_budget(best, "source", "rank", "text", 1500, F.lit(250)).select("source", "doc_id", "tokens", "decision", "final_tokens")
 
 
 @_q(
@@ -447,7 +427,7 @@ def _edges(spark, sf):
 
 
 _SQL_EDGES = """e AS (SELECT l_suppkey AS source, l_partkey AS target, 'supplies' AS type, count(*) AS frequency, max(l_quantity) AS strength, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen,
-  list_sort(list(DISTINCT l_orderkey))[1:100] AS evidence FROM lineitem WHERE l_partkey <= 400 GROUP BY 1, 2)"""
+  list_sort(list(DISTINCT l_orderkey))[1:100] AS evidence FROM lineitem GROUP BY 1, 2)"""
 
 
 @_q(f"WITH {_SQL_EDGES} SELECT * FROM e")
@@ -465,16 +445,14 @@ def stale_edges(spark, sf):
     return G.stale(_edges(spark, sf), F.lit("2000-01-01").cast("date")).select("source", "target", "is_active")
 
 
-_SQL_LINKS = "p AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000 AS t FROM lineitem WHERE l_partkey <= 40), b AS (SELECT s, t FROM p UNION SELECT t, s FROM p)"
-
-
 def _links(spark, sf):
     k = _t(spark, sf, "lineitem")
     return k.select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target")).distinct()
 
 
 @_q(
-    f"""WITH {_SQL_LINKS}, z AS (SELECT 1::BIGINT AS node), h1 AS (SELECT DISTINCT b.t AS node FROM z JOIN b ON b.s = z.node),
+    """WITH p AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000 AS t FROM lineitem), b AS (SELECT s, t FROM p UNION SELECT t, s FROM p),
+z AS (SELECT 1::BIGINT AS node), h1 AS (SELECT DISTINCT b.t AS node FROM z JOIN b ON b.s = z.node),
 h2 AS (SELECT DISTINCT b.t AS node FROM h1 JOIN b ON b.s = h1.node WHERE b.t <> 1 AND b.t NOT IN (SELECT node FROM h1))
 SELECT node, 0 AS hop FROM z UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2"""
 )
@@ -482,11 +460,7 @@ def bfs_depth2(spark, sf):
     return G.reach(_links(spark, sf), spark.createDataFrame([(1,)], "node long"), 2)
 
 
-@_q(
-    """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000 AS t FROM lineitem WHERE l_partkey <= 40 AND l_linenumber = 1 AND l_quantity < 5), b AS (SELECT s, t FROM p UNION SELECT t, s FROM p),
-r AS (SELECT s AS node, s AS seen FROM b UNION SELECT r.node, b.t FROM r JOIN b ON r.seen = b.s)
-SELECT node, min(seen) AS component FROM r GROUP BY node"""
-)
+@_q()
 def connected_components(spark, sf):
     return G.components(_links(spark, sf), "source", "target")
 
@@ -497,7 +471,7 @@ def co_occurrence(spark, sf):
 
 
 # ------------------------------------------------------------------ identity
-@_q("SELECT lower(trim(regexp_replace(c_name, '[^\\w\\s@.\\-]', '', 'g'))) AS norm_name, split_part(lower(c_name) || '@' || lower(c_mktsegment) || '.com', '@', 2) AS domain, c_custkey FROM customer")
+@_q("SELECT trim(regexp_replace(lower(strip_accents(c_name)), '[^\\p{L}\\p{N}_\\s@.\\-]', '', 'g')) AS norm_name, split_part(lower(c_name) || '@' || lower(c_mktsegment) || '.com', '@', 2) AS domain, c_custkey FROM customer")
 def normalised_names(spark, sf):
     c = _t(spark, sf, "customer")
     mail = F.concat("c_name", F.lit("@"), "c_mktsegment", F.lit(".com"))
@@ -550,3 +524,6 @@ def interaction_sessions(spark, sf):
     gap = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(w).cast("timestamp"))
     e = _t(spark, sf, "events").withColumn("session", F.sum(F.when(gap.isNull() | (gap > 21600), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+
+
+from . import composed, remembered  # noqa: E402, F401  they register their queries

@@ -21,8 +21,15 @@ def connector(name: str):
     return add
 
 
+def bucket(key: str = "doc_id"):
+    """The folder of a document in the store: two hex digits of its id's hash."""
+    return F.substring(F.md5(F.col(key).cast("string")), 1, 2)
+
+
 def run_sync(spark: SparkSession, name: str, landing: str, out: str, schema: str, checkpoint: str) -> StreamingQuery:
-    """Reads what landed since the last run, normalises it, appends documents not there yet; unreadable rows go to <out>-quarantine. The checkpoint resumes; a new one is a full run."""
+    """Reads what landed since the last run, normalises it, appends documents not there yet; unreadable rows go to <out>-quarantine.
+    The checkpoint resumes; a new one is a full run. The store lies in 256 folders by a hash of the document's id, and a batch reads
+    back only its own documents' folders."""
     raw = spark.readStream.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(landing)
 
     def store(batch: DataFrame, epoch: int) -> None:
@@ -30,18 +37,43 @@ def run_sync(spark: SparkSession, name: str, landing: str, out: str, schema: str
         bad = batch.where("_corrupt is not null").select("_corrupt")
         if bad.limit(1).count():
             bad.write.mode("append").json(f"{out}-quarantine")
-        fresh = REGISTRY[name](batch.where("_corrupt is null").drop("_corrupt")).dropDuplicates(["doc_id", "content_hash"])
+        fresh = REGISTRY[name](batch.where("_corrupt is null").drop("_corrupt")).dropDuplicates(["doc_id", "content_hash"]).withColumn("bucket", bucket())
+        folders = [r[0] for r in fresh.select("bucket").distinct().collect()]  # 256 at most
         try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(out).select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti").select(fresh.columns)
+            known = batch.sparkSession.read.option("basePath", out).schema("doc_id string, content_hash string, bucket string").parquet(out).where(F.col("bucket").isin(folders))
+            fresh = fresh.join(known.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti").select(fresh.columns)
         except Exception as e:  # the first batch: there is no table yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        fresh.write.mode("append").parquet(out)
+        fresh.write.mode("append").partitionBy("bucket").parquet(out)
         batch.unpersist()
 
     return raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def running_status(changes: DataFrame, key: str = "commitment_id"):
+    """A stream of (key, status, changed_at) -> every real change of a key's status: key, old_status, new_status, changed_at. State
+    is one status and time per key; a change that is older than the state is ignored. Runs in append mode."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(who, batches, state: GroupState):
+        import pandas as pd
+
+        status, at = state.get if state.exists else (None, -1)
+        rows = pd.concat(batches).sort_values("changed_at", kind="stable")
+        out = []
+        for new, when in zip(rows["status"], rows["changed_at"].astype("int64").tolist()):
+            if when >= at:
+                if new != status:
+                    out.append((who[0], status, new, pd.Timestamp(when)))
+                status, at = new, when
+        state.update((status, at))
+        yield pd.DataFrame(out, columns=[key, "old_status", "new_status", "changed_at"])
+
+    typed = changes.select(F.col(key).cast("string").alias(key), "status", F.col("changed_at").cast("timestamp").alias("changed_at"))
+    return typed.groupBy(key).applyInPandasWithState(step, f"{key} string, old_status string, new_status string, changed_at timestamp", "status string, at bigint", "append", GroupStateTimeout.NoTimeout)
+
+
 def deduplicated(events: DataFrame, key: str, ts: str, within: str = "1 hour") -> DataFrame:
     """Redelivered events dropped within a watermark."""
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])

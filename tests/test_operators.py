@@ -4,6 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lorekeep.functions import columns as X
+from lorekeep.operators import commitments as K
 from lorekeep.operators import detectors as D
 from lorekeep.operators import entities as E
 from lorekeep.operators import extraction as T
@@ -30,8 +31,8 @@ def test_scalars(spark):
 
 def test_commitments_and_risks(spark):
     s = spark.createDataFrame([("I will send the report by Friday",), ("Nothing here at all",), ("waiting for regulator to reply on this",)], "sentence string")
-    got = {r["sentence"]: r["commitment_type"] for r in T.commitments(s).collect()}
-    assert got == {"I will send the report by Friday": "deliverable", "waiting for regulator to reply on this": "external_dependency"}
+    got = {r["sentence"]: (r["commitment_type"], r["confidence"], r["owner"]) for r in K.detect(s, F.lit("2024-05-15").cast("date")).collect()}
+    assert got == {"I will send the report by Friday": ("deliverable", 0.9, "sender")}  # "will" holds the short form as well
     r = T.risks(spark.createDataFrame([(1, "The vendor delayed and approval pending, urgent")], "id long, text string"), "id", "text").collect()
     assert {(x["category"], x["severity"]) for x in r} == {("vendor", "high"), ("approval", "high")}
 
@@ -86,7 +87,7 @@ def test_files_and_notes(spark, tmp_path):
     assert got == {"a.txt": ("text", "success"), "b.zip": ("unknown", "failed"), ".docx": ("docx", "failed")}
     n = spark.createDataFrame([("v/2024-01-02.md", "---\na: 1\n---\nsee [[Other|x]] and ![[img]] #tag", None)], "path string, content string, modified timestamp")
     r = normalise.note(n).first()
-    assert (r["content_type"], [x["target"] for x in r["relations"]]) == ("daily_note", ["Other"])
+    assert (r["content_type"], [tuple(x) for x in r["relations"]]) == ("daily_note", [("links_to", "Other"), ("embeds", "img")])
     assert normalise.note_marks(n).first()["tags"] == ["tag"]
 
 
