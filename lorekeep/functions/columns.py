@@ -172,6 +172,14 @@ def same_first_name(token: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[token], token)
 
 
+def nickname_likeness(a: Column, b: Column) -> Column:
+    """Jaccard of two names' tokens, each with all forms of the first name it may stand for."""
+    forms = {f: sorted({full, *shorts}) for full, shorts in C.NICKNAMES.items() for f in (full, *shorts)}
+    table = F.create_map(*[x for k, v in forms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    wide = lambda n: F.array_distinct(F.flatten(F.transform(F.split(n, r"\s+"), lambda t: F.concat(F.array(t), F.coalesce(table[t], F.array().cast("array<string>"))))))
+    return jaccard(wide(a), wide(b))
+
+
 def snippet(text: Column, most: int | Column, after_stop: str = " \u2026", after_cut: str = " \u2026") -> Column:
     """The first `most` characters, back to the last full stop if it lies in the second half; a mark shows the cut."""
     most = F.lit(most) if isinstance(most, int) else most

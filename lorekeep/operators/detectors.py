@@ -83,3 +83,36 @@ def raise_severity(found: DataFrame, keys: list[str]) -> DataFrame:
     """Several finds of one risk: evidence gathered, severity only rises."""
     worst = F.min(severity_rank(F.col("severity")))
     return found.groupBy(*keys).agg(F.array(*map(F.lit, C.SEVERITIES))[worst].alias("severity"), F.count(F.lit(1)).alias("n_evidence"))
+
+
+def evaluated(companies: DataFrame, scored: DataFrame, as_of: Column, keep: int = C.HEALTH_HISTORY) -> DataFrame:
+    """Companies (company, health, health_history: array of (at, score, health)) with their new scores (company, health_score, health):
+    old_health, health, changed, and the history with the last `keep` entries."""
+    new = scored.select("company", F.col("health_score").alias("_s"), F.col("health").alias("_h"))
+    rows = companies.join(new, "company")
+    entry = F.struct(as_of.alias("at"), F.col("_s").alias("score"), F.col("_h").alias("health"))
+    longer = F.concat(F.coalesce("health_history", F.array().cast("array<struct<at:timestamp_ntz,score:double,health:string>>")), F.array(entry))
+    kept = F.slice(longer, F.greatest(F.size(longer) - keep, F.lit(0)) + 1, keep)
+    return rows.select("company", F.col("health").alias("old_health"), F.col("_h").alias("health"), F.round("_s", 2).alias("health_score"), (~F.col("health").eqNullSafe(F.col("_h"))).alias("changed"), kept.alias("health_history"))
+
+
+def requiring_attention(companies: DataFrame) -> DataFrame:
+    """At risk or in need of attention, the worst first."""
+    return companies.where("health in ('attention_required', 'at_risk')").orderBy("health_score", "company")
+
+
+def running_totals(totals: DataFrame, interactions: DataFrame) -> DataFrame:
+    """Totals per company (n, last_at, response_hours) after more interactions (company, occurred_at, response_hours): counts add up, the
+    mean response time weighs all that have one (n_timed)."""
+    fresh = interactions.groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.max("occurred_at").alias("last_at"), F.count("response_hours").alias("n_timed"), F.avg("response_hours").alias("response_hours"))
+    both = totals.select("company", "n", "last_at", "n_timed", "response_hours").unionByName(fresh)
+    mean = F.sum(F.col("response_hours") * F.col("n_timed")) / F.nullif(F.sum("n_timed"), F.lit(0))
+    return both.groupBy("company").agg(F.sum("n").alias("n"), F.max("last_at").alias("last_at"), mean.alias("response_hours"), F.sum("n_timed").alias("n_timed"))
+
+
+def active_summary(*found: DataFrame) -> DataFrame:
+    """Escalations of all detectors (signal_type, company, severity): how many of each type are active, by severity."""
+    rows = found[0].select("signal_type", "company", "severity")
+    for more in found[1:]:
+        rows = rows.unionByName(more.select("signal_type", "company", "severity"))
+    return rows.distinct().groupBy("signal_type").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("severity") == s).alias(s) for s in C.SEVERITIES])

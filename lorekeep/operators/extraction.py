@@ -156,3 +156,30 @@ def classify_queries(queries: DataFrame, col: str = "query") -> DataFrame:
     names = F.regexp_extract_all(F.col(col), F.lit(r"((?:[A-Z][A-Za-z]+)(?:\s[A-Z][A-Za-z]+)*)"), 1)
     plain = F.filter(names, lambda x: ~F.lower(x).isin("what", "who", "where", "when", "why", "how", "which", "summarize", "status", "show", "list", "tell"))
     return queries.withColumns({"category": X.most_hits(t, C.CATEGORY_SIGNALS, "general"), "intent": X.first_match(t, C.INTENT_SIGNALS, "general"), "temporal": X.first_match(t, C.TEMPORAL_SIGNALS, "all_time"), "entities": plain})
+
+
+def intents(queries: DataFrame, col: str = "query") -> DataFrame:
+    """The first engine's intent of each question, by plain words, and its plan: memories, collection, n_vectors, signals, days_back."""
+    t = F.lower(F.col(col))
+    kind = F.lit("general")
+    for name, words in reversed(list(C.INTENT_WORDS.items())):
+        kind = F.when(X.words_found(t, words) > 0, name).otherwise(kind)
+    schema = "intent string, memories array<string>, collection string, n_vectors int, signals array<string>, days_back int"
+    plans = queries.sparkSession.createDataFrame([(k, *v) for k, v in C.INTENT_PLANS.items()], schema)
+    return queries.withColumn("intent", kind).join(F.broadcast(plans), "intent")
+
+
+def event_rows(texts: DataFrame, source_type: str, text_col: str = "text") -> DataFrame:
+    """Timeline events of mails, meeting notes or contracts: event_type, importance, milestone, title (512 characters), excerpt
+    (2000), description. Meetings (agenda, decisions: arrays) are held, and matter more with decisions; contracts are signed."""
+    rows = events_of(texts, text_col)
+    none = F.array().cast("array<string>")
+    about = F.lit(None).cast("string")
+    if source_type == "meeting_notes":
+        decided = F.coalesce("decisions", none)
+        listed = lambda c, n: F.when(F.size(F.coalesce(c, none)) > 0, F.array_join(F.slice(c, 1, n), "; "))
+        about = F.nullif(F.concat_ws(" | ", F.concat(F.lit("Agenda: "), listed(F.col("agenda"), 5)), F.concat(F.lit("Decisions: "), listed(F.col("decisions"), 3))), F.lit(""))
+        rows = rows.withColumns({"event_type": F.lit("meeting_held"), "importance": F.when(F.size(decided) > 0, 0.65).otherwise(0.45), "is_milestone": F.lit(False)})
+    if source_type == "contract":
+        rows = rows.withColumns({"event_type": F.lit("contract_signed"), "importance": F.lit(0.95), "is_milestone": F.lit(True)})
+    return rows.withColumns({"source_type": F.lit(source_type), "title": F.substring("title", 1, 512), "excerpt": F.substring(text_col, 1, C.EXCERPT_MOST), "description": about})

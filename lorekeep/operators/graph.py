@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
+
 
 def upsert_edges(observed: DataFrame, evidence_cap: int = 100) -> DataFrame:
     """source, target, type, strength, evidence, seen_at -> one edge each: frequency, largest strength, first and last sight, and
@@ -23,6 +25,52 @@ def neighbours(edges: DataFrame, n: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def document_uuid(doc_id: Column) -> Column:
+    """A document's id as the UUID of its MD5."""
+    return F.regexp_replace(F.md5(doc_id), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def linked(rows: DataFrame, source_type: str, target_type: str, kind: str | None = None) -> DataFrame:
+    """source, target, ... as typed edges; a kind that does not fit the two types is an error."""
+    kind = kind or C.DEFAULT_LINKS[source_type, target_type]
+    if kind not in C.RELATION_TYPES[source_type, target_type]:
+        raise ValueError(f"{kind} does not link {source_type} and {target_type}")
+    target = document_uuid(F.col("target")) if target_type == "document" else F.col("target")
+    return rows.withColumns({"source_type": F.lit(source_type), "target_type": F.lit(target_type), "type": F.lit(kind), "target": target})
+
+
+def relationships_of(edges: DataFrame, entities: DataFrame, direction: str = "both", types: list[str] | None = None, least: float = 0.0, n: int = 100) -> DataFrame:
+    """entity_type, entity, direction, other_type, other, type, strength, frequency, rank: the n most frequent active edges of each
+    entity (entity_type, entity), outbound, inbound or both ways."""
+    rows = edges.where("is_active").where(F.col("strength") >= least) if least > 0 else edges.where("is_active")
+    rows = rows.where(F.col("type").isin(*types)) if types else rows
+    keep = ["type", "strength", "frequency"]
+    out = rows.select(F.col("source_type").alias("entity_type"), F.col("source").alias("entity"), F.lit("outbound").alias("direction"), F.col("target_type").alias("other_type"), F.col("target").alias("other"), *keep)
+    back = rows.select(F.col("target_type").alias("entity_type"), F.col("target").alias("entity"), F.lit("inbound").alias("direction"), F.col("source_type").alias("other_type"), F.col("source").alias("other"), *keep)
+    found = {"outbound": out, "inbound": back, "both": out.unionByName(back)}[direction].join(entities, ["entity_type", "entity"], "left_semi")
+    w = Window.partitionBy("entity_type", "entity").orderBy(F.desc("frequency"), "other_type", "other", "type", "direction")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def related_entities(edges: DataFrame, entities: DataFrame, other_type: str) -> DataFrame:
+    """entity_type, entity -> other, type: e.g. the projects of companies, the persons of projects."""
+    return relationships_of(edges, entities, n=2**31 - 1).where(F.col("other_type") == other_type).select("entity_type", "entity", "other", "type").distinct()
+
+
+def subgraph(edges: DataFrame, anchors: DataFrame, depth: int = 2, per_node: int = C.NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
+    """Nodes (entity_type, entity, hop) up to depth steps from the anchors (entity_type, entity), each going on along its per_node
+    most frequent edges only, and those edges (as relationships_of gives them, with hop)."""
+    shared_checkpoints(edges.sparkSession)
+    nodes = anchors.distinct().withColumn("hop", F.lit(0))
+    front, found = anchors.distinct(), None
+    for hop in range(depth):
+        rels = relationships_of(edges, front, n=per_node).withColumn("hop", F.lit(hop)).checkpoint()
+        found = rels if found is None else found.unionByName(rels)
+        front = rels.select(F.col("other_type").alias("entity_type"), F.col("other").alias("entity")).distinct().join(nodes, ["entity_type", "entity"], "left_anti").checkpoint()
+        nodes = nodes.unionByName(front.withColumn("hop", F.lit(hop + 1)))
+    return nodes, found
+
+
 def shared_checkpoints(spark) -> None:
     """Checkpoints go to the folder that the cluster names; a local one serves only a session without executors elsewhere."""
     if spark.sparkContext.getCheckpointDir():

@@ -137,3 +137,83 @@ def where_given(rows: DataFrame, **tests) -> DataFrame:
         elif value is not None:
             rows = rows.where(c == value)
     return rows
+
+
+def added(entities: DataFrame, items: DataFrame, key: str, counter: str) -> DataFrame:
+    """Entities with a counter raised by the distinct items (key, item_id) that were added."""
+    n = items.select(key, "item_id").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return entities.join(n, key, "left").withColumn(counter, F.coalesce(counter, F.lit(0)) + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def flagged(views_: DataFrame, silence: int = 30) -> DataFrame:
+    """Views with the reasons why they need attention, and all of it as JSON."""
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("overdue_commitments") > 0, F.concat(F.col("overdue_commitments").cast("string"), F.lit(" overdue commitment(s)"))),
+            F.when(F.col("critical_risks") > 0, F.concat(F.col("critical_risks").cast("string"), F.lit(" critical risk(s)"))),
+            F.when(F.col("days_since_contact") > silence, F.concat(F.lit("no contact for "), F.col("days_since_contact").cast("string"), F.lit(" days"))),
+        )
+    )
+    out = views_.withColumn("reasons", reasons).withColumn("needs_attention", F.size("reasons") > 0)
+    return out.withColumn("context", F.to_json(F.struct(*out.columns)))
+
+
+def profile(entities: DataFrame, key: str, **parts: DataFrame) -> DataFrame:
+    """Entities with each part's rows per key as a sorted array of structs; parts are few rows per entity (capped before)."""
+    out = entities
+    for name, rows in parts.items():
+        cols = [c for c in rows.columns if c != key]
+        out = out.join(rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{rows.select(F.struct(*cols).alias('s')).schema['s'].dataType.simpleString()}>")))
+    return out
+
+
+def through(left: DataFrame, junction: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of two tables that a junction (left_key, right_key) ties together."""
+    return left.join(junction.select(left_key, right_key).distinct(), left_key).join(right, right_key)
+
+
+def holding(rows: DataFrame, array_col: str, **wanted: str) -> DataFrame:
+    """Rows whose array of structs has an element with all the wanted values."""
+    return rows.where(F.exists(array_col, lambda x: reduce(lambda a, b: a & b, (x[k] == v for k, v in wanted.items()))))
+
+
+def paged(rows: DataFrame, order: list[Column], offset: int, n: int) -> DataFrame:
+    """A page of rows with the total number of rows on each."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(n).join(F.broadcast(total))
+
+
+def index_of(**kinds: tuple[DataFrame, str, str]) -> DataFrame:
+    """entity_type, entity_id, item_id over several tables (rows, entity column, item column): who has which commitments or risks."""
+    parts = [rows.select(F.lit(kind).alias("entity_type"), F.col(entity).cast("string").alias("entity_id"), F.col(item).cast("string").alias("item_id")).where("entity_id is not null") for kind, (rows, entity, item) in kinds.items()]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def gauges(**tables: DataFrame) -> DataFrame:
+    """name, value: how many rows each table has."""
+    return reduce(DataFrame.unionByName, [rows.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("name"), "value") for name, rows in tables.items()])
+
+
+def by_role(people: Column, role: str) -> Column:
+    """The first participant (struct with role) of a role, else the first at all."""
+    return F.coalesce(F.get(F.filter(people, lambda p: p["role"] == role), 0), F.get(people, 0))
+
+
+def as_document(rows: DataFrame, id_col: str) -> DataFrame:
+    """id, document: a row as JSON, nulls left out; read_document() takes it back."""
+    return rows.select(id_col, F.to_json(F.struct(*rows.columns)).alias("document"))
+
+
+def read_document(documents: DataFrame, schema: str) -> DataFrame:
+    return documents.select(F.from_json("document", schema).alias("d")).select("d.*")
+
+
+def pending(chunks: DataFrame, embedded: DataFrame, n: int = 1000) -> DataFrame:
+    """The first n chunks without a vector."""
+    return chunks.join(embedded.select("chunk_id"), "chunk_id", "left_anti").orderBy("chunk_id").limit(n)
+
+
+def embedded(chunks: DataFrame, dimension: int = 64) -> DataFrame:
+    """chunk_id, vector by the stub model; a vector of another dimension is an error."""
+    rows = chunks.select("chunk_id", X.stub_embedding(F.col("text"), dimension).alias("vector"))
+    return rows.withColumn("vector", F.when(F.size("vector") == dimension, F.col("vector")).otherwise(F.raise_error(F.lit("wrong dimension"))))

@@ -78,7 +78,21 @@ def failures(results: DataFrame, required: DataFrame) -> DataFrame:
     return empty.unionByName(lacks)
 
 
-def answer_quality(coverage: Column, evidence: Column, conflicts: Column) -> Column:
-    """A ladder for a rendered answer: insufficient without evidence, then by coverage, one step lower where sources contradict."""
-    base = reduce(lambda rest, step: F.when(coverage >= step[0], step[1]).otherwise(rest), [(0.4, "partial"), (0.8, "high")], F.lit("low"))
-    return F.when(evidence == 0, "insufficient").when(conflicts & (base == "high"), "partial").when(conflicts & (base == "partial"), "low").otherwise(base)
+def answer_quality(answer: Column, evidence: Column) -> Column:
+    """ungrounded without evidence, uncertain where the answer says so, partial where it speculates or cites nothing, else grounded."""
+    low = F.lower(answer)
+    flagged = (X.words_found(low, C.SPECULATION[:8]) > 0) | ~answer.rlike(r"\[.+?\]")
+    return F.when(evidence == 0, "ungrounded").when(low.contains("insufficient evidence"), "uncertain").when(flagged, "partial").otherwise("grounded")
+
+
+def stub_answer(context: Column) -> Column:
+    """The answer of the engine without a language model: fixed lines for the signs that a context holds."""
+    low = F.lower(context)
+    parts = [F.when(X.words_found(low, signs) > 0, F.lit(f"{head}\n{line}" if head else line)) for signs, head, line in C.STUB_ANSWER]
+    some = reduce(lambda a, b: a | b, (p.isNotNull() for p in parts))
+    return F.concat_ws("\n", F.lit(C.STUB_HEAD), *parts, F.when(~some, C.STUB_NOTHING))
+
+
+def ranked_report(scored: DataFrame, key: str) -> DataFrame:
+    """Scored answers as report lines (JSON), the worst first."""
+    return scored.orderBy("score", key).select(key, "score", F.to_json(F.struct(*scored.columns)).alias("line"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import consistency as Z
+from ..operators import detectors as D
 from ..operators import entities as E
 from ..operators import extraction as T
+from ..operators import graph as G
 from ..operators import memory as Y
+from ..operators import provenance as P
 from ..operators import scoring as R
 from . import samples as S
 from .base import Literal, expected, q, spread, table
@@ -356,10 +359,140 @@ def retrieval_failures(spark, sf):
     return R.failures(results, wanted)
 
 
-@q(expected("id long; quality string", [(1, "insufficient"), (2, "high"), (3, "partial"), (4, "partial"), (5, "low"), (6, "low")]))
+@q(expected("id long; quality string", [(1, "ungrounded"), (2, "grounded"), (3, "partial"), (4, "partial"), (5, "uncertain"), (6, "partial")]))
 def answer_quality_ladder(spark, sf):
-    rows = [(1, 1.0, 0, False), (2, 0.8, 2, False), (3, 0.9, 2, True), (4, 0.5, 2, False), (5, 0.5, 2, True), (6, 0.1, 1, False)]
-    return spark.createDataFrame(rows, "id long, c double, e long, x boolean").select("id", R.answer_quality(F.col("c"), F.col("e"), F.col("x")).alias("quality"))
+    rows = [(1, "All fine. [Email]", 0), (2, "All fine. [Email]", 2), (3, "All fine.", 2), (4, "Probably fine. [Email]", 2), (5, "Insufficient evidence, I think.", 2), (6, "", 1)]
+    return spark.createDataFrame(rows, "id long, a string, e long").select("id", R.answer_quality(F.col("a"), F.col("e")).alias("quality"))
+
+
+@q(expected("id long; answer string", [
+    (1, "Current Status: Information retrieved from organisational memory.\n\nKey Facts:\n- Approval is delayed pending regulator response. [Email · Recent]\n\nRisks:\n- Q2 delivery is at risk if approval is not received soon. [Risk Record · Recent]"),
+    (2, "Current Status: Information retrieved from organisational memory.\n\nInsufficient evidence found in the provided context to answer this query."),
+    (3, "Current Status: Information retrieved from organisational memory.\n\n- Project timeline has shifted due to the approval hold. [Meeting · Recent]\n\nOpen Items:\n- Follow-up with regulator is pending. [Commitment · Recent]"),
+]))
+def stub_answers(spark, sf):
+    rows = [(1, "the approval is DELAYED and a risk"), (2, "nothing of note"), (3, "the timeline shifted; follow up")]
+    return spark.createDataFrame(rows, "id long, c string").select("id", R.stub_answer(F.col("c")).alias("answer"))
+
+
+@q(expected("question_id long; intent string; memories array<string>; collection string; n_vectors int; days_back int", [
+    (1, "person", ["person"], "interactions", 5, None), (2, "timeline", ["timeline"], "interactions", 10, 30), (3, "project", ["project"], "documents", 5, None), (4, "risk", ["risks", "company", "project"], "documents", 4, None),
+    (5, "commitment", ["commitments"], None, 0, None), (6, "general", [], "documents", 10, None),
+]))
+def first_engine_plans(spark, sf):
+    return T.intents(S.QUESTIONS.frame(spark)).select("question_id", "intent", "memories", "collection", "n_vectors", "days_back")
+
+
+# ------------------------------------------------------------------ provenance and graph
+def _records(spark, sf):
+    k = table(spark, sf, "lineitem")
+    return k.select(F.lit("part").alias("item_type"), F.col("l_partkey").alias("item_id"), F.concat(F.lower("l_returnflag"), F.lit("_mail")).alias("source_type"), F.col("l_orderkey").alias("document_id"), F.col("l_shipdate").alias("source_at"), F.array(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("people"), F.lit("").alias("excerpt"), F.lit(1.0).alias("confidence"))
+
+
+@q(
+    """WITH t AS (SELECT l_partkey AS item_id, lower(l_returnflag) || '_mail' AS st, count(*) AS n, min(l_shipdate) AS a, max(l_shipdate) AS z FROM lineitem GROUP BY 1, 2),
+g AS (SELECT item_id, sum(n)::BIGINT AS n_sources, min(a) AS first_at, max(z) AS last_at, string_agg(n || ' ' || replace(st, '_', ' ') || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY st) AS what FROM t GROUP BY 1),
+p AS (SELECT l_partkey AS item_id, list_sort(list(DISTINCT 's' || l_suppkey))[1:20] AS people FROM lineitem GROUP BY 1)
+SELECT 'part' AS item_type, item_id, n_sources, first_at, last_at, people, 'Based on ' || what || CASE WHEN first_at = last_at THEN ' (' || strftime(first_at, '%Y-%m-%d') || ')' ELSE ' (' || strftime(first_at, '%Y-%m-%d') || ' to ' || strftime(last_at, '%Y-%m-%d') || ')' END AS summary FROM g JOIN p USING (item_id)"""
+)
+def provenance_summaries(spark, sf):
+    return P.summary(_records(spark, sf))
+
+
+@q("SELECT 'part' AS item_type, count(DISTINCT l_partkey) AS n FROM lineitem")
+def provenance_coverage(spark, sf):
+    return P.coverage(_records(spark, sf))
+
+
+def _typed_edges(spark, sf):
+    k = table(spark, sf, "lineitem")
+    rows = k.groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.count(F.lit(1)).alias("frequency"), F.max("l_quantity").alias("strength"))
+    return G.linked(rows, "company", "project").withColumn("is_active", F.col("target") % 11 != 0)
+
+
+_SQL_TYPED = """e AS (SELECT l_suppkey AS s, l_partkey AS t, count(*) AS frequency, max(l_quantity) AS strength FROM lineitem WHERE l_partkey % 11 <> 0 GROUP BY 1, 2),
+b AS (SELECT 'company' AS et, s AS e, 'outbound' AS direction, 'project' AS ot, t AS o, frequency, strength FROM e UNION ALL SELECT 'project', t, 'inbound', 'company', s, frequency, strength FROM e)"""
+
+
+@q(f"WITH {_SQL_TYPED}, r AS (SELECT *, row_number() OVER (PARTITION BY et, e ORDER BY frequency DESC, ot, o) AS k FROM b WHERE strength >= 20 AND ((et = 'company' AND e IN (1, 2)) OR (et = 'project' AND e IN (3, 4)))) SELECT et AS entity_type, e AS entity, direction, o AS other, frequency FROM r WHERE k <= 10")
+def entity_relationships(spark, sf):
+    who = spark.createDataFrame([("company", 1), ("company", 2), ("project", 3), ("project", 4)], "entity_type string, entity long")
+    return G.relationships_of(_typed_edges(spark, sf), who, least=20, n=10).select("entity_type", "entity", "direction", "other", "frequency")
+
+
+@q(
+    f"""WITH {_SQL_TYPED}, k AS (SELECT *, row_number() OVER (PARTITION BY et, e ORDER BY frequency DESC, ot, o) AS i FROM b), x AS (SELECT * FROM k WHERE i <= 5),
+h1 AS (SELECT DISTINCT ot, o FROM x WHERE et = 'company' AND e = 1), h2 AS (SELECT DISTINCT x.ot, x.o FROM x JOIN h1 ON x.et = h1.ot AND x.e = h1.o WHERE NOT (x.ot = 'company' AND x.o = 1))
+SELECT 'company' AS entity_type, 1::BIGINT AS entity, 0 AS hop UNION ALL SELECT ot, o, 1 FROM h1 UNION ALL SELECT ot, o, 2 FROM h2"""
+)
+def entity_subgraph(spark, sf):
+    return G.subgraph(_typed_edges(spark, sf), spark.createDataFrame([("company", 1)], "entity_type string, entity long"), 2, 5)[0]
+
+
+@q("SELECT DISTINCT 'project' AS entity_type, l_partkey AS entity, l_suppkey AS other, 'involved_in' AS type FROM lineitem WHERE l_partkey IN (1, 2, 3, 11) AND l_partkey % 11 <> 0")
+def companies_of_projects(spark, sf):
+    who = spark.createDataFrame([("project", i) for i in (1, 2, 3, 11)], "entity_type string, entity long")
+    return G.related_entities(_typed_edges(spark, sf), who, "company")
+
+
+# ------------------------------------------------------------------ evaluations, indexes, pages
+@q(
+    """WITH o AS (SELECT o_custkey AS company, count(*) AS n, max(o_orderdate) AS last_at, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS n_timed, avg(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS h FROM orders GROUP BY 1)
+SELECT company, n, last_at, round(h, 4) AS response_hours, n_timed FROM o"""
+)
+def interaction_totals(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("company"), F.col("o_orderdate").alias("occurred_at"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("response_hours"), (F.col("o_orderkey") % 3).alias("part"))
+    none = spark.createDataFrame([], "company long, n long, last_at timestamp_ntz, n_timed long, response_hours double")
+    totals = none
+    for part in range(3):
+        totals = D.running_totals(totals, o.where(F.col("part") == part))
+    return totals.withColumn("response_hours", F.round("response_hours", 4))
+
+
+@q(expected("company string; old_health string; health string; changed boolean; n_entries int", [("Acme", "at_risk", "neutral", True, 90), ("Delta", "at_risk", "at_risk", False, 1)]))
+def evaluated_relationships(spark, sf):
+    past = F.when(F.col("company") == "Acme", F.transform(F.sequence(F.lit(1), F.lit(95)), lambda i: F.struct(now().alias("at"), i.cast("double").alias("score"), F.lit("at_risk").alias("health"))))
+    c = S.COMPANIES.frame(spark).select("company", "health").withColumn("health_history", past)
+    scored = spark.createDataFrame([("Acme", 0.5, "neutral"), ("Delta", 0.1, "at_risk")], "company string, health_score double, health string")
+    return D.evaluated(c, scored, now()).select("company", "old_health", "health", "changed", F.size("health_history").alias("n_entries"))
+
+
+@q(f"WITH {S.COMPANIES.cte} SELECT company, health, health_score FROM companies WHERE health IN ('attention_required', 'at_risk')")
+def relationships_requiring_attention(spark, sf):
+    return D.requiring_attention(S.COMPANIES.frame(spark)).select("company", "health", "health_score")
+
+
+@q(f"WITH {S.ESCALATIONS.cte}, e AS (SELECT DISTINCT signal_type, company, severity FROM escalations WHERE is_active) SELECT signal_type, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM e GROUP BY 1")
+def active_escalations(spark, sf):
+    e = S.ESCALATIONS.frame(spark).where("is_active")
+    return D.active_summary(e.where("company is null"), e.where("company is not null"), e)
+
+
+@q("SELECT 'customer' AS entity_type, o_custkey::VARCHAR AS entity_id, o_orderkey::VARCHAR AS item_id FROM orders UNION SELECT 'supplier', l_suppkey::VARCHAR, l_orderkey::VARCHAR FROM lineitem")
+def commitment_index(spark, sf):
+    return Y.index_of(customer=(table(spark, sf, "orders"), "o_custkey", "o_orderkey"), supplier=(table(spark, sf, "lineitem"), "l_suppkey", "l_orderkey"))
+
+
+@q("SELECT c_custkey, c_acctbal, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 10 OFFSET 30")
+def paged_customers(spark, sf):
+    return Y.paged(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), [F.desc_nulls_last("c_acctbal"), F.asc("c_custkey")], 30, 10)
+
+
+@q("SELECT 'documents' AS name, (SELECT count(*) FROM documents) AS value UNION ALL SELECT 'events', (SELECT count(*) FROM events) UNION ALL SELECT 'edges', (SELECT count(*) FROM lineitem)")
+def memory_gauges(spark, sf):
+    return Y.gauges(documents=table(spark, sf, "documents"), events=table(spark, sf, "events"), edges=table(spark, sf, "lineitem"))
+
+
+@q("SELECT DISTINCT c_custkey, c_name, p_partkey, p_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
+def customers_through_orders(spark, sf):
+    junction = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("p_partkey"))
+    return Y.through(table(spark, sf, "customer").select("c_custkey", "c_name"), junction, table(spark, sf, "part").select("p_partkey", "p_name"), "c_custkey", "p_partkey")
+
+
+@q("SELECT doc_id, lang, source, n_chars FROM documents")
+def documents_round_trip(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return Y.read_document(Y.as_document(d, "doc_id"), "doc_id long, lang string, source string, n_chars long").withColumn("n_chars", F.col("n_chars").cast(d.schema["n_chars"].dataType))
 
 
 @q("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))) AS mails FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) BETWEEN 1 AND 50 AND length(text) >= 10")
