@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import columns as X
+from .graph import shared_checkpoints
 
 
 def bm25(docs: DataFrame, query: list[str], k: int, id_col: str, text_col: str, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
     """id and score of the k best documents that hold a query term, best score 1, ties to the smaller id.
 
-    The query's strings are cut into terms the way documents are; repeated terms count once. Two scans: one for the corpus statistics (one row), one for the scores, which are a column
-    expression; nothing but the k best is shuffled.
+    The query's strings are cut into terms the way documents are; repeated terms count once. Texts are read once: what is left of
+    them, a few numbers a document, is checkpointed, and both the corpus statistics (one row) and the scores come from that. Terms are
+    counted by plain replacement in texts whose tokens stand between blanks; nothing but the k best is shuffled.
     """
     query = X.query_terms(query)
     if not query:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    low, edge = F.lower(F.col(text_col)), r"[\p{L}\p{N}_]"
-    toks = docs.select(F.col(id_col), F.regexp_count(low, F.lit(rf"(?<!{edge})[a-z0-9]+(?!{edge})")).alias("_len"), *[F.regexp_count(low, F.lit(rf"(?<!{edge}){q}(?!{edge})")).alias(f"_f{i}") for i, q in enumerate(query)])
+    shared_checkpoints(docs.sparkSession)
+    spaced = docs.select(F.col(id_col), F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+", "  "), F.lit(" ")).alias("_t"))
+    often = lambda q: ((F.length("_t") - F.length(F.replace("_t", F.lit(f" {q} "), F.lit("")))) / (len(q) + 2)).cast("int")
+    toks = spaced.select(id_col, F.regexp_count("_t", F.lit("(?<= )[a-z0-9]++(?= )")).alias("_len"), *[often(q).alias(f"_f{i}") for i, q in enumerate(query)]).checkpoint()
     stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(query))])
     n = F.col("n")
 

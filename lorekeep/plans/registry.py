@@ -520,10 +520,11 @@ g AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch(ts) - epoch(p) > 21600 THEN 1 E
 SELECT user_id, session::BIGINT AS session, count(*) AS n_events, min(ts) AS first_at, max(ts) AS last_at FROM g GROUP BY 1, 2"""
 )
 def interaction_sessions(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(w).cast("timestamp"))
-    e = _t(spark, sf, "events").withColumn("session", F.sum(F.when(gap.isNull() | (gap > 21600), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    """A pause of more than six hours ends a session; partial sessions are merged before they are numbered."""
+    at = F.session_window("ts", "6 hours 1 microsecond")
+    e = _t(spark, sf, "events").groupBy("user_id", at.alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("first_at")).cast("long")
+    return e.select("user_id", number.alias("session"), "n_events", "first_at", "last_at")
 
 
 from . import composed, remembered  # noqa: E402, F401  they register their queries
