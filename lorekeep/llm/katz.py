@@ -1,8 +1,10 @@
 """Scoring texts by a Katz backoff bigram model, learned from the same table.
 
-P(w | v) is d(c) * c(v, w) / (c(v) + 0.5), with Good-Turing discounts d, if the pair (v, w) was seen,
-else alpha(v) * P(w); alpha(v) hands exactly the mass that is left (the discounts' and the half count's,
-which alone is left where all counts are large) to the words not seen after v, so each P(. | v) sums to one over the V known words and one class of unknown ones. P(w) is
+P(w | v) is d(c) * c(v, w) / (c(v) + h), with Good-Turing discounts d, if the pair (v, w) was seen,
+else alpha(v) * P(w); alpha(v) hands exactly the mass that is left to the words not seen after v, so
+each P(. | v) sums to one over the V known words and one class of unknown ones. The discounts free
+that mass and h is 0, as in Katz's formula; only where none of v's pairs is discounted (all counts
+above K), and in contexts split over slices (see below), h sets half a count aside. P(w) is
 Good-Turing discounted as well; the freed mass is the unknown class's. Counts above K are not
 discounted. Where counts of counts give no usable discount, (r - 0.5) / r takes its place; if no
 count is small at all, unigrams fall back to (c + 0.5) / (N + 0.5 (V + 1)).
@@ -39,7 +41,7 @@ from .common import LOWER, WordHashes, documents, dropped, release_shuffles, scr
 FOLDS, HELD_OUT = 5, 1
 #: Counts up to K are discounted.
 K = 5
-#: Set aside in every context beside what discounting frees, for contexts all of whose counts are above K.
+#: Set aside in contexts all of whose counts are above K, where discounting frees nothing, and in split ones.
 HALF = 0.5
 BLOCK_TOKENS = 1_000_000
 _U = np.uint64
@@ -54,6 +56,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def share_of(tokens: int, slices: int) -> float:
+    """A context above this many tokens is split."""
+    return max(2.0, tokens / (4 * slices))
+
+
+def aside(small: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """h of contexts, from how many of their pairs are discounted (by count 1..K) and whether they are split."""
+    return np.where(split | (small.sum(axis=1) == 0), HALF, 0.0)
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
@@ -215,7 +227,7 @@ _TERMS = "kind int, slice int, block string, blob binary, stats array<bigint>"
 
 def pairs_of(blocks: DataFrame, answers: DataFrame, words: Unigrams, train_docs: int, slices: int) -> DataFrame:
     """From each block and its answers: rows of documents (kind 0) and pairs by slice (kind 1)."""
-    share = max(2.0, words.n / (4 * slices))  # a context above this many tokens is split
+    share = share_of(words.n, slices)
 
     def run(table):
         import pyarrow as pa
@@ -281,7 +293,7 @@ _RECORD = (np.uint32, np.float64, np.uint32, np.uint64, np.float64, np.uint64, n
 
 def terms_of(pairs: DataFrame, words: Unigrams, slices: int) -> DataFrame:
     """Counts the pairs of a slice. Leaves records (kind 1), rows of documents as they are (kind 0), sums of split contexts (kind 2) and statistics (kind 3)."""
-    share = max(2.0, words.n / (4 * slices))
+    share = share_of(words.n, slices)
 
     def run(table):
         import pyarrow as pa
@@ -316,6 +328,7 @@ def terms_of(pairs: DataFrame, words: Unigrams, slices: int) -> DataFrame:
         c_ctx[ctx] = c1[one]
         rows = [(3, slice_, None, None, [int(x) for x in of[1 : K + 2]])]
         split = c_ctx > share
+        half = aside(small, split)
         if split.any():
             rows.append((2, slice_, None, _pack(packer, contexts[split], mass[split], small[split].ravel()), None))
         pos = 0
@@ -329,7 +342,7 @@ def terms_of(pairs: DataFrame, words: Unigrams, slices: int) -> DataFrame:
             t, a, b = total[mine][entry], g[2].astype(np.float64)[entry], g[3][entry]
             known = t > 0
             with np.errstate(divide="ignore"):
-                fixed = np.where(known, np.log10(np.where(known, t, 1) / np.where(known, a + HALF, 1)), np.log10(words.p(b)))
+                fixed = np.where(known, np.log10(np.where(known, t, 1) / np.where(known, a + half[ctx[mine]][entry], 1)), np.log10(words.p(b)))
             sums = np.bincount(dd, fixed * often, len(docs))
             hist = np.stack([np.bincount(dd, np.where(t == r, often, 0), len(docs)) for r in range(1, K + 1)], axis=1).astype(np.uint32)
             open_ = ~known & (a > 0)
@@ -366,10 +379,13 @@ def scores_of(terms: DataFrame, words: Unigrams, discounts: list[float], split:
             score[docs] += sums + hist.reshape(-1, K) @ logs
             if len(who):
                 small, mass = small.reshape(-1, K).astype(np.float64), mass.copy()
+                parted = np.zeros(len(keys), bool)
                 for i, key in enumerate(keys.tolist()):
                     if key in spread.value:
                         mass[i], small[i] = spread.value[key]
-                freed = (small @ gaps + HALF) / (count + HALF)
+                        parted[i] = True
+                h = aside(small, parted)
+                freed = (small @ gaps + h) / (count + h)
                 alpha = np.log10(freed) - np.log10(np.maximum(1 - mass, 1e-300))
                 e = entry.reshape(-1, 2)
                 np.add.at(score, docs[who], alpha[e[:, 0]] * e[:, 1])

@@ -4,7 +4,9 @@ A text is cut into sentences (at line ends and after . ! ? before white space);
 (lower case, punctuation to blanks, white space squeezed) and mapped to the identifier of a known
 licence sentence, by lookup or by pattern. Ordered rules, longer statements first, then match
 sequences of identifiers of neighbouring sentences; a match uses its sentences up, so a short
-reference inside a full text isn't reported twice. Copyright lines may stand anywhere between.
+reference inside a full text isn't reported twice. Copyright lines may stand anywhere between, and
+up to APART characters that no known sentence covers (what a statement says after its known words).
+Of rules that match the same sentences the first in the list wins.
 
 Long statements may run over line ends, and stops of abbreviations may cut them: from each sentence's
 start the known statements are also matched on the normalised text of all that follows, where a blank
@@ -95,6 +97,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: Every pattern above holds one of these, on one line; a text without any has no known sentence.
 ANCHORS = re.compile(r"licen[sc]e|copyright|spdx|permission|warrant|redistribut|reserved|domain|creative|cc0|(?<![a-z0-9+])cc(?![a-z0-9+])|liable|endorse", re.I)
 BETWEEN = {"Copyright", "AllRights"}
+#: Characters without a known sentence that may stand between two sentences of one rule.
+APART = 800
 _SHORT = {"lgplfree": {"2": "2.0", "2 1": "2.1", "3": "3.0"}, "ccnc": {" nc": "-NC", " noncommercial": "-NC"}, "ccsa": {" sa": "-SA", " sharealike": "-SA"}, "ccnd": {" nd": "-ND", " noderivatives": "-ND"}}
 
 
@@ -197,10 +201,12 @@ class Recogniser:
             return [], []
         seq = self.identified(text)
         live = [x for x in seq if x[3] not in BETWEEN]
+        covered = lambda a, b: sum(x[2] - x[1] for x in seq if x[3] in BETWEEN and a[2] <= x[1] < b[1])
         used, found = [False] * len(live), []
         for licence, ids in self.rules:
             for i in range(len(live) - len(ids) + 1):
-                if not any(used[i : i + len(ids)]) and all(live[i + k][3] == name for k, name in enumerate(ids)):
+                near = all(live[i + k][1] - live[i + k - 1][2] - covered(live[i + k - 1], live[i + k]) <= APART for k in range(1, len(ids)))
+                if near and not any(used[i : i + len(ids)]) and all(live[i + k][3] == name for k, name in enumerate(ids)):
                     used[i : i + len(ids)] = [True] * len(ids)
                     groups: dict[str, str] = {}
                     for x in live[i : i + len(ids)]:

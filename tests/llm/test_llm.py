@@ -194,10 +194,13 @@ def test_katz_is_normalised_and_matches(spark, monkeypatch):
     for (a, b), c in bi.items():
         after.setdefault(a, {})[b] = c
 
+    share = katz.share_of(model.n, 64)
+
     def prob(a, b):
-        seen, h = after.get(a, {}), katz.HALF
         if a not in after:
             return p(b)
+        seen = after[a]
+        h = katz.HALF if ctx[a] > share or min(seen.values()) > katz.K else 0.0
         if b in seen:
             return d[min(seen[b], katz.K + 1) - 1] * seen[b] / (ctx[a] + h)
         left = (sum(c * (1 - d[min(c, katz.K + 1) - 1]) for c in seen.values()) + h) / (ctx[a] + h)

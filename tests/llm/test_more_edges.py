@@ -115,3 +115,13 @@ def test_headers_at_any_width(width):
     for want, text in HEADERS.items():
         found = [f[0] for f in licences.Recogniser().scan("\n".join(textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)))[1]]
         assert found == [want], (want, width, found)
+
+
+def test_sentences_far_apart_are_no_licence():
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."]
+    far = "Plain prose that says nothing of the kind. " * 40
+    names = lambda text: [f[0] for f in licences.Recogniser().scan(text)[1]]
+    assert names("\n".join(mit)) == ["MIT"]
+    assert names(f"{mit[0]}\n{far}\n{mit[1]}\n{mit[2]}") == ["MIT-partial"]
+    assert names(mit[0] + "\n" + "Copyright (c) 2020 Somebody\n" * 60 + mit[1] + "\n" + mit[2]) == ["MIT"]
+    assert names("x" * 300_000 + "\n" + "\n".join(mit * 3)) == ["MIT"] * 3
