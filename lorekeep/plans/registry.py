@@ -17,7 +17,10 @@ from ..operators import entities as E
 from ..operators import extraction as T
 from ..operators import graph as G
 from ..operators import retrieval as V
-from .base import ORACLE, QUERIES, q as _q, spread as _spread, table as _t  # noqa: F401
+from .base import ORACLE, QUERIES, expected  # noqa: F401
+from .base import q as _q
+from .base import spread as _spread
+from .base import table as _t
 
 # ------------------------------------------------------------------ retrieval
 TERMS = ["the", "tion", "there", "der", "que"]
@@ -214,7 +217,15 @@ def fuzzy_customer_pairs(spark, sf):
     return E.with_name_score(pairs, "a", "b").select("c_custkey", "s_suppkey", F.round("name_score", 6).alias("name_score"))
 
 
-@_q()
+@_q(
+    expected(
+        "query string; category string; intent string; temporal string; entities array<string>",
+        [
+            ("What is pending with KEI?", "commitment", "pending", "all_time", ["KEI"]), ("What commitments remain unresolved?", "commitment", "pending", "all_time", []), ("What risks exist around deployment?", "project", "risk_scan", "all_time", []),
+            ("Summarize investor discussions.", "general", "summary", "all_time", []), ("Who is John Smith?", "person", "identification", "all_time", ["John Smith"]), ("Status of Smart Meter Rollout?", "project", "status", "all_time", ["Smart Meter Rollout"]),
+        ],
+    )
+)
 def classified_questions(spark, sf):
     rows = ["What is pending with KEI?", "What commitments remain unresolved?", "What risks exist around deployment?", "Summarize investor discussions.", "Who is John Smith?", "Status of Smart Meter Rollout?"]
     return T.classify_queries(spark.createDataFrame([(q,) for q in rows], "query string"))

@@ -60,6 +60,12 @@ def boosted_resolutions(spark, sf):
     return E.boosted(found, _PERSON_MENTIONS.frame(spark), _PERSONS.frame(spark))
 
 
+@q(expected("a string; b string; name_score double", [("john smith", "smith john", 1.0), ("j smith", "john smith", 0.9), ("acme", "acme corp", 0.95), ("", "x", 0.0), ("anna", "zed", 0.0), ("abcd", "abxd", 0.75)]))
+def name_scores(spark, sf):
+    pairs = [("john smith", "smith john"), ("j smith", "john smith"), ("acme", "acme corp"), ("", "x"), ("anna", "zed"), ("abcd", "abxd")]
+    return E.with_name_score(spark.createDataFrame(pairs, "a string, b string"), "a", "b").withColumn("name_score", F.round("name_score", 6))
+
+
 @q(expected("a long; b long; likeness double", [(1, 2, 1.0), (3, 4, 0.965517)]))
 def alike_persons(spark, sf):
     names = [(1, "John Smith"), (2, "smith, john"), (3, "Katherine Jones"), (4, "Katherin Jones"), (5, "Someone Else"), (6, ""), (7, None)]
