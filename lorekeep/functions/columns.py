@@ -240,6 +240,10 @@ def content_hash(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
-def document_hash(*fields: Column) -> Column:
-    """sha256 of the JSON of the given fields, in order."""
-    return F.sha2(F.to_json(F.struct(*fields)), 256)
+def document_hash(source_type: Column, source_id: Column, title: Column, content: Column, created_at: Column) -> Column:
+    """sha256 of the five fields as JSON with sorted keys, the content cut to 1000 characters; beyond ASCII, characters stand as they are."""
+    said = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.array(c.cast("string"))), r"^\[|\]$", ""))
+    fields = {"content": F.substring(content, 1, 1000), "created_at": created_at, "source_id": source_id, "source_type": source_type, "title": title}
+    parts = [F.concat(F.lit(f'"{name}": '), said(c)) for name, c in fields.items()]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
+

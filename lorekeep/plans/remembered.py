@@ -11,6 +11,7 @@ from ..operators import extraction as T
 from ..operators import graph as G
 from ..operators import memory as Y
 from ..operators import provenance as P
+from ..operators import retrieval as V
 from ..operators import scoring as R
 from . import samples as S
 from .base import Literal, expected, q, spread, table
@@ -188,6 +189,28 @@ def full_text_search(spark, sf):
     return Y.full_text(spread(table(spark, sf, "documents")), "text", ["The of", "AND!"]).select("doc_id")
 
 
+@q(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label = 1 OR label = 3), s AS (SELECT vec_id, greatest(0, list_sum(e) / (sqrt(list_dot_product(e, e)) * 8)) AS score FROM v)
+SELECT vec_id, round(score, 9) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20"""
+)
+def either_label_topk(spark, sf):
+    either = (F.col("label") == 1) | (F.col("label") == 3)
+    found = V.vector_search(table(spark, sf, "embeddings"), [1.0] * 64, "vec_id", "embedding", where=either)
+    return V.top(found, 20, "vec_id").withColumn("score", F.round("score", 9))
+
+
+@q(
+    """WITH p AS (SELECT event_id, unnest([user_id, user_id + 1]) AS person FROM events), n AS (SELECT person, count(DISTINCT event_id) AS n FROM p GROUP BY 1)
+SELECT c_custkey, c_custkey % 9 AS n_stored, coalesce(n, 0) AS n_actual FROM customer LEFT JOIN n ON person = c_custkey WHERE c_custkey % 9 <> coalesce(n, 0)"""
+)
+def mention_drift(spark, sf):
+    """Stored counters of persons against the documents whose arrays of persons hold them."""
+    e = table(spark, sf, "events").select("event_id", F.explode(F.array("user_id", F.col("user_id") + 1)).alias("c_custkey"))
+    actual = e.groupBy("c_custkey").agg(F.count_distinct("event_id").alias("n"))
+    c = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 9).alias("n_stored")).join(actual, "c_custkey", "left")
+    return c.select("c_custkey", "n_stored", F.coalesce("n", F.lit(0)).alias("n_actual")).where("n_stored <> n_actual")
+
+
 @q("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 100 AND contains(lower(c_name), '1')")
 def optional_filters(spark, sf):
     return Y.where_given(table(spark, sf, "customer"), c_mktsegment=["BUILDING", "MACHINERY"], c_acctbal=(100, None), c_name="~1", c_nationkey=None).select("c_custkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHEET_ROWS = 10_000
@@ -14,6 +14,30 @@ SCHEMA = "path string, kind string, status string, title string, text string, n_
 KINDS = {"txt": "text", "md": "text", "log": "text", "csv": "csv", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "html": "html", "htm": "html"}
 
 
+#: MIME type -> kind, asked before the suffix; folders of a vault that are skipped, and what its files are.
+MIME_KINDS = {
+    "text/plain": "text", "text/markdown": "text", "text/csv": "csv", "text/html": "html", "application/pdf": "pdf", "image/png": "image", "image/jpeg": "image", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
+}
+SKIPPED_FOLDERS = [".obsidian", ".git", ".trash", ".DS_Store", "node_modules"]
+VAULT_KINDS = {"md": "note", "markdown": "note", "canvas": "canvas", "png": "attachment", "jpg": "attachment", "jpeg": "attachment", "gif": "attachment", "webp": "attachment", "svg": "attachment", "pdf": "attachment", "mp3": "attachment", "mp4": "attachment", "docx": "attachment", "xlsx": "attachment"}
+
+
+def kind_of(path: Column, mime: Column | None = None) -> Column:
+    """A file's kind by its MIME type if that is known, else by its suffix, else 'unknown'."""
+    lookup = lambda table, key: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
+    by_suffix = lookup(KINDS, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
+    return F.coalesce(by_suffix if mime is None else F.coalesce(lookup(MIME_KINDS, F.lower(mime)), by_suffix), F.lit("unknown"))
+
+
+def vault(found: DataFrame, root: str = "") -> DataFrame:
+    """Files (path, ...) of a vault that are notes, canvases or attachments, with vault_kind; what lies in skipped folders goes."""
+    inside = F.expr(f"substring(path, {len(root) + 1})")
+    skipped = F.exists(F.split(inside, "/"), lambda part: part.isin(*SKIPPED_FOLDERS))
+    kind = F.create_map(*[F.lit(x) for kv in VAULT_KINDS.items() for x in kv])[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))]
+    return found.where(~skipped).withColumn("vault_kind", kind).where("vault_kind is not null")
+
+
 def files(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("modifiedAfter", modified_after) if modified_after else reader).load(path)

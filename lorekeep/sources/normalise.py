@@ -206,6 +206,16 @@ def local_file(files: DataFrame) -> DataFrame:
     return _document(files, doc_id=F.concat(F.lit("file-"), F.md5("path")), source=F.lit("local"), content_type=F.lit("document"), title=F.regexp_extract("path", r"([^/]+)$", 1), body=F.col("content"), created_at=F.col("modified"))
 
 
+def attachment_file(files: DataFrame) -> DataFrame:
+    """path, modified of a vault's attachments: no text, only that they are there."""
+    return _document(files, doc_id=F.concat(F.lit("note-"), F.md5("path")), source=F.lit("obsidian"), content_type=F.lit("attachment"), title=F.regexp_extract("path", r"([^/]+)$", 1), body=F.lit(""), created_at=F.col("modified"))
+
+
+def looked_back(raw: DataFrame, ts: Column, as_of: Column, days: int = 30) -> DataFrame:
+    """What a first run takes: records of the last `days`."""
+    return raw.where(ts >= F.timestamp_seconds(F.unix_timestamp(as_of.cast("timestamp")) - days * 86400))
+
+
 def payload(chunks: DataFrame, *columns: str) -> DataFrame:
     """chunk_id, payload: the columns as JSON without the nulls, as they go to a vector store."""
     return chunks.select("chunk_id", F.to_json(F.struct(*columns)).alias("payload"))

@@ -51,6 +51,21 @@ def run_sync(spark: SparkSession, name: str, landing: str, out: str, schema: str
     return raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def checkpoint_of(base: str, mode: str) -> str:
+    """The checkpoint folder of a run: the one that lasts for incremental and resumed runs, a new one for a full run."""
+    import uuid
+
+    if mode not in ("full", "incremental", "resume"):
+        raise ValueError(f"unknown mode {mode}")
+    return f"{base}/{uuid.uuid4().hex}" if mode == "full" else f"{base}/lasting"
+
+
+def sync_log(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """A row per batch of a run that ended: batch, found, seconds."""
+    rows = [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0) / 1000) for p in query.recentProgress]
+    return spark.createDataFrame(rows, "batch long, found long, seconds double")
+
+
 def running_status(changes: DataFrame, key: str = "commitment_id"):
     """A stream of (key, status, changed_at) -> every real change of a key's status: key, old_status, new_status, changed_at. State
     is one status and time per key; a change that is older than the state is ignored. Runs in append mode."""

@@ -69,6 +69,39 @@ def test_stores(spark):
     assert {r["id"]: r["path"] for r in N.folder_paths(f).collect()} == {"1": "a", "2": "a/b", "3": "a/b/c"}
 
 
+def test_files_of_a_vault(spark):
+    import hashlib
+
+    from lorekeep.sources import files
+
+    f = spark.createDataFrame([("/v/a.md", "text/plain"), ("/v/.git/b.md", None), ("/v/x/c.canvas", None), ("/v/d.PNG", None), ("/v/e.xyz", "application/pdf"), ("/v/f.xyz", None)], "path string, mime string")
+    assert {r["path"]: r["vault_kind"] for r in files.vault(f, "/v").collect()} == {"/v/a.md": "note", "/v/x/c.canvas": "canvas", "/v/d.PNG": "attachment"}
+    assert [r["k"] for r in f.select(files.kind_of(F.col("path"), F.col("mime")).alias("k")).collect()] == ["text", "text", "unknown", "image", "pdf", "unknown"]
+    got = N.attachment_file(f.withColumn("modified", F.lit(None).cast("timestamp"))).where("title = 'd.PNG'").first()
+    assert (got["content_type"], got["body"]) == ("attachment", "")
+    d = spark.createDataFrame([("email", "7", 'say "hi"\n', "x" * 2000, None)], "s string, i string, t string, c string, a string")
+    h = d.select(X.document_hash(*[F.col(c) for c in ("s", "i", "t", "c", "a")]).alias("h")).first()["h"]
+    text = json.dumps({"source_type": "email", "source_id": "7", "title": 'say "hi"\n', "content": "x" * 1000, "created_at": None}, sort_keys=True)
+    assert h == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_modes_and_logs(spark, tmp_path):
+    import pytest
+
+    assert sync.checkpoint_of("/c", "resume") == sync.checkpoint_of("/c", "incremental") != sync.checkpoint_of("/c", "full") != sync.checkpoint_of("/c", "full")
+    with pytest.raises(ValueError):
+        sync.checkpoint_of("/c", "often")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"ts": "1.5", "channel": "c", "user": "u", "text": "hi", "type": "message"}\n')
+    sync.connector("chat")(N.chat)
+    schema = "ts string, channel string, user string, text string, type string, subtype string, thread_ts string"
+    run = sync.run_sync(spark, "chat", str(tmp_path / "in"), str(tmp_path / "out"), schema, sync.checkpoint_of(str(tmp_path / "ck"), "full"))
+    run.awaitTermination()
+    assert sync.sync_log(spark, run).agg(F.sum("found")).first()[0] == 1
+    raw = spark.createDataFrame([("2024-05-01 00:00:00",), ("2024-01-01 00:00:00",)], "t string").withColumn("t", F.col("t").cast("timestamp"))
+    assert N.looked_back(raw, F.col("t"), F.lit("2024-05-15").cast("timestamp")).count() == 1
+
+
 def test_streams(spark, tmp_path):
     at = lambda m: f"2024-05-01T10:{m:02}:00"
     (tmp_path / "in").mkdir()
