@@ -466,16 +466,16 @@ def companies_of_projects(spark, sf):
 
 # ------------------------------------------------------------------ evaluations, indexes, pages
 @q(
-    """WITH o AS (SELECT o_custkey AS company, count(*) AS n, max(o_orderdate) AS last_at, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS n_timed, avg(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS h FROM orders GROUP BY 1)
-SELECT company, n, last_at, round(h, 4) AS response_hours, n_timed FROM o"""
+    """WITH o AS (SELECT o_custkey AS company, count(*) AS n, max(o_orderdate) AS last_at, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS n_timed, avg(CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) END) AS h FROM orders GROUP BY 1)
+SELECT company, n, last_at, round(h, 6) AS response_hours, n_timed FROM o"""
 )
 def interaction_totals(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("company"), F.col("o_orderdate").alias("occurred_at"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("response_hours"), (F.col("o_orderkey") % 3).alias("part"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("company"), F.col("o_orderdate").alias("occurred_at"), F.when(F.col("o_orderkey") % 2 == 0, F.floor("o_totalprice").cast("double")).alias("response_hours"), (F.col("o_orderkey") % 3).alias("part"))
     none = spark.createDataFrame([], "company long, n long, last_at timestamp_ntz, n_timed long, response_hours double")
     totals = none
     for part in range(3):
         totals = D.running_totals(totals, o.where(F.col("part") == part))
-    return totals.withColumn("response_hours", F.round("response_hours", 4))
+    return totals.withColumn("response_hours", F.round("response_hours", 6))
 
 
 @q(expected("company string; old_health string; health string; changed boolean; n_entries int", [("Acme", "at_risk", "neutral", True, 90), ("Delta", "at_risk", "at_risk", False, 1)]))
