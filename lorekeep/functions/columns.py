@@ -155,9 +155,9 @@ _MARKED, _BARE = _bare_letters()
 
 
 def normalise_name(name: Column) -> Column:
-    """Marks off Latin letters, lower case, only word characters of any script, blanks, @ . and -; white space squeezed."""
+    """Marks off Latin letters, lower case; word characters of any script, @ . and - stay, others are blanks; white space squeezed."""
     plain = F.regexp_replace(F.translate(F.lower(name), _MARKED, _BARE), "[\u0300-\u036f]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\w\s@.\-]", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\w\s@.\-]", " "), r"\s+", " "))
 
 
 def company_key(name: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import columns as X
-from .entities import with_name_score
+from .entities import indel_ratio, with_score
 
 CAP = 50
 
@@ -48,7 +48,7 @@ def alike(entities: DataFrame, least: float = C.DUPLICATE_LEAST) -> DataFrame:
     rows = entities.select("id", norm.alias("_n")).where("_n <> ''").withColumns({"_s": F.array_join(toks, " "), "_k": F.explode(F.array_distinct(F.transform(toks, lambda t: F.substring(t, 1, 3))))})
     a, b = rows.select(F.col("id").alias("a"), F.col("_s").alias("_a"), "_k"), rows.select(F.col("id").alias("b"), F.col("_s").alias("_b"), "_k")
     pairs = a.join(b, "_k").where("a < b").where(F.least(F.length("_a"), F.length("_b")) * 2 >= least * (F.length("_a") + F.length("_b"))).select("a", "b", "_a", "_b").distinct()
-    return with_name_score(pairs, "_a", "_b").where(F.col("name_score") >= least).select("a", "b", F.col("name_score").alias("likeness"))
+    return with_score(pairs, "_a", "_b", indel_ratio).where(F.col("name_score") >= least).select("a", "b", F.col("name_score").alias("likeness"))
 
 
 def shared_keys(rows: DataFrame, id_col: str, **keys: Column) -> DataFrame:

@@ -27,29 +27,74 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def name_score(a: str, b: str) -> float:
-    """The best of: the names as they are, sorted by token, by shared tokens, and with initials standing for tokens (0.8 each)."""
+def token_sort(a: str, b: str) -> float:
+    """The names with their tokens in order."""
+    return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def token_set(a: str, b: str) -> float:
+    """The best of: shared tokens against either name, and the names behind their shared tokens; 1 if one name's tokens are all in the other."""
+    ta, tb = {*a.split()}, {*b.split()}
+    if not ta or not tb:
+        return 0.0
+    shared, only_a, only_b = sorted(ta & tb), sorted(ta - tb), sorted(tb - ta)
+    if shared and not (only_a and only_b):
+        return 1.0
+    base, x, y = " ".join(shared), " ".join([*shared, *only_a]), " ".join([*shared, *only_b])
+    return max(indel_ratio(x, y), indel_ratio(base, x), indel_ratio(base, y)) if shared else indel_ratio(x, y)
+
+
+def plain_score(a: str, b: str) -> float:
+    return max(indel_ratio(a, b), token_sort(a, b), token_set(a, b))
+
+
+def initials_score(a: str, b: str) -> float:
+    """Tokens found in the other name over the longer name's tokens; an initial counts 0.8. Full stops don't count."""
     ta, tb = a.replace(".", " ").split(), b.replace(".", " ").split()
-    shared, only_a, only_b = sorted({*ta} & {*tb}), sorted({*ta} - {*tb}), sorted({*tb} - {*ta})
-    base = " ".join(shared)
-    sets = max(indel_ratio(base, " ".join([*shared, *only_a])), indel_ratio(base, " ".join([*shared, *only_b]))) if shared else 0.0
-    initials = 0.0
-    if ta and tb and len(ta) == len(tb):
-        initials = sum(1.0 if x == y else 0.8 if x[0] == y[0] and 1 in (len(x), len(y)) else 0.0 for x, y in zip(ta, tb)) / len(ta)
-    return max(indel_ratio(a, b), indel_ratio(" ".join(sorted(ta)), " ".join(sorted(tb))), 0.95 * sets, initials)
+    if not ta or not tb:
+        return 0.0
+    found = 0.0
+    for x in ta:
+        for y in tb:
+            if len(x) == 1 and y.startswith(x):
+                found += 0.8
+                break
+            if x == y:
+                found += 1.0
+                break
+    return found / max(len(ta), len(tb))
 
 
-def with_name_score(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds name_score, in Arrow batches; blocking comes before."""
+_FORMS = {form: {full, *shorts} for full, shorts in C.NICKNAMES.items() for form in (full, *shorts)}
+
+
+def nickname_score(a: str, b: str) -> float:
+    """Jaccard of the tokens with all forms of the first names they may stand for."""
+    wide = lambda name: set().union(*({t} | _FORMS.get(t, set()) for t in name.split())) if name.split() else set()
+    x, y = wide(a), wide(b)
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
+def name_score(a: str, b: str) -> float:
+    """Persons' names: the best of five measures."""
+    return max(plain_score(a, b), initials_score(a, b), nickname_score(a, b))
+
+
+def with_score(pairs: DataFrame, a: str, b: str, measure=name_score) -> DataFrame:
+    """Adds name_score by a measure of two names, in Arrow batches; blocking comes before."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield pd.Series([name_score(p or "", q or "") for p, q in zip(x, y)])
+            yield pd.Series([measure(p or "", q or "") for p, q in zip(x, y)])
 
     return pairs.withColumn("name_score", score(F.col(a), F.col(b)))
 
 
+def with_name_score(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return with_score(pairs, a, b)
+
+
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.85) -> DataFrame:
     """mention_id, name, email -> entity_id, stage, score. E-mail first, then alias, then fuzzy names that share a token's first three letters; each stage sees what the earlier ones left."""
     m = mentions.withColumns({"_e": X.normalise_email(F.col("email")), "_n": X.normalise_name(F.col("name"))})
@@ -81,21 +126,8 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def company_score(a: str, b: str) -> float:
-    """name_score without initials, and the partial ratio at a discount."""
-    ta, tb = a.split(), b.split()
-    shared, only_a, only_b = sorted({*ta} & {*tb}), sorted({*ta} - {*tb}), sorted({*tb} - {*ta})
-    base = " ".join(shared)
-    sets = max(indel_ratio(base, " ".join([*shared, *only_a])), indel_ratio(base, " ".join([*shared, *only_b]))) if shared else 0.0
-    return max(indel_ratio(a, b), indel_ratio(" ".join(sorted(ta)), " ".join(sorted(tb))), sets, C.PARTIAL_WEIGHT * partial_ratio(a, b))
-
-
-def with_company_score(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([company_score(p or "", q or "") for p, q in zip(x, y)])
-
-    return pairs.withColumn("name_score", score(F.col(a), F.col(b)))
+    """Companies' names: as they are, and the partial ratio at a discount."""
+    return max(plain_score(a, b), C.PARTIAL_WEIGHT * partial_ratio(a, b))
 
 
 def _starts(col: str):
@@ -126,7 +158,7 @@ def resolve_companies(mentions: DataFrame, companies: DataFrame, aliases: DataFr
 
     def fuzzy(left):
         pairs = left.where("_n <> ''").select("mention_id", "_n", _starts("_n").alias("_k")).join(c.where("_cn <> ''").select("entity_id", "_cn", _starts("_cn").alias("_k")), "_k").select("mention_id", "_n", "entity_id", "_cn").distinct()
-        return with_company_score(pairs, "_n", "_cn").where(F.col("name_score") >= least).select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), F.col("name_score").alias("score"))
+        return with_score(pairs, "_n", "_cn", company_score).where(F.col("name_score") >= least).select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), F.col("name_score").alias("score"))
 
     return _cascade(m, "mention_id", [
         lambda left: left.where("_d <> ''").join(c, left["_d"] == c["_cd"]).withColumns({"stage": F.lit("domain"), "score": F.lit(1.0)}),
@@ -148,7 +180,7 @@ def resolve_projects(mentions: DataFrame, projects: DataFrame, aliases: DataFram
         left = left.where("_n <> ''").join(owners, "company_id", "left")
         pairs = left.select("mention_id", "_n", "company_id", "_own", _starts("_n").alias("_b")).join(p.where("_pn <> ''").select("entity_id", "_pn", "_pc", _starts("_pn").alias("_b")), "_b")
         pairs = pairs.where("_own is null or company_id = _pc").select("mention_id", "_n", "entity_id", "_pn").distinct()
-        return with_name_score(pairs, "_n", "_pn").where(F.col("name_score") >= least).select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), F.col("name_score").alias("score"))
+        return with_score(pairs, "_n", "_pn", plain_score).where(F.col("name_score") >= least).select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), F.col("name_score").alias("score"))
 
     return _cascade(m, "mention_id", [
         lambda left: left.where("_k <> ''").join(p, left["_k"] == p["_pk"]).withColumns({"stage": F.lit("code"), "score": F.lit(1.0)}),

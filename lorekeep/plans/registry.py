@@ -482,7 +482,7 @@ def co_occurrence(spark, sf):
 
 
 # ------------------------------------------------------------------ identity
-@_q("SELECT trim(regexp_replace(lower(strip_accents(c_name)), '[^\\p{L}\\p{N}_\\s@.\\-]', '', 'g')) AS norm_name, split_part(lower(c_name) || '@' || lower(c_mktsegment) || '.com', '@', 2) AS domain, c_custkey FROM customer")
+@_q("SELECT trim(regexp_replace(regexp_replace(lower(strip_accents(c_name)), '[^\\p{L}\\p{N}_\\s@.\\-]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm_name, split_part(lower(c_name) || '@' || lower(c_mktsegment) || '.com', '@', 2) AS domain, c_custkey FROM customer")
 def normalised_names(spark, sf):
     c = _t(spark, sf, "customer")
     mail = F.concat("c_name", F.lit("@"), "c_mktsegment", F.lit(".com"))
