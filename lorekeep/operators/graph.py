@@ -12,11 +12,12 @@ def upsert_edges(observed: DataFrame, evidence_cap: int = 100) -> DataFrame:
     """source, target, type, strength, evidence, seen_at -> one edge each: frequency, largest strength, first and last sight, and
     the distinct evidence seen last (evidence_cap at most, sorted). Only what is kept is gathered."""
     key = ["source", "target", "type"]
-    edges = observed.groupBy(*key).agg(F.count(F.lit(1)).alias("frequency"), F.max("strength").alias("strength"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
-    items = observed.groupBy(*key, "evidence").agg(F.max("seen_at").alias("_at"))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_at"), F.desc("evidence")))
-    kept = items.withColumn("_r", rank).where(F.col("_r") <= evidence_cap).groupBy(*key).agg(F.array_sort(F.collect_list("evidence")).alias("evidence"))
-    return edges.join(kept, key)
+    each = observed.groupBy(*key, "evidence").agg(F.count(F.lit(1)).alias("_n"), F.max("strength").alias("_s"), F.min("seen_at").alias("_a"), F.max("seen_at").alias("_z"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_z"), F.desc("evidence")))
+    kept = F.collect_list(F.when((F.col("_r") <= evidence_cap) & F.col("evidence").isNotNull(), F.col("evidence")))
+    return each.withColumn("_r", rank).groupBy(*key).agg(
+        F.sum("_n").alias("frequency"), F.max("_s").alias("strength"), F.min("_a").alias("first_seen"), F.max("_z").alias("last_seen"), F.array_sort(kept).alias("evidence")
+    )
 
 
 def neighbours(edges: DataFrame, n: int) -> DataFrame:
