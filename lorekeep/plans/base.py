@@ -45,7 +45,7 @@ class Literal:
 
     @staticmethod
     def _sql(x, kind: str) -> str:
-        kinds = {"string": "VARCHAR", "long": "BIGINT", "array<string>": "VARCHAR[]"}
+        kinds = {"string": "VARCHAR", "long": "BIGINT", "array<string>": "VARCHAR[]", "array<int>": "INT[]"}
         if isinstance(x, (list, tuple)):
             text = "[" + ", ".join(Literal._sql(y, "string" if isinstance(y, str) else "int") for y in x) + "]"
         elif isinstance(x, str):
