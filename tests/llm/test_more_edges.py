@@ -83,7 +83,7 @@ def test_packed_query_against_brute_force(spark):
 
 def test_chunked_ids_are_those_of_the_whole_text(spark):
     texts = [r["text"] for r in spark.read.parquet(SF + "/documents.parquet").orderBy("doc_id").limit(12).collect() if r["text"]]
-    d = spark.createDataFrame([(i, t[:4000]) for i, t in enumerate([*texts, "x" * 900, "", None, "naïve 日本 text " * 40])], "doc_id long, text string")
+    d = spark.createDataFrame([(i, t and t[:4000]) for i, t in enumerate([*texts, "x" * 900, "", None, "naïve 日本 text " * 40])], "doc_id long, text string")
 
     def joined(chunk):
         out = {}
