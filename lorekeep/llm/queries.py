@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, divergence, jaccard, katz, licences, line_dedup, packing, pieces, quality, sharding, topk
+from . import chat, divergence, jaccard, katz, licences, line_dedup, packing, pieces, quality, repair, sharding, topk, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_katz_scoring": katz.op9_katz_scoring,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
@@ -23,5 +25,6 @@ ORACLE = {
     "op7_quality_rules": quality.OP7_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op10_exact_topk": topk.OP10_SQL,
+    "op11_conversation_repair": repair.OP11_SQL,
     "op13_source_divergence": divergence.OP13_SQL,
 }
