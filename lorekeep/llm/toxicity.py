@@ -1,21 +1,20 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-A text is read as windows: its words, spans of words that are too long, and runs of single letters set
-apart ("x y z"). The kernel of two windows adds up, over all strings of three letters (or borders), their
-occurrences as subsequences, each weighted down by every character that it skips; so a word with
-characters put in between still meets itself, and signs and digits are skipped characters only. The kernel
-is normalised, landmark windows map it to a space of as many dimensions (Nyström), and a linear machine
+A text is read as windows: its words without signs and digits, spans of words that are too long, and runs
+of single letters set apart ("x y z"). The kernel of two windows adds up, over all strings of three letters (or borders), their
+occurrences as subsequences that skip at most two characters, each weighted down by every one skipped; so a word with
+characters put in between still meets itself. The kernel
+is normalised and raised to a power, landmark windows map it to a space of as many dimensions (Nyström), and a linear machine
 with squared hinge loss is fitted there.
 
 Labels mark documents, so sentences get theirs as in multiple-instance learning: every window of a clean
 document is clean; of a toxic one, the window that tells toxic documents apart best (first by counts, then
 by the machine itself) is toxic, and so are copies of it with a character put in. Clean windows that the
 machine finds worst join in further rounds. The score of a text is its worst window's, made a probability
-on documents that the machine has not seen.
+on documents that the machine has not seen and on their worst windows with a character put in.
 
-The learned function is linear in the landmarks' subsequences, so they are added up into one table of
-weights: a window costs the same for any number of landmarks, and a task scores each different window it
-meets once. The machine is fitted on a bounded sample: at most `per_class` labelled documents of each
+Landmarks are indexed by their triples, so a window costs what it shares with them, and a task scores each
+different window it meets once. The machine is fitted on a bounded sample: at most `per_class` labelled documents of each
 class, those of least hash, of at most `longest` characters. Scoring reads whole texts of all documents.
 
 Edge cases: a null text is an empty one and has no window: it scores as cleanly as can be; without
@@ -37,25 +36,31 @@ from pyspark.sql import functions as F
 from .common import documents
 
 PER_CLASS, LONGEST = 3000, 20_000
-#: Weight of each skipped character; letters told apart (0 is a skipped one, 1 and 2 are the borders); longest window and half of it.
-DECAY, LETTERS = 0.5, 96
+#: Weight of each skipped character, and most of them in a triple; letters told apart (0 is a skipped one, 1 and 2 are the borders); longest window and half of it.
+DECAY, SKIPS, LETTERS = 0.65, 2, 96
 WINDOW = 30
-LANDMARKS, ROUNDS, PENALTY = 320, 4, 4.0
+POWER = 3
+#: Weight of all copies of a window with a character put in, against its own; and of one such copy for the probability.
+COPIES, COPY = 4.0, 0.05
+LANDMARKS, NEAR, ROUNDS, PENALTY = 500, 2, 5, 4.0
 #: Score from which a text counts as toxic.
 LEAST_SCORE = 0.3
+#: Likelihood ratio statistic from which a window surely tells toxic documents.
+SURE = 20.0
 #: Different windows that a task remembers.
 REMEMBERED = 400_000
 
-_APART = re.compile(r"(?<!\S)\w(?:\W?\s{1,2}\w)+(?!\w)")
-_ANY_APART = re.compile(r"\s\w\W?\s{1,2}\w\W?\s{1,2}\w")
+_SIGNS = re.compile(r"[!-@\[-`{-~]+")
+_APART = re.compile(r"(?<!\S)\w(?:\s{1,2}\w)+(?!\S)")
+_ANY_APART = re.compile(r"\s\w\s{1,2}\w\s{1,2}\w\s")
 
 
 def windows(text: str) -> set[str]:
-    """The different windows of a text, lower-cased."""
-    text = text.lower()
+    """The different windows of a text, lower-cased and without ASCII signs and digits."""
+    text = _SIGNS.sub("", text.lower())
     found = set(text.split())
-    if _ANY_APART.search(f" {text[:4]}") or _ANY_APART.search(text):
-        found.update(m[0] for m in _APART.finditer(text) if len(m[0]) >= 5)
+    if _ANY_APART.search(f" {text} "):
+        found.update(w for w in ("".join(m[0].split()) for m in _APART.finditer(text)) if len(w) > 2)
     for long in [w for w in found if len(w) > WINDOW]:
         found.remove(long)
         found.update(long[k : k + WINDOW] for k in range(0, max(1, len(long) - WINDOW // 2), WINDOW // 2))
@@ -63,10 +68,12 @@ def windows(text: str) -> set[str]:
 
 
 def _triples(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    i, j, k = (x.ravel() for x in np.indices((size,) * 3))
-    ok = (i < j) & (j < k)
-    i, j, k = i[ok], j[ok], k[ok]
-    return i, j, k, (DECAY ** (k - i - 2)).astype(np.float32)
+    """Places of all triples of a window that skip at most SKIPS characters, and their weights."""
+    i, skip, more = (x.ravel() for x in np.indices((size, SKIPS + 1, SKIPS + 1)))
+    j = i + 1 + skip
+    k = j + 1 + more
+    ok = (skip + more <= SKIPS) & (k < size)
+    return i[ok], j[ok], k[ok], (DECAY ** (skip + more)[ok]).astype(np.float32)
 
 
 def _by_length(some: list[str], table: np.ndarray):
@@ -84,20 +91,6 @@ def _by_length(some: list[str], table: np.ndarray):
         yield places, codes
 
 
-def norms(codes: np.ndarray) -> np.ndarray:
-    """Square root of each window's kernel with itself."""
-    n, size = codes.shape
-    same = np.ascontiguousarray(((codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] > 0)).transpose(1, 2, 0)).astype(np.float32)
-    k = np.arange(size)
-    gaps = np.where(k[:, None] > k[None, :], DECAY ** np.maximum(0, k[:, None] - k[None, :] - 1), 0).astype(np.float32)
-    one, two, total = np.zeros((size, n), np.float32), np.zeros((size, n), np.float32), np.zeros(n, np.float32)
-    for j in range(size):
-        total += (same[j] * (gaps @ two)).sum(axis=0)
-        two = DECAY * two + same[j] * (gaps @ one)
-        one = DECAY * one + same[j]
-    return np.sqrt(np.maximum(total, 1e-12))
-
-
 def _features(codes: np.ndarray):
     """For each window the numbers of its triples and their weights; triples with a skipped character are number 0."""
     i, j, k, w = _triples(codes.shape[1])
@@ -105,75 +98,115 @@ def _features(codes: np.ndarray):
     return np.where((a > 0) & (b > 0) & (c > 0), (a * LETTERS + b) * LETTERS + c, 0), w
 
 
+def norms(number: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Square root of each window's kernel with itself."""
+    n, size = number.shape
+    if not size:
+        return np.ones(n)
+    order = np.argsort(number, axis=1)
+    number = np.take_along_axis(number, order, axis=1)
+    sums = np.cumsum(w[order], axis=1, dtype=np.float64)
+    last = np.ones((n, size), bool)
+    last[:, :-1] = number[:, 1:] != number[:, :-1]
+    row, column = np.nonzero(last)
+    own = sums[row, column]
+    own[1:] -= np.where(row[1:] == row[:-1], own[:-1], 0)
+    return np.sqrt(np.maximum(np.bincount(row, np.where(number[row, column] > 0, own * own, 0), n), 1e-12))
+
+
 def _pieces(codes: np.ndarray):
     """Blocks of rows whose triples fit in memory."""
-    step = max(1, 2_000_000 // (codes.shape[1] ** 3 // 6 + 1))
+    step = max(1, 1_000_000 // (codes.shape[1] * (SKIPS + 1) ** 2))
     for at in range(0, len(codes), step):
         yield at, codes[at : at + step]
 
 
+class Landmarks:
+    """Landmark windows, indexed by triple, and kernels with them."""
+
+    def __init__(self, marks: list[str], letters: str):
+        self.table = np.zeros(0x110000, np.uint8)
+        self.table[[ord(c) for c in letters]] = np.arange(3, 3 + len(letters))
+        told = []
+        for places, codes in _by_length(marks, self.table):
+            number, w = _features(codes)
+            row, column = np.nonzero(number)
+            told.append((number[row, column], places[row], w[column] / norms(number, w)[row]))
+        number, mark, weight = (np.concatenate(x) for x in zip(*told))
+        order = np.lexsort((mark, number))
+        used, first = np.unique(number[order], return_index=True)
+        self.short = np.zeros(LETTERS**3, np.int32)  # a triple's place below; 0 is one of no landmark
+        self.short[used] = np.arange(1, len(used) + 1)
+        self.start = np.r_[0, first].astype(np.int64)
+        self.count = np.r_[0, np.diff(np.r_[first, len(number)])].astype(np.int64)
+        self.mark, self.weight, self.size = mark[order], weight[order].astype(np.float64), len(marks)
+
+    def kernels(self, some: list[str]):
+        """Places in `some` and their normalised kernels with all landmarks, in blocks."""
+        for places, codes in _by_length(some, self.table):
+            for at, part in _pieces(codes):
+                number, w = _features(part)
+                own = norms(number, w)
+                number = self.short[number]
+                row, column = np.nonzero(number)
+                number = number[row, column]
+                times = self.count[number]
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                entry = np.repeat(self.start[number], times) + nth
+                sums = np.bincount(np.repeat(row, times) * self.size + self.mark[entry], np.repeat(w[column], times) * self.weight[entry], len(part) * self.size)
+                found = sums.reshape(len(part), self.size) / own[:, None]
+                yield places[at : at + len(part)], found
+
+    def table_of(self, beta: np.ndarray) -> np.ndarray:
+        """Weights by number of a triple whose sum over a window's triples, by its norm, is the sum of beta times kernels."""
+        sums = np.bincount(np.repeat(np.arange(len(self.count)), self.count), self.weight * beta[self.mark], len(self.count))
+        return np.where(self.short > 0, sums[self.short], 0).astype(np.float32)
+
+    def matrix(self, some: list[str]) -> np.ndarray:
+        out = np.zeros((len(some), self.size))
+        for places, found in self.kernels(some):
+            out[places] = found
+        return out
+
+
 @dataclass
 class Machine:
+    """A coarse machine, linear in the kernel and so one sum over a window's triples, lets windows above `gate` pass to the
+    fine one, which is linear in powers of the kernels. Others have at most the fine machine's bias."""
+
     letters: str
-    weights: np.ndarray  # by number of a triple
+    marks: list[str]
+    coarse: np.ndarray
+    coarse_bias: float
+    gate: float
+    beta: np.ndarray
     bias: float
     slope: float = 1.0  # of the probability
     shift: float = 0.0
-    _table: np.ndarray | None = field(default=None, repr=False)
-
-    def table(self) -> np.ndarray:
-        if self._table is None:
-            self._table = code_table(self.letters)
-        return self._table
+    _index: Landmarks | None = field(default=None, repr=False)
+    _weights: np.ndarray | None = field(default=None, repr=False)
 
     def values(self, some: list[str]) -> np.ndarray:
-        out = np.full(len(some), self.bias, np.float32)
-        for places, codes in _by_length(some, self.table()):
-            if codes.shape[1] < 3:
-                continue
+        if self._weights is None:
+            self._index = self._index or Landmarks(self.marks, self.letters)
+            self._weights = self._index.table_of(self.coarse)
+        out = np.full(len(some), self.coarse_bias)
+        for places, codes in _by_length(some, self._index.table):
             for at, part in _pieces(codes):
                 number, w = _features(part)
-                out[places[at : at + len(part)]] += (self.weights[number] @ w) / norms(part)
+                out[places[at : at + len(part)]] += (self._weights[number] @ w) / norms(number, w)
+        passed = np.flatnonzero(out >= self.gate)
+        out = self.bias + np.minimum(0, out - self.gate) / 10
+        for places, found in self._index.kernels([some[i] for i in passed]):
+            out[passed[places]] = self.bias + found**POWER @ self.beta
         return out
 
     def probability(self, value):
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -60, 60)))
 
-    def packed(self) -> tuple:
-        """What tasks need, small enough to send along."""
-        at = np.flatnonzero(self.weights)
-        return self.letters, at.astype(np.int32), self.weights[at], self.bias, self.slope, self.shift
-
-    @staticmethod
-    def unpacked(told: tuple) -> Machine:
-        letters, at, values, *rest = told
-        weights = np.zeros(LETTERS**3, np.float32)
-        weights[at] = values
-        return Machine(letters, weights, *rest)
-
-
-def code_table(letters: str) -> np.ndarray:
-    out = np.zeros(0x110000, np.uint8)
-    out[[ord(c) for c in letters]] = np.arange(3, 3 + len(letters))
-    return out
-
-
-def kernels(some: list[str], landmarks: list[str], table: np.ndarray) -> np.ndarray:
-    """Normalised kernel of all windows with all landmarks."""
-    marks = []
-    for places, codes in _by_length(landmarks, table):
-        number, w = _features(codes)
-        for p, row, norm in zip(places, number, norms(codes)):
-            marks.append((p, np.bincount(row[row > 0], w[row > 0]) if (row > 0).any() else np.zeros(1), norm))
-    out = np.zeros((len(some), len(landmarks)), np.float32)
-    dense = np.zeros(LETTERS**3, np.float32)
-    blocks = [(places[at : at + len(part)], *_features(part), norms(part)) for places, codes in _by_length(some, table) for at, part in _pieces(codes)]
-    for p, sums, norm in marks:
-        dense[: len(sums)] = sums
-        for places, number, w, own in blocks:
-            out[places, p] = (dense[number] @ w) / (own * norm)
-        dense[: len(sums)] = 0
-    return out
+    def told(self) -> tuple:
+        """What tasks need."""
+        return self.letters, self.marks, self.coarse, self.coarse_bias, self.gate, self.beta, self.bias, self.slope, self.shift
 
 
 def hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
@@ -197,15 +230,45 @@ def hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> n
     return w
 
 
-def _inserted(window: str, rng: np.random.Generator) -> list[str]:
-    """Copies with one character put in, and one with signs between all."""
+def _nearest(some: list[str], index: Landmarks, each: int) -> list[str]:
+    """For each landmark, the `each` windows of `some` of the largest kernel with it."""
+    best: list[list[tuple[float, str]]] = [[] for _ in range(index.size)]
+    for at in range(0, len(some), 20_000):
+        part = some[at : at + 20_000]
+        found = index.matrix(part)
+        for m, top in enumerate(np.argpartition(-found, min(each, len(part)) - 1, axis=0)[:each].T):
+            best[m] = sorted([*best[m], *((float(found[i, m]), part[i]) for i in top)], key=lambda x: (-x[0], x[1]))[:each]
+    return list(dict.fromkeys(w for own in best for _, w in own))
+
+
+def _tells(bad: int, n_bad: int, clean: int, n_clean: int) -> float:
+    """Likelihood ratio statistic of a window that more toxic than clean documents hold, else 0."""
+    if bad * n_clean <= 4 * clean * n_bad:
+        return 0.0
+    both = (bad + clean) / (n_bad + n_clean)
+    part = lambda k, n, p: (k * np.log(p) if k else 0) + ((n - k) * np.log(1 - p) if n > k else 0)
+    own = part(bad, n_bad, bad / n_bad) + part(clean, n_clean, clean / n_clean)
+    return 2 * (own - part(bad, n_bad, both) - part(clean, n_clean, both))
+
+
+def _fitted(own: np.ndarray, all_: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by landmark and bias, from kernels of the landmarks among themselves and of all windows with them."""
+    value, vector = np.linalg.eigh((own + own.T) / 2)
+    fine = value > 1e-6
+    root = vector[:, fine] / np.sqrt(value[fine])  # the Nyström map
+    w = hinge(all_ @ root, label, weight, PENALTY)
+    return root @ w[:-1], float(w[-1])
+
+
+def _inserted(window: str, letters: str, rng: np.random.Generator) -> list[str]:
+    """Copies with one character put in at each place."""
     if len(window) < 3:
         return []
     out = []
-    for extra in (".", "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)], window[rng.integers(len(window))]):
-        at = int(rng.integers(1, len(window)))
+    for at in range(1, len(window)):
+        extra = window[rng.integers(len(window))] if at % 2 else letters[rng.integers(len(letters))]
         out.append(window[:at] + extra + window[at:])
-    return [w[:WINDOW] for w in [*out, ".".join(window)]]
+    return [w[:WINDOW] for w in out]
 
 
 def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 7) -> Machine | None:
@@ -221,66 +284,74 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         if len(own) >= 8:
             learn[own[::4]] = False
     letters = "".join(c for c, _ in Counter(c for ws in read for w in ws for c in w if c.isalpha()).most_common(LETTERS - 3))
-    table = code_table(letters)
 
     bad = [sorted(ws) for ws, t, l in zip(read, y, learn) if t == 1 and l and ws]
     clean = Counter(w for ws, t, l in zip(read, y, learn) if t == 0 and l for w in ws)
     seen = Counter(w for ws in bad for w in ws)
     n_bad, n_clean = max(1, len(bad)), max(1, int((learn & (y == 0)).sum()))
-    odds = {w: np.log((n + 0.5) / (n_bad + 1)) - np.log((clean[w] + 0.5) / (n_clean + 1)) for w, n in seen.items() if n > 1 or len(bad) < 20}
-    witness = Counter(max(ws, key=lambda w: (odds.get(w, -99.0), w)) for ws in bad)
-    witness = Counter({w: n for w, n in witness.items() if odds.get(w, -99.0) > np.log(4) or len(witness) < 2})
+    tells = {w: _tells(n, n_bad, clean[w], n_clean) for w, n in seen.items()}
+    sure = {w: n for w, n in seen.items() if tells[w] >= SURE}
+    best = Counter(max(ws, key=lambda w: (tells[w], w)) for ws in bad) if len(bad) < 20 else Counter()
+    witness = Counter(sure) | best
     every = sorted(clean)
     if not every or not witness:
         return None
     hard: list[str] = [every[i] for i in rng.choice(len(every), min(len(every), 4000), replace=False)]
-    machine = None
-    for turn in range(rounds):
+    machine = near = None
+    for _ in range(rounds):
         if machine is not None:
             values = dict(zip(flat := sorted(seen), machine.values(flat)))
             tops = Counter(max(ws, key=lambda w: (values[w], w)) for ws in bad)
-            witness = Counter({w: n for w, n in tops.items() if values[w] > 0 and w not in clean}) or witness
+            witness = Counter(sure) | best | Counter({w: n for w, n in tops.items() if values[w] > 0 and w not in clean})
             scored = machine.values(every)
             worst = np.argsort(-scored, kind="stable")[:1500]
             hard = sorted({*hard, *(every[i] for i in worst if scored[i] > -1)})
         good = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))]
-        copies = [(c, n) for w in good for c in _inserted(w, rng) for n in [witness[w] / 4]]
-        ranked = hard if machine is None else [hard[i] for i in np.argsort(-machine.values(hard), kind="stable")]
-        marks = list(dict.fromkeys([*good[: landmarks // 2], *ranked]))[:landmarks]
+        copies = [(c, n) for w in good for made in [_inserted(w, letters, rng)] for c in made for n in [witness[w] * COPIES / len(made)]]
+        firm = good[: landmarks // 2]
+        if near is None:
+            near = _nearest([every[i] for i in rng.choice(len(every), min(len(every), 40_000), replace=False)], Landmarks(firm, letters), NEAR)
+            hard = sorted({*hard, *near})
+        ranked = near if machine is None else [hard[i] for i in np.argsort(-machine.values(hard), kind="stable")]
+        marks = list(dict.fromkeys([*firm, *near, *ranked]))[:landmarks]
         some = [*good, *(c for c, _ in copies), *hard]
         label = np.r_[np.ones(len(good) + len(copies)), -np.ones(len(hard))]
         weight = np.r_[np.sqrt([witness[w] for w in good]), np.sqrt([n for _, n in copies]), np.ones(len(hard))]
-        weight[label > 0] *= len(hard) / weight[label > 0].sum() / 2  # both classes weigh alike, twice over for clean ones
-        base = kernels(marks, marks, table).astype(np.float64)
-        value, vector = np.linalg.eigh((base + base.T) / 2)
-        fine = value > 1e-4
-        root = vector[:, fine] / np.sqrt(value[fine])
-        w = hinge(kernels(some, marks, table) @ root, label, weight, PENALTY)
-        beta = root @ w[:-1]
-        weights = np.zeros(LETTERS**3, np.float64)
-        for places, codes in _by_length(marks, table):
-            number, decay = _features(codes)
-            for p, row, norm in zip(places, number, norms(codes)):
-                np.add.at(weights, row, beta[p] * decay / norm)
-        weights[0] = 0
-        machine = Machine(letters, weights.astype(np.float32), float(w[-1]))
+        weight[label > 0] *= len(hard) / weight[label > 0].sum()  # both classes weigh alike
+        index = Landmarks(marks, letters)
+        own, all_ = index.matrix(marks), index.matrix(some)
+        beta, bias = _fitted(own**POWER, all_**POWER, label, weight)
+        coarse, coarse_bias = _fitted(own, all_, label, weight)
+        passes = all_[label > 0] @ coarse + coarse_bias
+        gate = float(min(passes[: len(good)].min(), np.quantile(passes, 0.2)))
+        machine = Machine(letters, marks, coarse, coarse_bias, gate, beta, bias, _index=index)
     held = np.flatnonzero(~learn) if (~learn).any() else np.arange(len(y))
-    told = [sorted(read[i]) for i in held]
-    values = np.array([machine.values(ws).max() if ws else machine.bias - 1 for ws in told])
-    machine.slope, machine.shift = _platt(values, y[held])
+    value = lambda ws: float(machine.values(ws).max()) if ws else machine.bias - 1
+    values, goal, weight = [], [], []
+    for i in held:
+        own = sorted(read[i])
+        values.append(value(own))
+        goal.append(int(y[i]))
+        weight.append(1.0)
+        if y[i] == 1 and values[-1] > 0:  # as toxic with a character put into its worst window
+            made = _inserted(own[int(np.argmax(machine.values(own)))], letters, rng)
+            values += [value([c]) for c in made[:: max(1, len(made) // 2)][:2]]
+            weight += [COPY] * (len(values) - len(goal))
+            goal += [1] * (len(values) - len(goal))
+    machine.slope, machine.shift = _platt(np.array(values), np.array(goal), np.array(weight))
     return machine
 
 
-def _platt(values: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through values, towards smoothed targets; the slope is positive."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
+def _platt(values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through weighted values, towards smoothed targets; the slope is positive."""
+    n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
     goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([values, np.ones(len(values))], axis=1)
     w = np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-        slope = x.T @ (p - goal) + 1e-3 * w
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-3 * np.eye(2), slope)
+        slope = x.T @ (weight * (p - goal)) + 1e-3 * w
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 1e-3 * np.eye(2), slope)
         w = w - step * min(1.0, 5 / max(1e-9, float(np.abs(step).max())))
         if np.abs(step).max() < 1e-8:
             break
@@ -298,12 +369,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longe
 
 def scores(docs: DataFrame, machine: Machine | None, prior: float = 0.0, id_column: str = "doc_id") -> DataFrame:
     """id_column, score and value (the worst window's) of each text."""
-    told = machine.packed() if machine else None
+    told = machine.told() if machine else None
 
     def run(batches):
         import pyarrow as pa
 
-        own = Machine.unpacked(told) if told else None
+        own = Machine(*told) if told else None
         known: dict[str, float] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
