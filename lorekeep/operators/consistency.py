@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import columns as X
-from .entities import indel_ratio, with_score
+from .names import sorted_tokens, within
 
 CAP = 50
 
@@ -41,14 +41,9 @@ def without_broken(edges: DataFrame, broken: DataFrame) -> DataFrame:
 
 
 def alike(entities: DataFrame, least: float = C.DUPLICATE_LEAST) -> DataFrame:
-    """Pairs (a, b, likeness) of entities (id, name) with nearly one name, whatever the order of its tokens. Names are compared where
-    they have the same sorted first letters of their tokens and lengths that allow the likeness."""
-    norm = X.normalise_name(F.col("name"))
-    toks = F.array_sort(F.split(F.col("_n"), " "))
-    rows = entities.select("id", norm.alias("_n")).where("_n <> ''").withColumns({"_s": F.array_join(toks, " "), "_k": F.explode(F.array_distinct(F.transform(toks, lambda t: F.substring(t, 1, 3))))})
-    a, b = rows.select(F.col("id").alias("a"), F.col("_s").alias("_a"), "_k"), rows.select(F.col("id").alias("b"), F.col("_s").alias("_b"), "_k")
-    pairs = a.join(b, "_k").where("a < b").where(F.least(F.length("_a"), F.length("_b")) * 2 >= least * (F.length("_a") + F.length("_b"))).select("a", "b", "_a", "_b").distinct()
-    return with_score(pairs, "_a", "_b", indel_ratio).where(F.col("name_score") >= least).select("a", "b", F.col("name_score").alias("likeness"))
+    """Pairs (a, b, likeness) of entities (id, name) with nearly one name, whatever the order of its tokens; no pair is lost."""
+    rows = entities.select("id", sorted_tokens(F.col("name")).alias("name"))
+    return within(rows, least).withColumnRenamed("name_score", "likeness")
 
 
 def shared_keys(rows: DataFrame, id_col: str, **keys: Column) -> DataFrame:

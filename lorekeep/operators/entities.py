@@ -96,7 +96,7 @@ def with_name_score(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.85) -> DataFrame:
-    """mention_id, name, email -> entity_id, stage, score. E-mail first, then alias, then fuzzy names that share a token's first three letters; each stage sees what the earlier ones left."""
+    """mention_id, name, email -> entity_id, stage, score. E-mail first, then alias, then fuzzy names, of which no pair above `least` is lost; each stage sees what the earlier ones left."""
     m = mentions.withColumns({"_e": X.normalise_email(F.col("email")), "_n": X.normalise_name(F.col("name"))})
     ent = entities.withColumns({"_ee": X.normalise_email(F.col("email")), "_en": X.normalise_name(F.col("name"))})
     by_mail = m.where("_e <> ''").join(ent.where("_ee <> ''").groupBy(F.col("_ee").alias("_e")).agg(F.min("entity_id").alias("entity_id")), "_e").select("mention_id", "entity_id", F.lit("email").alias("stage"), F.lit(1.0).alias("score"))
@@ -105,11 +105,10 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, least:
     by_alias = left.where("_n <> ''").join(alias, "_n").select("mention_id", "entity_id", F.lit("alias").alias("stage"), "score")
     left, ent = left.join(by_alias, "mention_id", "left_anti").where("_n <> ''"), ent.where("_en <> ''")
 
-    def keys(col: str):
-        return F.explode(F.array_distinct(F.transform(F.split(F.regexp_replace(col, r"\.", " "), r"\s+"), lambda t: F.substring(X.same_first_name(t), 1, 3))))
+    from .names import similar_names
 
-    blocks = left.select("mention_id", "_n", keys("_n").alias("_k")).join(ent.select("entity_id", "_en", keys("_en").alias("_k")), "_k").select("mention_id", "_n", "entity_id", "_en").distinct()
-    scored = with_name_score(blocks, "_n", "_en").where(F.col("name_score") >= least)
+    found = similar_names(left.select(F.col("mention_id").alias("id"), F.col("_n").alias("name")), ent.select(F.col("entity_id").alias("id"), F.col("_en").alias("name")), least)
+    scored = found.toDF("mention_id", "entity_id", "name_score")
     w = Window.partitionBy("mention_id").orderBy(F.desc("name_score"), "entity_id")
     fuzzy = scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), F.col("name_score").alias("score"))
     return by_mail.unionByName(by_alias).unionByName(fuzzy)
@@ -130,11 +129,6 @@ def company_score(a: str, b: str) -> float:
     return max(plain_score(a, b), C.PARTIAL_WEIGHT * partial_ratio(a, b))
 
 
-def _starts(col: str):
-    """First three letters of each token: what names that are compared must share."""
-    return F.explode(F.array_distinct(F.transform(F.split(col, r"\s+"), lambda t: F.substring(t, 1, 3))))
-
-
 def _cascade(mentions: DataFrame, id_col: str, stages) -> DataFrame:
     """Each stage (a function of what is left) gives id, entity_id, stage, score; a mention leaves with its first stage."""
     out, left = None, mentions
@@ -149,16 +143,18 @@ def _cascade(mentions: DataFrame, id_col: str, stages) -> DataFrame:
 
 def resolve_companies(mentions: DataFrame, companies: DataFrame, aliases: DataFrame, least: float = C.COMPANY_LEAST) -> DataFrame:
     """mention_id, name, domain, short -> entity_id, stage, score: by domain, alias, known short form, then names alike (without
-    legal suffixes; compared where a token starts alike). companies: entity_id, name, domain; aliases: alias, entity_id, confidence."""
+    legal suffixes). companies: entity_id, name, domain; aliases: alias, entity_id, confidence."""
     short = F.lower(F.trim("short"))
     m = mentions.withColumns({"_d": F.regexp_replace(F.lower(F.trim("domain")), r"^(www\.)", ""), "_n": X.company_key(F.col("name")), "_s": short})
     c = companies.withColumn("_cn", X.company_key(F.col("name"))).withColumnRenamed("domain", "_cd").select("entity_id", "_cn", "_cd")
     known = aliases.select(F.col("alias").alias("_a"), "entity_id", F.col("confidence").alias("score"))
     full = F.create_map(*[F.lit(x) for kv in C.COMPANY_SHORT.items() for x in kv])[F.col("_s")]
 
+    from .names import similar_names
+
     def fuzzy(left):
-        pairs = left.where("_n <> ''").select("mention_id", "_n", _starts("_n").alias("_k")).join(c.where("_cn <> ''").select("entity_id", "_cn", _starts("_cn").alias("_k")), "_k").select("mention_id", "_n", "entity_id", "_cn").distinct()
-        return with_score(pairs, "_n", "_cn", company_score).where(F.col("name_score") >= least).select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), F.col("name_score").alias("score"))
+        found = similar_names(left.select(F.col("mention_id").alias("id"), F.col("_n").alias("name")), c.select(F.col("entity_id").alias("id"), F.col("_cn").alias("name")), least, company_score)
+        return found.toDF("mention_id", "entity_id", "score").withColumn("stage", F.lit("fuzzy"))
 
     return _cascade(m, "mention_id", [
         lambda left: left.where("_d <> ''").join(c, left["_d"] == c["_cd"]).withColumns({"stage": F.lit("domain"), "score": F.lit(1.0)}),
@@ -175,12 +171,14 @@ def resolve_projects(mentions: DataFrame, projects: DataFrame, aliases: DataFram
     p = projects.select("entity_id", X.normalise_name(F.col("name")).alias("_pn"), F.col("code").alias("_pk"), F.col("company_id").alias("_pc"))
     known = aliases.select(F.col("alias").alias("_a"), "entity_id", F.col("confidence").alias("score"))
 
+    from .names import similar_names
+
     def fuzzy(left):
         owners = p.select(F.col("_pc").alias("company_id")).distinct().withColumn("_own", F.lit(True))
         left = left.where("_n <> ''").join(owners, "company_id", "left")
-        pairs = left.select("mention_id", "_n", "company_id", "_own", _starts("_n").alias("_b")).join(p.where("_pn <> ''").select("entity_id", "_pn", "_pc", _starts("_pn").alias("_b")), "_b")
-        pairs = pairs.where("_own is null or company_id = _pc").select("mention_id", "_n", "entity_id", "_pn").distinct()
-        return with_score(pairs, "_n", "_pn", plain_score).where(F.col("name_score") >= least).select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), F.col("name_score").alias("score"))
+        found = similar_names(left.select(F.col("mention_id").alias("id"), F.col("_n").alias("name")), p.select(F.col("entity_id").alias("id"), F.col("_pn").alias("name")), least, plain_score)
+        pairs = found.toDF("mention_id", "entity_id", "score").join(left.select("mention_id", "company_id", "_own"), "mention_id").join(p.select("entity_id", "_pc"), "entity_id")
+        return pairs.where("_own is null or company_id = _pc").select("mention_id", "entity_id", F.lit("fuzzy").alias("stage"), "score")
 
     return _cascade(m, "mention_id", [
         lambda left: left.where("_k <> ''").join(p, left["_k"] == p["_pk"]).withColumns({"stage": F.lit("code"), "score": F.lit(1.0)}),

@@ -538,4 +538,4 @@ def interaction_sessions(spark, sf):
     return e.select("user_id", number.alias("session"), "n_events", "first_at", "last_at")
 
 
-from . import composed, landed, remembered  # noqa: E402, F401  they register their queries
+from . import composed, grown, landed, remembered  # noqa: E402, F401  they register their queries
