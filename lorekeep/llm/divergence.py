@@ -11,7 +11,7 @@ are the combination (0, 0): its multiplicity is what is left of V.
 
 Three passes: (1) tasks count terms per (lang, source) in their rows and emit each term once per flush,
 which Spark adds up; (2) terms in enough documents get a number; (3) the counts are dealt into cells of
-(lang, bucket of terms, two blocks of sources), of at most 32,768 terms on average by 128 sources, and
+(lang, bucket of terms, two blocks of sources), of 4,096 terms on average by 128 sources, and
 each cell tallies all its pairs. A language with many sources or terms becomes many cells, whose partial
 sums Spark adds; a frequent term is one row per source, however often it occurs.
 
@@ -36,7 +36,7 @@ LEAST_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
 #: Terms of a cell, and sources of one of its two blocks.
-TERMS, BLOCK = 32_768, 64
+TERMS, BLOCK = 4_096, 64
 #: A task emits its counts when it holds so many.
 HELD = 300_000
 

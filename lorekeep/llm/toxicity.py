@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-PER_CLASS, LONGEST = 3000, 20_000
+PER_CLASS, LONGEST = 2500, 20_000
 #: Weight of each skipped character, and most of them in a triple; letters told apart (0 is a skipped one, 1 and 2 are the borders); longest window and half of it.
 DECAY, SKIPS, LETTERS = 0.65, 2, 96
 WINDOW = 30
@@ -273,7 +273,9 @@ def _inserted(window: str, letters: str, rng: np.random.Generator) -> list[str]:
 
 def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 7) -> Machine | None:
     """The machine of labelled documents; None where a class is missing."""
-    read = [windows(t or "") for t in texts]
+    one: dict[str, str] = {}
+    read = [{one.setdefault(w, w) for w in windows(t or "")} for t in texts]  # equal windows are one string
+    del one
     y = np.array(toxic)
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -304,7 +306,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
             tops = Counter(max(ws, key=lambda w: (values[w], w)) for ws in bad)
             witness = Counter(sure) | best | Counter({w: n for w, n in tops.items() if values[w] > 0 and w not in clean})
             scored = machine.values(every)
-            worst = np.argsort(-scored, kind="stable")[:1500]
+            worst = np.argsort(-scored, kind="stable")[:1000]
             hard = sorted({*hard, *(every[i] for i in worst if scored[i] > -1)})
         good = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))]
         copies = [(c, n) for w in good for made in [_inserted(w, letters, rng)] for c in made for n in [witness[w] * COPIES / len(made)]]
