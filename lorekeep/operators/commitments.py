@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import columns as X
+from .setjoin import most_similar
 from .extraction import explode_sentences
 
 _DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -80,15 +81,12 @@ def signals(text: Column, patterns: list[str], negated: str | None = None) -> Co
 def matched(sentences: DataFrame, commitments: DataFrame, sentence_id: str, least: float = C.MATCH_LEAST) -> DataFrame:
     """sentence_id, company, text -> the open commitment whose words are most alike: commitment_id, status, likeness (above least;
     ties to the smaller id). commitments: commitment_id, company, status, text. A sentence with a company matches only that company's.
-    Sentences and commitments meet by a shared word of four letters or more, never crosswise."""
-    a = sentences.select(sentence_id, F.col("company").alias("_sc"), X.long_words(F.col("text")).alias("_a"))
-    b = commitments.where(F.col("status").isin("open", "in_progress")).select("commitment_id", F.col("company").alias("_cc"), "status", X.long_words(F.col("text")).alias("_b"))
-    left = a.select(sentence_id, "_sc", F.size("_a").alias("_na"), F.explode("_a").alias("w"))
-    right = b.select("commitment_id", "_cc", "status", F.size("_b").alias("_nb"), F.explode("_b").alias("w"))
-    both = left.join(right, "w").where("_sc is null or _sc = _cc").groupBy(sentence_id, "commitment_id", "status", "_na", "_nb").agg(F.count(F.lit(1)).alias("_n"))
-    alike = both.withColumn("likeness", F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))).where(F.col("likeness") > least)
-    rank = F.row_number().over(Window.partitionBy(sentence_id).orderBy(F.desc("likeness"), "commitment_id"))
-    return alike.withColumn("_r", rank).where("_r = 1").select(sentence_id, "commitment_id", "status", "likeness")
+    Commitments and sentences meet by the prefixes of their words in order of rarity (setjoin), never by a common word alone."""
+    a = sentences.select(F.col(sentence_id).alias("id"), F.col("company").alias("_sc"), X.long_words(F.col("text")).alias("items"))
+    b = commitments.where(F.col("status").isin("open", "in_progress")).select(F.col("commitment_id").alias("id"), F.col("company").alias("_cc"), "status", X.long_words(F.col("text")).alias("items"))
+    own = F.col("_sc").isNull() | (F.col("_sc") == F.col("_cc"))
+    found = most_similar(a, b, 1, least + 1e-9, own).withColumnsRenamed({"a": sentence_id, "b": "commitment_id"})
+    return found.join(b.select(F.col("id").alias("commitment_id"), "status"), "commitment_id").select(sentence_id, "commitment_id", "status", "likeness")
 
 
 def transitions(sentences: DataFrame, commitments: DataFrame, sentence_id: str) -> DataFrame:
