@@ -85,11 +85,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def stub_embedding(text: Column, buckets: int = 64, most: int = 128) -> Column:
     """Unit vector of character codes: code i of the first `most` characters goes to bucket i mod `buckets`."""
-    chars = F.split(F.substring(text, 1, most), "")
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.aggregate(F.filter(codes, lambda _, i: i % buckets == k), F.lit(0.0), lambda s, x: s + x))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    head = F.substring(text, 1, most)
+    code = lambda i: F.ascii(F.substr(head, i, F.lit(1))).cast("double")  # noqa: E731  0 beyond the end
+    sums = F.transform(F.sequence(F.lit(1), F.lit(buckets)), lambda k: sum((code(k + n) for n in range(buckets, most, buckets)), code(k)))
+    norm = lambda s: F.sqrt(F.aggregate(s, F.lit(0.0), lambda t, x: t + x * x))
+    unit = F.transform(F.array(sums), lambda s: F.transform(F.array(norm(s)), lambda n: F.transform(s, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0])  # each is computed once
+    return unit[0]
 
 
 def days_between(later: Column, earlier: Column) -> Column:

@@ -17,7 +17,7 @@ from ..operators import fusion as M
 from ..operators import retrieval as V
 from ..operators import watch as W
 from . import samples as S
-from .base import expected, q, quoted, spread, table
+from .base import Literal, example, expected, q, quoted, spread, table
 
 
 def now():
@@ -26,7 +26,7 @@ def now():
 
 # ------------------------------------------------------------------ commitments and risks
 @q(
-    expected(
+    S.DEADLINES.dealt(
         "id long; deadline date",
         [
             (1, "2024-05-17"), (2, "2024-05-15"), (3, "2024-05-17"), (4, "2024-05-31"), (5, "2024-06-30"), (6, "2024-06-01"), (7, "2024-12-25"), (8, "2024-05-22"), (9, "2024-05-17"), (10, "2024-05-18"), (11, "2024-05-29"),
@@ -35,7 +35,7 @@ def now():
     )
 )
 def spoken_deadlines(spark, sf):
-    return S.DEADLINES.frame(spark).select("id", K.deadline(F.col("text"), now()).alias("deadline"))
+    return S.DEADLINES.over(spark, sf).select("id", K.deadline(F.col("text"), now()).alias("deadline"))
 
 
 def _counts(patterns: list[str], text: str = "t") -> str:
@@ -54,7 +54,7 @@ s AS (SELECT *, round(least(0.2 * n_patterns, 0.5) + 0.15 * future::INT + 0.15 *
 FROM s WHERE (future OR act) AND n_patterns > 0 AND confidence >= 0.2"""
 )
 def commitment_candidates(spark, sf):
-    return K.detect(S.MESSAGES.frame(spark), now(), "text").select("msg_id", "commitment_type", "n_patterns", "confidence")
+    return K.detect(S.MESSAGES.frame(spark, sf), now(), "text").select("msg_id", "commitment_type", "n_patterns", "confidence")
 
 
 @q(
@@ -63,13 +63,13 @@ l AS (SELECT msg_id, lower(sentence) AS t FROM d WHERE length(sentence) >= 10),
 SELECT msg_id, count(*) AS n_new, 'open' AS status FROM n WHERE k > 0 AND c GROUP BY msg_id"""
 )
 def commitments_extracted(spark, sf):
-    found = K.extract(S.MESSAGES.frame(spark), now(), "msg_id")
+    found = K.extract(S.MESSAGES.frame(spark, sf), now(), "msg_id")
     first = K.history(found, now()).where("old_status is null").join(found, "commitment_id")
     return first.groupBy("msg_id").agg(F.count(F.lit(1)).alias("n_new"), F.min("new_status").alias("status"))
 
 
 @q(
-    expected(
+    S.SAMPLE_FOLLOWUPS.dealt(
         "sid long; resolved array<string>; stalled array<string>",
         [
             (1, [], ["any update"]), (2, ["sent", "we have sent"], []), (3, [], ["any news"]), (4, [], ["reminder"]), (5, ["confirmed"], []), (6, ["delivered"], []), (7, ["sent"], []),
@@ -77,7 +77,7 @@ def commitments_extracted(spark, sf):
     )
 )
 def resolution_signals(spark, sf):
-    f = S.FOLLOWUPS.frame(spark)
+    f = S.SAMPLE_FOLLOWUPS.over(spark, sf)
     return f.select("sid", K.signals(F.col("text"), C.RESOLUTION, C.NEGATED).alias("resolved"), K.signals(F.col("text"), C.STALL).alias("stalled"))
 
 
@@ -90,11 +90,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY likeness DESC, comm
 
 @q(f"WITH {_SQL_MATCH} SELECT sid, commitment_id, status, round(likeness, 6)::DOUBLE AS likeness FROM r WHERE k = 1")
 def commitment_matches(spark, sf):
-    found = K.matched(S.FOLLOWUPS.frame(spark), S.COMMITMENTS.frame(spark), "sid")
+    found = K.matched(S.FOLLOWUPS.frame(spark, sf), S.COMMITMENTS.frame(spark, sf), "sid")
     return found.withColumn("likeness", F.round("likeness", 6))
 
 
-@q(
+@example(
     expected(
         "commitment_id string; old_status string; new_status string; reason string; sid long",
         [
@@ -103,21 +103,27 @@ def commitment_matches(spark, sf):
     )
 )
 def commitment_transitions(spark, sf):
-    return K.transitions(S.FOLLOWUPS.frame(spark), S.COMMITMENTS.frame(spark), "sid").select("commitment_id", "old_status", "new_status", "reason", "sid")
+    return K.transitions(S.SAMPLE_FOLLOWUPS.frame(spark, sf), S.SAMPLE_COMMITMENTS.frame(spark, sf), "sid").select("commitment_id", "old_status", "new_status", "reason", "sid")
 
 
-@q(expected("status string; n long", [("resolved", 3), ("overdue", 5), ("in_progress", 1)]))
+@example(expected("status string; n long", [("resolved", 3), ("overdue", 5), ("in_progress", 1)]))
 def commitments_after_followups(spark, sf):
-    c = S.COMMITMENTS.frame(spark)
-    moved = K.transitions(S.FOLLOWUPS.frame(spark), c, "sid")
+    c = S.SAMPLE_COMMITMENTS.frame(spark, sf)
+    moved = K.transitions(S.SAMPLE_FOLLOWUPS.frame(spark, sf), c, "sid")
     return K.apply_transitions(c, moved).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 _EDGED = r"(^|[^\p{L}\p{N}_])%s($|[^\p{L}\p{N}_])"
 
 
+_FAR = "x" * 120
+_RISKY = Literal("texts", "id long; text string", [
+    (1, "Urgent: the vendor delayed again, approval pending."), (2, f"The launch delayed. {_FAR} {_FAR} The release blocked by QA."), (3, "A penalty applies."), (4, "All is well."), (5, None), (6, ""),
+])
+
+
 @q(
-    expected(
+    _RISKY.dealt(
         "id long; category string; title string; match_no int; match_text string; severity string; confidence double",
         [
             (1, "vendor", "Vendor delivery delay", 0, "vendor delay", "high", 0.6), (1, "approval", "Approval pending", 0, "approval pending", "high", 0.6),
@@ -127,9 +133,7 @@ _EDGED = r"(^|[^\p{L}\p{N}_])%s($|[^\p{L}\p{N}_])"
     )
 )
 def risk_scan(spark, sf):
-    far = "x" * 120
-    texts = [(1, "Urgent: the vendor delayed again, approval pending."), (2, f"The launch delayed. {far} {far} The release blocked by QA."), (3, "A penalty applies."), (4, "All is well."), (5, None), (6, "")]
-    found = T.risks(spark.createDataFrame(texts, "id long, text string"), "id", "text")
+    found = T.risks(_RISKY.over(spark, sf), "id", "text")
     return found.select("id", "category", "title", "match_no", "match_text", "severity", F.round("confidence", 6).alias("confidence"))
 
 
@@ -139,41 +143,42 @@ SELECT 'Unresolved external dependencies — ' || company AS title, CASE WHEN co
 UNION ALL SELECT 'Overdue approval: ' || text[:100], 'approval', 'high', company, 1 FROM o WHERE commitment_type = 'approval'"""
 )
 def risks_from_commitments(spark, sf):
-    return W.risks_from_commitments(S.COMMITMENTS.frame(spark))
+    return W.risks_from_commitments(S.COMMITMENTS.frame(spark, sf))
 
 
 @q(f"WITH {S.ESCALATIONS.cte} SELECT 'Escalation risk: ' || title[:100] AS title, 'vendor' AS category, severity, company, 1::BIGINT AS n_evidence FROM escalations WHERE is_active AND severity IN ('high', 'critical')")
 def risks_from_escalations(spark, sf):
-    return W.risks_from_escalations(S.ESCALATIONS.frame(spark))
+    return W.risks_from_escalations(S.ESCALATIONS.frame(spark, sf))
 
 
 @q(f"WITH {S.RISKS.cte} SELECT count(*) AS total_active, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high FROM risks WHERE is_active")
 def risk_evaluation(spark, sf):
-    return W.risk_summary(S.RISKS.frame(spark))
+    return W.risk_summary(S.RISKS.frame(spark, sf))
 
 
 # ------------------------------------------------------------------ signals, priorities, briefing
 _SQL_SIGNALS = f"""{S.COMPANIES.cte}, {S.ESCALATIONS.cte}, {S.RISKS.cte},
 e AS (SELECT company, count(*) AS n FROM escalations WHERE is_active AND company <> '' GROUP BY 1),
-f AS (SELECT 'delayed_response' AS signal_type, company AS entity, CASE WHEN round(response_hours / 24, 1) > 5 THEN 'high' ELSE 'medium' END AS severity, response_hours AS current_value FROM companies WHERE response_hours > 72
+f0 AS (SELECT 'delayed_response' AS signal_type, company AS entity, CASE WHEN round(response_hours / 24, 1) > 5 THEN 'high' ELSE 'medium' END AS severity, response_hours AS current_value FROM companies WHERE response_hours > 72
   UNION ALL SELECT 'increased_escalations', company, CASE WHEN n >= 4 THEN 'critical' WHEN n >= 3 THEN 'high' ELSE 'medium' END, n FROM e WHERE n >= 2
   UNION ALL SELECT 'new_risk', coalesce(company, 'Organization'), severity, NULL FROM risks WHERE is_active AND severity IN ('high', 'critical') AND first_at >= TIMESTAMP '{S.NOW}' - INTERVAL 24 HOUR
-  UNION ALL SELECT 'relationship_deterioration', company, 'high', health_score FROM companies WHERE health = 'at_risk')"""
+  UNION ALL SELECT 'relationship_deterioration', company, 'high', health_score FROM companies WHERE health = 'at_risk'),
+f AS (SELECT * FROM f0 QUALIFY row_number() OVER (PARTITION BY signal_type, entity ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity)) = 1)"""
 
 
-def _signals(spark):
-    c, e, r = S.COMPANIES.frame(spark), S.ESCALATIONS.frame(spark), S.RISKS.frame(spark)
+def _signals(spark, sf):
+    c, e, r = S.COMPANIES.frame(spark, sf), S.ESCALATIONS.frame(spark, sf), S.RISKS.frame(spark, sf)
     return W.all_signals(W.delayed_responses(c), W.escalation_increase(e), W.new_risks(r, now()), W.deterioration(c))
 
 
 @q(f"WITH {_SQL_SIGNALS} SELECT signal_type, entity, severity, current_value::DOUBLE AS current_value FROM f")
 def executive_signals(spark, sf):
-    return W.by_severity(_signals(spark), F.col("entity")).select("signal_type", "entity", "severity", "current_value")
+    return W.by_severity(_signals(spark, sf), F.col("entity")).select("signal_type", "entity", "severity", "current_value")
 
 
 @q(f"WITH {_SQL_SIGNALS} SELECT signal_type, count(*) AS n FROM f GROUP BY 1")
 def signal_run_summary(spark, sf):
-    return W.run_summary(_signals(spark))
+    return W.run_summary(_signals(spark, sf))
 
 
 @q(
@@ -181,7 +186,7 @@ def signal_run_summary(spark, sf):
 SELECT company, count(*) AS n_followups, min(occurred_at) AS first_at, max(occurred_at) AS last_at FROM t WHERE {_counts(C.STALL)} > 0 GROUP BY 1 HAVING count(*) >= 2"""
 )
 def repeated_followups(spark, sf):
-    return W.repeated_followups(S.INTERACTIONS.frame(spark), now())
+    return W.repeated_followups(S.INTERACTIONS.frame(spark, sf), now())
 
 
 _SQL_ESC = """s AS (SELECT company, max(CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.2 ELSE 0.3 END) AS m, count(*) AS n FROM escalations WHERE is_active GROUP BY 1),
@@ -190,7 +195,7 @@ esc AS (SELECT company, least(1.0, m + least(0.1 * (n - 1), 0.2)) AS escalation_
 
 @q(f"WITH {S.ESCALATIONS.cte}, {_SQL_ESC} SELECT company, round(escalation_level, 6)::DOUBLE AS escalation_level FROM esc")
 def escalation_levels(spark, sf):
-    return W.escalation_score(S.ESCALATIONS.frame(spark)).withColumn("escalation_level", F.round("escalation_level", 6))
+    return W.escalation_score(S.ESCALATIONS.frame(spark, sf)).withColumn("escalation_level", F.round("escalation_level", 6))
 
 
 def _contains(words: list[str], text: str = "t") -> str:
@@ -209,18 +214,22 @@ p AS (SELECT entity_type, entity_id, company, text[:200] AS title, round(CASE WH
 pr AS (SELECT *, CASE WHEN priority_score >= 0.65 THEN 'HIGH' WHEN priority_score >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM p)"""
 
 
-def _priorities(spark):
-    return W.priorities(S.COMMITMENTS.frame(spark), S.RISKS.frame(spark), S.COMPANIES.frame(spark), S.ESCALATIONS.frame(spark), now())
+def _sample_priorities(spark):
+    return W.priorities(*(t.frame(spark) for t in (S.SAMPLE_COMMITMENTS, S.SAMPLE_RISKS, S.SAMPLE_COMPANIES, S.SAMPLE_ESCALATIONS)), now())
+
+
+def _priorities(spark, sf):
+    return W.priorities(S.COMMITMENTS.frame(spark, sf), S.RISKS.frame(spark, sf), S.COMPANIES.frame(spark, sf), S.ESCALATIONS.frame(spark, sf), now())
 
 
 @q(f"WITH {_SQL_PRIORITY} SELECT * FROM pr")
 def priorities(spark, sf):
-    return _priorities(spark)
+    return _priorities(spark, sf)
 
 
 @q(f"WITH {_SQL_PRIORITY} SELECT entity_type, entity_id, priority_score, priority FROM pr WHERE priority <> 'LOW' ORDER BY priority_score DESC, entity_type, entity_id LIMIT 5")
 def top_priorities(spark, sf):
-    return W.top_priorities(_priorities(spark), 5).select("entity_type", "entity_id", "priority_score", "priority")
+    return W.top_priorities(_priorities(spark, sf), 5).select("entity_type", "entity_id", "priority_score", "priority")
 
 
 @q(
@@ -230,10 +239,10 @@ y AS (SELECT *, concat_ws('; ', CASE WHEN silence_days > 14 THEN 'No contact for
 SELECT company, health, health_score, open_commitments, active_risks, CASE WHEN s = '' THEN 'Requires monitoring' ELSE s END AS summary FROM y ORDER BY health_score LIMIT 8"""
 )
 def relationships_in_need(spark, sf):
-    return W.attention(S.COMPANIES.frame(spark), S.COMMITMENTS.frame(spark), S.RISKS.frame(spark))
+    return W.attention(S.COMPANIES.frame(spark, sf), S.COMMITMENTS.frame(spark, sf), S.RISKS.frame(spark, sf))
 
 
-@q(
+@example(
     expected(
         "section string; rank int; item string; detail string",
         [
@@ -275,8 +284,15 @@ def relationships_in_need(spark, sf):
         ],
     )
 )
+def briefing_of_samples(spark, sf):
+    return W.briefing(_sample_priorities(spark), S.SAMPLE_COMMITMENTS.frame(spark), S.SAMPLE_RISKS.frame(spark), S.SAMPLE_COMPANIES.frame(spark), S.SAMPLE_ESCALATIONS.frame(spark), S.SAMPLE_INTERACTIONS.frame(spark), now())
+
+
+@q()
 def daily_briefing(spark, sf):
-    return W.briefing(_priorities(spark), S.COMMITMENTS.frame(spark), S.RISKS.frame(spark), S.COMPANIES.frame(spark), S.ESCALATIONS.frame(spark), S.INTERACTIONS.frame(spark), now())
+    """On all orders, customers and events; the example above says what it should give."""
+    scored = _priorities(spark, sf).checkpoint()  # read by two sections
+    return W.briefing(scored, *(t.frame(spark, sf) for t in (S.COMMITMENTS, S.RISKS, S.COMPANIES, S.ESCALATIONS, S.INTERACTIONS)), now())
 
 
 # ------------------------------------------------------------------ from question to cited context
@@ -288,13 +304,14 @@ _SPECS = ", ".join(
 
 
 @q(
-    f"""WITH qs(question_id, category, temporal) AS (VALUES (1, 'person', 'all_time'), (2, 'company', 'recent'), (3, 'project', 'month'), (4, 'risk', 'quarter'), (5, 'commitment', 'all_time'), (6, 'general', 'all_time')),
+    f"""WITH qb(question_id, category, temporal) AS (VALUES (1, 'person', 'all_time'), (2, 'company', 'recent'), (3, 'project', 'month'), (4, 'risk', 'quarter'), (5, 'commitment', 'all_time'), (6, 'general', 'all_time')),
+qs AS (SELECT d.doc_id AS question_id, category, temporal FROM documents d JOIN qb ON qb.question_id = {S.QUESTIONS.ids!r}[(d.doc_id % {len(S.QUESTIONS.ids)})::INT + 1]),
 sp(category, strategy, total, source_type, priority, place, n, w) AS (VALUES {_SPECS})
 SELECT question_id::BIGINT AS question_id, category, strategy, source_type, priority, row_number() OVER (PARTITION BY question_id ORDER BY place)::INT AS source_rank,
 least(floor(n * CASE temporal WHEN 'recent' THEN 0.5 WHEN 'month' THEN 0.75 WHEN 'all_time' THEN 1.5 ELSE 1.0 END), 30)::INT AS max_results, round(CASE WHEN temporal = 'recent' THEN least(1.0, w + 0.2) ELSE w END, 6)::DOUBLE AS recency_weight FROM qs JOIN sp USING (category)"""
 )
 def retrieval_plans(spark, sf):
-    found = A.plan(T.classify_queries(S.QUESTIONS.frame(spark)))
+    found = A.plan(T.classify_queries(S.QUESTIONS.over(spark, sf)))
     return found.select("question_id", "category", "strategy", "source_type", "priority", "source_rank", "max_results", F.round("recency_weight", 6).alias("recency_weight"))
 
 
@@ -352,7 +369,7 @@ def ranked_by_class(spark, sf):
 
 
 @q(
-    expected(
+    S.CHUNKS.dealt(
         "question_id long; strategy string; section int; title string; content string; source_ids array<string>",
         [
             (1, 'company_360', 0, 'Company Overview', 'Acme makes smart meters.', ['k1']),
@@ -368,11 +385,11 @@ def ranked_by_class(spark, sf):
     )
 )
 def assembled_context(spark, sf):
-    return A.assemble(S.CHUNKS.frame(spark)).select("question_id", "strategy", "section", "title", "content", "source_ids")
+    return A.assemble(S.CHUNKS.over(spark, sf)).select("question_id", "strategy", "section", "title", "content", "source_ids")
 
 
 @q(
-    expected(
+    S.CHUNKS.dealt(
         "question_id long; title string; priority int; tokens long; share long; decision string; final_tokens long",
         [
             (1, 'Company Overview', 0, 6, 60, 'include_full', 6),
@@ -388,17 +405,18 @@ def assembled_context(spark, sf):
     )
 )
 def managed_context(spark, sf):
-    sections = A.assemble(S.CHUNKS.frame(spark))
+    sections = A.assemble(S.CHUNKS.over(spark, sf))
     return A.fit_context(sections, F.lit(60)).select("question_id", "title", "priority", "tokens", "share", "decision", "final_tokens")
 
 
-@q("SELECT n::BIGINT AS n, greatest(2000, least(6700, n * 900))::BIGINT AS budget FROM range(0, 12) t(n)")
+@q("WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, n, greatest(2000, least(6700, n * 900))::BIGINT AS budget FROM c")
 def adaptive_budgets(spark, sf):
-    return spark.range(12).select(F.col("id").alias("n"), A.adaptive_budget(F.col("id")).alias("budget"))
+    n = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("o_custkey", "n", A.adaptive_budget(F.col("n")).alias("budget"))
 
 
 @q(
-    expected(
+    S.CHUNKS.dealt(
         "question_id long; pos int; statement string; cited array<string>; readable string; uncertain boolean; coverage double",
         [
             (1, 0, 'The budget was approved on Monday.', ['k2', 'k6', 'k3'], 'The budget was approved on Monday. [Email · May 10, 2024 · John Roe, Jane Doe] [Email · May 11, 2024] [Meeting · May 12, 2024]', False, 0.666667),
@@ -409,12 +427,12 @@ def adaptive_budgets(spark, sf):
     )
 )
 def cited_answers(spark, sf):
-    pool = A.citations(S.CHUNKS.frame(spark))
-    return A.cite(S.ANSWERS.frame(spark), pool).select("question_id", "pos", "statement", "cited", "readable", "uncertain", F.round("coverage", 6).alias("coverage"))
+    pool = A.citations(S.CHUNKS.over(spark, sf))
+    return A.cite(S.ANSWERS.over(spark, sf, ids=S.CHUNKS.ids), pool).select("question_id", "pos", "statement", "cited", "readable", "uncertain", F.round("coverage", 6).alias("coverage"))
 
 
 @q(
-    expected(
+    S.CHUNKS.dealt(
         "question_id long; chunk_ids array<string>; topic string; text string; tags array<string>; conflicts int[]; confidence double; period string",
         [
             (1, ['k1', 'k2', 'k3', 'k6'], 'Project: Meters', 'Acme makes smart meters. The budget for the smart meters was approved on Monday. Please share the plan with Jane Doe. The committee rejected the earlier plan for the smart meters.', ['budget', 'plan'], [0], 0.9, 'May 10, 2024 – May 12, 2024'),
@@ -422,5 +440,5 @@ def cited_answers(spark, sf):
     )
 )
 def fused_memories(spark, sf):
-    found = M.fuse(S.CHUNKS.frame(spark))
+    found = M.fuse(S.CHUNKS.over(spark, sf))
     return found.select("question_id", "chunk_ids", "topic", "text", "tags", "conflicts", "confidence", M.date_range(F.col("first_at"), F.col("last_at")).alias("period"))

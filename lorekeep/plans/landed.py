@@ -11,7 +11,8 @@ from ..operators import detectors as D
 from ..operators import entities as E
 from ..operators import retrieval as V
 from ..sources import normalise as N
-from .base import Literal, expected, q, quoted
+from . import samples as S
+from .base import Literal, example, expected, q, quoted, table
 
 # ------------------------------------------------------------------ mails and chats
 _MAILS = [
@@ -25,39 +26,39 @@ def _mails(spark):
     return N.mail(raw)
 
 
-@q(expected("doc_id string; title string; body string; author string; participants array<string>; thread_id string; sent string", [
+@example(expected("doc_id string; title string; body string; author string; participants array<string>; thread_id string; sent string", [
     ("mail-m1", "Plan", "Hello&nbsp;all see plan", "ann@x.com", ["ann@x.com", "bob@x.com"], "t1", "2024-05-02"), ("mail-m2", "Re: Plan", "fine", "bob@x.com", ["bob@x.com"], "t1", "2024-05-01"), ("mail-m3", None, None, "c@y.org", ["c@y.org"], "t2", None),
 ]))
 def landed_mails(spark, sf):
     return _mails(spark).select("doc_id", "title", "body", "author", "participants", "thread_id", F.date_format("created_at", "yyyy-MM-dd").alias("sent"))
 
 
-@q(expected("thread_id string; root string; children array<string>", [("t1", "mail-m2", ["mail-m1"]), ("t2", "mail-m3", [])]))
+@example(expected("thread_id string; root string; children array<string>", [("t1", "mail-m2", ["mail-m1"]), ("t2", "mail-m3", [])]))
 def landed_threads(spark, sf):
     return N.threads(_mails(spark))
 
 
-@q(expected("mail_id string; name string; state string", [("m1", "a.pdf", "queued"), ("m1", "big.zip", "skipped_too_large")]))
+@example(expected("mail_id string; name string; state string", [("m1", "a.pdf", "queued"), ("m1", "big.zip", "skipped_too_large")]))
 def landed_attachments(spark, sf):
     rows = [("m1", [("a.pdf", 10, "file"), ("big.zip", 26214401, "file"), ("mail", 5, "item")]), ("m2", [])]
     return N.attachments(spark.createDataFrame(rows, "id string, attachments array<struct<name:string,size:long,kind:string>>")).select("mail_id", "name", "state")
 
 
-@q(expected("id long; kept array<string>", [(1, ["Importance=high", "Message-ID=<1>"]), (2, [])]))
+@example(expected("id long; kept array<string>", [(1, ["Importance=high", "Message-ID=<1>"]), (2, [])]))
 def kept_headers(spark, sf):
     rows = spark.createDataFrame([(1, [("Message-ID", "<1>"), ("Received", "x"), ("Importance", "high")]), (2, [])], "id long, headers array<struct<name:string,value:string>>")
     pairs = F.transform(F.map_entries(N.kept_headers(F.col("headers"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return rows.select("id", F.array_sort(pairs).alias("kept"))
 
 
-@q(expected("doc_id string; thread_id string; body string; sent string", [("chat-c1-1.5", "1.5", "hi", "1970-01-01 00:00:01"), ("chat-c1-3.0", "1.5", "answer", "1970-01-01 00:00:03")]))
+@example(expected("doc_id string; thread_id string; body string; sent string", [("chat-c1-1.5", "1.5", "hi", "1970-01-01 00:00:01"), ("chat-c1-3.0", "1.5", "answer", "1970-01-01 00:00:03")]))
 def landed_chats(spark, sf):
     rows = [("1.5", "c1", "u1", "hi", "message", None, None), ("2.0", "c1", "u1", "joined", "message", "channel_join", None), ("3.0", "c1", "u2", "answer", "message", None, "1.5"), ("4.0", "c1", "u2", "x", "reaction", None, None)]
     d = N.chat(spark.createDataFrame(rows, "ts string, channel string, user string, text string, type string, subtype string, thread_ts string"))
     return d.select("doc_id", "thread_id", "body", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("sent"))
 
 
-@q(expected("doc_id string; body string; author string; thread_id string", [("teams-1", "hello you", "ann", "1"), ("teams-2", "reply", "bob", "1")]))
+@example(expected("doc_id string; body string; author string; thread_id string", [("teams-1", "hello you", "ann", "1"), ("teams-2", "reply", "bob", "1")]))
 def landed_team_messages(spark, sf):
     rows = [("1", "<div>hello <b>you</b></div>", "ann", None, "2024-05-01T00:00:00Z"), ("2", "reply", "bob", "1", None)]
     return N.team_message(spark.createDataFrame(rows, "id string, body string, `from` string, replyToId string, createdDateTime string")).select("doc_id", "body", "author", "thread_id")
@@ -67,21 +68,21 @@ def landed_team_messages(spark, sf):
 _PROPS = json.dumps({"Name": {"type": "title", "title": [{"plain_text": "My "}, {"plain_text": "page"}]}, "Tags": {"type": "multi_select", "multi_select": [{"name": "a"}, {"name": "b"}]}, "N": {"type": "number", "number": 3.0}, "Rel": {"type": "relation", "relation": [{"id": "p9"}]}, "Odd": {"type": "rollup"}})
 
 
-@q(expected("id string; title string; properties array<string>", [("p1", "My page", ["N=3", "Name=My page", "Odd=?", "Rel=p9", "Tags=a, b"]), ("p2", "Untitled", [])]))
+@example(expected("id string; title string; properties array<string>", [("p1", "My page", ["N=3", "Name=My page", "Odd=?", "Rel=p9", "Tags=a, b"]), ("p2", "Untitled", [])]))
 def page_properties(spark, sf):
     rows = spark.createDataFrame([("p1", _PROPS), ("p2", "{}")], "id string, properties string")
     pairs = F.transform(F.map_entries(N.properties(F.col("properties"))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("?"))))
     return rows.select("id", N.page_title(F.col("properties")).alias("title"), F.array_sort(pairs).alias("properties"))
 
 
-@q(expected("doc_id string; body string; edges array<string>", [("page-p1", "text\n\n--- Comments ---\n[Comment by ann]: good", ["child_of:up", "relates_to:Rel:p9"]), ("page-p2", None, ["record_in:db"])]))
+@example(expected("doc_id string; body string; edges array<string>", [("page-p1", "text\n\n--- Comments ---\n[Comment by ann]: good", ["child_of:up", "relates_to:Rel:p9"]), ("page-p2", None, ["record_in:db"])]))
 def landed_pages(spark, sf):
     rows = [("p1", "t", "text", "up", None, None, _PROPS, [("ann", "good"), ("bob", "")]), ("p2", "u", None, None, "db", None, "{}", [])]
     d = N.page(spark.createDataFrame(rows, "id string, title string, content string, parent_id string, database_id string, last_edited string, properties string, comments array<struct<author:string,text:string>>"))
     return d.select("doc_id", "body", F.transform("relations", lambda r: F.concat_ws(":", r["type"], r["target"])).alias("edges"))
 
 
-@q(expected("page_id string; content string", [("pg", "intro\n# Head\n- [x] done\n- point\n  deeper\n    ```py\nx = 1\n```\na | b\n---\n[IMAGE: cap]\n[Bookmark: http://x]")]))
+@example(expected("page_id string; content string", [("pg", "intro\n# Head\n- [x] done\n- point\n  deeper\n    ```py\nx = 1\n```\na | b\n---\n[IMAGE: cap]\n[Bookmark: http://x]")]))
 def block_texts(spark, sf):
     rows = [
         ("b0", None, "pg", 0, "paragraph", "intro", None, None, None, None), ("b1", None, "pg", 1, "heading_1", "Head", None, None, None, None), ("b2", None, "pg", 2, "to_do", "done", True, None, None, None), ("b3", None, "pg", 3, "bulleted_list_item", "point", None, None, None, None),
@@ -91,14 +92,14 @@ def block_texts(spark, sf):
     return N.blocks_to_text(N.nested(spark.createDataFrame(rows, "block_id string, parent_id string, page_id string, pos int, type string, text string, checked boolean, language string, cells array<string>, url string")))
 
 
-@q(expected("doc_id string; content_type string; edges long", [("drive-1", "document", 1), ("drive-3", "image", 0)]))
+@example(expected("doc_id string; content_type string; edges long", [("drive-1", "document", 1), ("drive-3", "image", 0)]))
 def landed_drive_files(spark, sf):
     rows = [("1", "a", "application/vnd.google-apps.document", "x", "f1", None, False), ("2", "b", "application/vnd.google-apps.folder", None, None, None, False), ("3", "c", "image/png", None, None, None, None), ("4", "d", "text/plain", "x", None, None, True)]
     d = N.drive_file(spark.createDataFrame(rows, "id string, name string, mimeType string, content string, parent string, modifiedTime string, trashed boolean"))
     return d.select("doc_id", "content_type", F.size("relations").cast("long").alias("edges"))
 
 
-@q(
+@example(
     """WITH RECURSIVE f(id, name, parent) AS (VALUES (1, 'root', NULL), (2, 'a', 1), (3, 'b', 2), (4, 'c', 1), (5, 'lost', 99)), r AS (SELECT id, name AS path FROM f WHERE parent IS NULL UNION ALL SELECT f.id, r.path || '/' || f.name FROM f JOIN r ON f.parent = r.id)
 SELECT id::BIGINT AS id, path FROM r"""
 )
@@ -109,7 +110,7 @@ def folder_paths(spark, sf):
 _NOTE = "---\ntitle: My note\ntags:\n  - one\n  - two\n---\n#big see [[Other#Part|x]], ![[img.png]] [due:: 2024] [due:: 2025]\n> [!note] mind"
 
 
-@q(expected("title string; content_type string; edges array<string>; tags array<string>; embeds array<string>; callouts array<string>; front array<string>; due string", [
+@example(expected("title string; content_type string; edges array<string>; tags array<string>; embeds array<string>; callouts array<string>; front array<string>; due string", [
     ("2024-05-01", "daily_note", ["links_to:Other", "embeds:img.png"], ["big"], ["img.png"], ["note"], ["tags=one,two", "title=My note"], "2025"),
 ]))
 def landed_notes(spark, sf):
@@ -119,59 +120,57 @@ def landed_notes(spark, sf):
     return d.join(N.note_marks(files).select(F.lit("2024-05-01").alias("title"), "tags", "embeds", "callouts"), "title").join(marks, "title")
 
 
-@q(expected("title string; body string; edges array<string>", [("board", "[Canvas]\nidea\n[Linked: n.md]", ["n.md"])]))
+@example(expected("title string; body string; edges array<string>", [("board", "[Canvas]\nidea\n[Linked: n.md]", ["n.md"])]))
 def landed_canvases(spark, sf):
     text = '{"nodes": [{"type": "text", "text": "idea"}, {"type": "file", "file": "n.md"}, {"type": "group"}]}'
     d = N.canvas(spark.createDataFrame([("v/board.canvas", text, None)], "path string, content string, modified timestamp"))
     return d.select("title", "body", F.transform("relations", lambda r: r["target"]).alias("edges"))
 
 
-@q(expected("chunk_id string; payload string", [("k1", '{"n":3}'), ("k2", '{"title":"x","n":4}')]))
+@example(expected("chunk_id string; payload string", [("k1", '{"n":3}'), ("k2", '{"title":"x","n":4}')]))
 def chunk_payloads(spark, sf):
     return N.payload(spark.createDataFrame([("k1", None, 3), ("k2", "x", 4)], "chunk_id string, title string, n int"), "title", "n")
 
 
-@q("SELECT doc_id FROM (SELECT unnest(range(1, 8)) AS doc_id) WHERE doc_id NOT IN (3, 5)")
+@q("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def store_without_documents(spark, sf):
-    return N.without_documents(spark.range(1, 8).toDF("doc_id"), spark.createDataFrame([(3,), (5,), (5,), (9,)], "doc_id long"))
+    """The documents that are left when those labelled toxic are removed."""
+    return N.without_documents(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").where("toxic = 1").select("doc_id"))
 
 
 # ------------------------------------------------------------------ functions
-_TEXTS = Literal("texts", "id long; a string; b string", [
-    (1, "The plan was approved. It starts on Monday and goes on for long.", "the PLAN was rejected on monday"), (2, "no stop in here at all, just words and more words and words", "words"), (3, "short", ""), (4, "", ""), (5, "Stop. then a very long tail without any other stop in it whatsoever", "stop tail"),
-])
 _ALL = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-z0-9]+$')))"
 _LONG = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 4))"
 
 
 @q(
-    f"""WITH {_TEXTS.cte}, s AS (SELECT id, {_ALL.format("a")} AS x, {_ALL.format("b")} AS y, {_LONG.format("a")} AS u, {_LONG.format("b")} AS v FROM texts)
+    f"""WITH {S.TEXTS.cte}, s AS (SELECT id, {_ALL.format("a")} AS x, {_ALL.format("b")} AS y, {_LONG.format("a")} AS u, {_LONG.format("b")} AS v FROM texts)
 SELECT id, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 9)::DOUBLE AS words, round(CASE WHEN len(u) > 0 AND len(v) > 0 THEN len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))) ELSE 0 END, 9)::DOUBLE AS long_words FROM s"""
 )
 def word_likeness(spark, sf):
-    t = _TEXTS.frame(spark)
+    t = S.TEXTS.frame(spark, sf)
     words = X.jaccard(F.array_distinct(X.tokens(F.col("a"))), F.array_distinct(X.tokens(F.col("b"))))
     return t.select("id", F.round(words, 9).alias("words"), F.round(X.jaccard(X.long_words(F.col("a")), X.long_words(F.col("b"))), 9).alias("long_words"))
 
 
 @q(
-    f"""WITH {_TEXTS.cte}, h AS (SELECT id, a, a[:40] AS head FROM texts), p AS (SELECT *, length(head) - instr(reverse(head), '.') + 1 AS stop, contains(head, '.') AS has FROM h)
+    f"""WITH {S.TEXTS.cte}, h AS (SELECT id, a, a[:40] AS head FROM texts), p AS (SELECT *, length(head) - instr(reverse(head), '.') + 1 AS stop, contains(head, '.') AS has FROM h)
 SELECT id, CASE WHEN length(a) <= 40 THEN a WHEN has AND stop - 1 > 20 THEN head[:stop] || ' …' ELSE head || ' …' END AS snippet, floor(length(a) / 4)::BIGINT AS tokens FROM p"""
 )
 def text_snippets(spark, sf):
-    return _TEXTS.frame(spark).select("id", X.snippet(F.col("a"), 40).alias("snippet"), X.token_estimate(F.col("a")).alias("tokens"))
+    return S.TEXTS.frame(spark, sf).select("id", X.snippet(F.col("a"), 40).alias("snippet"), X.token_estimate(F.col("a")).alias("tokens"))
 
 
 @q(
-    f"""WITH {_TEXTS.cte}, c AS (SELECT id, generate_subscripts(string_split(a[:128], ''), 1) - 1 AS i, unnest(string_split(a[:128], '')) AS ch FROM texts WHERE a <> ''), s AS (SELECT id, i % 64 AS k, sum(ascii(ch)) AS v FROM c GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM s GROUP BY 1)
+    f"""WITH {S.TEXTS.cte}, c AS (SELECT id, generate_subscripts(string_split(a[:128], ''), 1) - 1 AS i, unnest(string_split(a[:128], '')) AS ch FROM texts WHERE a <> ''), s AS (SELECT id, i % 64 AS k, sum(ascii(ch)) AS v FROM c GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM s GROUP BY 1)
 SELECT id, round(max(v / norm), 9) AS largest, count(*) AS filled FROM s JOIN n USING (id) GROUP BY 1"""
 )
 def stub_embeddings(spark, sf):
-    v = _TEXTS.frame(spark).where("a <> ''").select("id", X.stub_embedding(F.col("a")).alias("v"))
+    v = S.TEXTS.frame(spark, sf).where("a <> ''").select("id", X.stub_embedding(F.col("a")).alias("v"))
     return v.select("id", F.round(F.array_max("v"), 9).alias("largest"), F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("filled"))
 
 
-@q(expected("name string; key string; full_name string", [("Acmé Holdings Ltd.", "acme", "acme"), ("Borealis Power Pvt Ltd", "borealis power", "borealis"), ("bob", "bob", "robert"), ("李雷 Group", "李雷", "李雷")]))
+@example(expected("name string; key string; full_name string", [("Acmé Holdings Ltd.", "acme", "acme"), ("Borealis Power Pvt Ltd", "borealis power", "borealis"), ("bob", "bob", "robert"), ("李雷 Group", "李雷", "李雷")]))
 def company_keys(spark, sf):
     rows = spark.createDataFrame([("Acmé Holdings Ltd.",), ("Borealis Power Pvt Ltd",), ("bob",), ("李雷 Group",)], "name string")
     key = X.company_key(F.col("name"))
@@ -179,19 +178,13 @@ def company_keys(spark, sf):
 
 
 # ------------------------------------------------------------------ detectors, conflicts, persons
-_TALK = Literal("talk", "company string; said_at timestamp; text string", [
-    ("a", "2024-05-10 00:00:00", "a delay again"), ("a", "2024-05-11 00:00:00", "this issue is serious"), ("a", "2024-05-12 00:00:00", "we are blocked"), ("a", "2024-05-13 00:00:00", "all fine"), ("b", "2024-05-12 00:00:00", "urgent"), ("c", "2024-01-01 00:00:00", "delay"),
-    ("c", "2024-01-02 00:00:00", "delay"), ("c", "2024-05-12 00:00:00", "delay"), ("d", "2024-05-02 00:00:00", "risk"), ("d", "2024-05-03 00:00:00", "risk"), ("d", "2024-05-04 00:00:00", "risk"), ("d", "2024-05-05 00:00:00", "risk"), ("d", "2024-05-06 00:00:00", "risk"),
-])
-
-
 @q(
-    f"""WITH {_TALK.cte}, n AS (SELECT company, count(*) AS n_negative FROM talk WHERE said_at >= TIMESTAMP '2024-05-01' AND ({" OR ".join(f"regexp_matches(lower(text), {quoted(p)})" for p in D.C.NEGATIVE_WORDS)}) GROUP BY 1)
+    f"""WITH {S.TALK.cte}, n AS (SELECT company, count(*) AS n_negative FROM talk WHERE said_at >= TIMESTAMP '2024-05-01' AND ({" OR ".join(f"regexp_matches(lower(text), {quoted(p)})" for p in D.C.NEGATIVE_WORDS)}) GROUP BY 1)
 SELECT company, n_negative, CASE WHEN n_negative >= 5 THEN 'high' ELSE 'medium' END AS severity FROM n WHERE n_negative >= 3"""
 )
 def negative_patterns(spark, sf):
     """Companies whose messages of the last 14 days sound bad."""
-    recent = _TALK.frame(spark).where(F.datediff(F.lit("2024-05-15").cast("date"), F.col("said_at")) <= 14)
+    recent = S.TALK.frame(spark, sf).where(F.datediff(F.lit("2024-05-15").cast("date"), F.col("said_at")) <= 14)
     return D.negative_pattern(recent, "company", "text")
 
 
@@ -201,15 +194,20 @@ def project_drift(spark, sf):
     return D.drift(o, "o_orderdate", F.lit("1998-01-01").cast("date")).select("o_orderkey", "drift_days", "severity")
 
 
-@q(expected("g long; conflicts array<int>", [(1, [0, 1]), (2, [3])]))
+_SAID = Literal("said", "g long; text string", [(1, "approved and completed"), (1, "REJECTED, still pending"), (2, "no risk here"), (2, "fine"), (3, "approved"), (3, "approved again"), (4, "")])
+
+
+@q(_SAID.dealt("g long; conflicts array<int>", [(1, [0, 1]), (2, [3])]))
 def conflicting_texts(spark, sf):
-    rows = [(1, "approved and completed"), (1, "REJECTED, still pending"), (2, "no risk here"), (2, "fine"), (3, "approved"), (3, "approved again"), (4, "")]
-    return V.conflicts(spark.createDataFrame(rows, "g long, text string"), "g", "text")
+    return V.conflicts(_SAID.over(spark, sf), "g", "text")
+
+
+_MENTIONS = Literal("mentions", "mention_id long; name string; email string", [(1, "whoever", " JS@x.com"), (2, "Bobby B", None), (3, "X. Smith", None), (4, "Bob Brown", ""), (5, "Nobody Known", None), (6, "?!", None), (7, "Петров Иван", None)])
 
 
-@q(expected("mention_id long; entity_id long; stage string; score double", [(1, 10, "email", 1.0), (2, 11, "alias", 0.9), (3, 10, "fuzzy", 0.9), (4, 11, "fuzzy", 1.0), (7, 12, "fuzzy", 1.0)]))
+@q(_MENTIONS.dealt("mention_id long; entity_id long; stage string; score double", [(1, 10, "email", 1.0), (2, 11, "alias", 0.9), (3, 10, "fuzzy", 0.9), (4, 11, "fuzzy", 1.0), (7, 12, "fuzzy", 1.0)]))
 def resolved_persons(spark, sf):
-    m = spark.createDataFrame([(1, "whoever", " JS@x.com"), (2, "Bobby B", None), (3, "X. Smith", None), (4, "Bob Brown", ""), (5, "Nobody Known", None), (6, "?!", None), (7, "Петров Иван", None)], "mention_id long, name string, email string")
+    m = _MENTIONS.over(spark, sf)
     ents = spark.createDataFrame([(10, "Xavier Smith", "js@x.com"), (11, "Robert Brown", None), (12, "Иван Петров", ""), (13, "...", "")], "entity_id long, name string, email string")
     aliases = E.register_aliases(spark.createDataFrame([("bobby b", 11, 0.9)], "alias string, entity_id long, confidence double"), spark.createDataFrame([("Bobby  B", 10, 0.5)], "alias string, entity_id long, confidence double"))
     return E.resolve(m, ents, aliases).withColumn("score", F.round("score", 6))

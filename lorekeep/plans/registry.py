@@ -17,7 +17,7 @@ from ..operators import entities as E
 from ..operators import extraction as T
 from ..operators import graph as G
 from ..operators import retrieval as V
-from .base import ORACLE, QUERIES, expected  # noqa: F401
+from .base import EXAMPLE_SQL, EXAMPLES, ORACLE, QUERIES, example, expected  # noqa: F401
 from .base import q as _q
 from .base import spread as _spread
 from .base import table as _t
@@ -217,7 +217,7 @@ def fuzzy_customer_pairs(spark, sf):
     return E.with_name_score(pairs, "a", "b").select("c_custkey", "s_suppkey", F.round("name_score", 6).alias("name_score"))
 
 
-@_q(
+@example(
     expected(
         "query string; category string; intent string; temporal string; entities array<string>",
         [

@@ -14,7 +14,7 @@ from ..operators import provenance as P
 from ..operators import retrieval as V
 from ..operators import scoring as R
 from . import samples as S
-from .base import Literal, expected, q, spread, table
+from .base import Literal, example, expected, q, spread, table
 
 
 def now():
@@ -29,9 +29,9 @@ _COMPANIES = Literal("known", "entity_id long; name string; domain string", [(10
 _COMPANY_ALIASES = Literal("aliases", "alias string; entity_id long; confidence double", [("bor", 11, 0.9), ("borealis power", 11, 0.95)])
 
 
-@q(expected("mention_id long; entity_id long; stage string; score double", [(1, 10, "domain", 1.0), (2, 11, "alias", 0.95), (3, 12, "abbreviation", 0.9), (4, 10, "fuzzy", 1.0), (6, 11, "alias", 0.9)]))
+@q(_COMPANY_MENTIONS.dealt("mention_id long; entity_id long; stage string; score double", [(1, 10, "domain", 1.0), (2, 11, "alias", 0.95), (3, 12, "abbreviation", 0.9), (4, 10, "fuzzy", 1.0), (6, 11, "alias", 0.9)]))
 def resolved_companies(spark, sf):
-    return E.resolve_companies(_COMPANY_MENTIONS.frame(spark), _COMPANIES.frame(spark), _COMPANY_ALIASES.frame(spark)).withColumn("score", F.round("score", 6))
+    return E.resolve_companies(_COMPANY_MENTIONS.over(spark, sf), _COMPANIES.frame(spark, sf), _COMPANY_ALIASES.frame(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 _PROJECT_MENTIONS = Literal("mentions", "mention_id long; name string; code string; company_id long", [
@@ -40,34 +40,34 @@ _PROJECT_MENTIONS = Literal("mentions", "mention_id long; name string; code stri
 _PROJECTS = Literal("known", "entity_id long; name string; code string; company_id long", [(20, "Smart Meter Rollout", "SMR-1", 10), (21, "Smart Meter Rollouts", "SMR-2", 11)])
 
 
-@q(expected("mention_id long; entity_id long; stage string; score double", [(1, 20, "code", 1.0), (2, 21, "alias", 0.9), (3, 20, "fuzzy", 1.0), (4, 20, "fuzzy", 1.0), (6, 21, "fuzzy", 0.974359)]))
+@q(_PROJECT_MENTIONS.dealt("mention_id long; entity_id long; stage string; score double", [(1, 20, "code", 1.0), (2, 21, "alias", 0.9), (3, 20, "fuzzy", 1.0), (4, 20, "fuzzy", 1.0), (6, 21, "fuzzy", 0.974359)]))
 def resolved_projects(spark, sf):
     aliases = spark.createDataFrame([("smart meter", 21, 0.9)], "alias string, entity_id long, confidence double")
-    return E.resolve_projects(_PROJECT_MENTIONS.frame(spark), _PROJECTS.frame(spark), aliases).withColumn("score", F.round("score", 6))
+    return E.resolve_projects(_PROJECT_MENTIONS.over(spark, sf), _PROJECTS.frame(spark, sf), aliases).withColumn("score", F.round("score", 6))
 
 
 _PERSON_MENTIONS = Literal("mentions", "mention_id long; name string; company_id long; project_ids array<string>", [(1, "J. Smith", 10, ["p1"]), (2, "John Smith", None, []), (3, "Zed", 10, ["p1", "p2", "p3"]), (4, "Иван Петров", 10, [])])
 _PERSONS = Literal("known", "entity_id long; name string; company_id long; project_ids array<string>", [(30, "John Smith", 10, ["p1"]), (31, "Jane Smith", 10, []), (32, "Zoe Park", 11, ["p1", "p2", "p3"]), (33, "Иван Петров", 10, [])])
 
 
-@q(expected("mention_id long; entity_id long; stage string; score double", [(1, 30, "context", 1.0), (3, 32, "context", 0.963636), (4, 33, "context", 1.0)]))
+@q(_PERSON_MENTIONS.dealt("mention_id long; entity_id long; stage string; score double", [(1, 30, "context", 1.0), (3, 32, "context", 0.963636), (4, 33, "context", 1.0)]))
 def resolved_by_context(spark, sf):
-    return E.resolve_by_context(_PERSON_MENTIONS.frame(spark), _PERSONS.frame(spark))
+    return E.resolve_by_context(_PERSON_MENTIONS.over(spark, sf), _PERSONS.frame(spark, sf))
 
 
-@q(expected("mention_id long; entity_id long; score double", [(1, 30, 0.98), (2, 30, 0.9), (3, 32, 0.59)]))
+@example(expected("mention_id long; entity_id long; score double", [(1, 30, 0.98), (2, 30, 0.9), (3, 32, 0.59)]))
 def boosted_resolutions(spark, sf):
     found = spark.createDataFrame([(1, 30, 0.9), (2, 30, 0.9), (3, 32, 0.5)], "mention_id long, entity_id long, score double")
-    return E.boosted(found, _PERSON_MENTIONS.frame(spark), _PERSONS.frame(spark))
+    return E.boosted(found, _PERSON_MENTIONS.frame(spark, sf), _PERSONS.frame(spark, sf))
 
 
-@q(expected("a string; b string; name_score double", [("john smith", "smith john", 1.0), ("j smith", "john smith", 1.0), ("acme", "acme corp", 1.0), ("", "x", 0.0), ("anna", "zed", 0.0), ("abcd", "abxd", 0.75), ("bob brown", "robert brown", 1.0), ("mary ann lee", "mary lou lee", 0.8)]))
+@example(expected("a string; b string; name_score double", [("john smith", "smith john", 1.0), ("j smith", "john smith", 1.0), ("acme", "acme corp", 1.0), ("", "x", 0.0), ("anna", "zed", 0.0), ("abcd", "abxd", 0.75), ("bob brown", "robert brown", 1.0), ("mary ann lee", "mary lou lee", 0.8)]))
 def name_scores(spark, sf):
     pairs = [("john smith", "smith john"), ("j smith", "john smith"), ("acme", "acme corp"), ("", "x"), ("anna", "zed"), ("abcd", "abxd"), ("bob brown", "robert brown"), ("mary ann lee", "mary lou lee")]
     return E.with_name_score(spark.createDataFrame(pairs, "a string, b string"), "a", "b").withColumn("name_score", F.round("name_score", 6))
 
 
-@q(expected("a long; b long; likeness double", [(1, 2, 1.0), (3, 4, 0.965517)]))
+@example(expected("a long; b long; likeness double", [(1, 2, 1.0), (3, 4, 0.965517)]))
 def alike_persons(spark, sf):
     names = [(1, "John Smith"), (2, "smith, john"), (3, "Katherine Jones"), (4, "Katherin Jones"), (5, "Someone Else"), (6, ""), (7, None)]
     return Z.alike(spark.createDataFrame(names, "id long, name string")).withColumn("likeness", F.round("likeness", 6))
@@ -143,18 +143,12 @@ def entity_views(spark, sf):
     return v.withColumn("state", F.when((F.col("critical_risks") > 1) | (F.col("overdue_commitments") > 2), "busy").otherwise("calm"))
 
 
-_PROJECT_VIEWS = Literal("projects", "project string; status string; due timestamp; health_score double; critical_risks long; active_risks long; overdue_commitments long", [
-    ("a", "active", "2024-06-01 12:00:00", 0.9, 0, 0, 0), ("b", "active", "2024-06-01 12:00:00", 0.5, 0, 3, 0), ("c", "active", "2024-06-01 12:00:00", 0.9, 1, 1, 0), ("d", "active", "2024-06-01 12:00:00", 0.9, 0, 0, 3),
-    ("e", "active", "2024-05-14 12:00:00", 0.9, 0, 0, 0), ("f", "completed", "2024-05-01 12:00:00", 0.9, 0, 0, 0), ("g", "active", None, 0.7, 0, 0, 1), ("h", "active", None, 0.7, 0, 4, 0), ("i", "active", None, 0.7, 0, 0, 0),
-])
-
-
 @q(
-    f"""WITH {_PROJECT_VIEWS.cte}, x AS (SELECT *, floor((epoch(due) - epoch(TIMESTAMP '{S.NOW}')) / 86400)::BIGINT AS days_left FROM projects), y AS (SELECT *, coalesce(days_left < 0 AND status NOT IN ('completed', 'cancelled'), false) AS is_overdue FROM x)
+    f"""WITH {S.PROJECTS.cte}, x AS (SELECT *, floor((epoch(due) - epoch(TIMESTAMP '{S.NOW}')) / 86400)::BIGINT AS days_left FROM projects), y AS (SELECT *, coalesce(days_left < 0 AND status NOT IN ('completed', 'cancelled'), false) AS is_overdue FROM x)
 SELECT project, days_left, is_overdue, CASE WHEN critical_risks > 0 OR overdue_commitments > 2 OR is_overdue THEN 'critical' WHEN overdue_commitments > 0 OR active_risks > 3 THEN 'at_risk' WHEN health_score > 0.7 THEN 'healthy' ELSE 'stable' END AS health FROM y"""
 )
 def project_health_ladder(spark, sf):
-    return Y.project_health(_PROJECT_VIEWS.frame(spark), now()).select("project", "days_left", "is_overdue", "health")
+    return Y.project_health(S.PROJECTS.frame(spark, sf), now()).select("project", "days_left", "is_overdue", "health")
 
 
 # ------------------------------------------------------------------ timelines and searches
@@ -227,7 +221,7 @@ _TEXTS = Literal("texts", "doc_id long; source_type string; text string", [
 
 
 @q(
-    expected(
+    _TEXTS.dealt(
         "doc_id long; chunk_index int; strategy string; title string; is_key boolean; content string",
         [
             (1, 0, 'email_conversation', None, False, 'first turn is long enough'),
@@ -246,7 +240,7 @@ _TEXTS = Literal("texts", "doc_id long; source_type string; text string", [
     )
 )
 def routed_chunks(spark, sf):
-    return T.chunk(_TEXTS.frame(spark))
+    return T.chunk(_TEXTS.over(spark, sf))
 
 
 _SIGNS = Literal("texts", "doc_id long; text string", [
@@ -255,7 +249,7 @@ _SIGNS = Literal("texts", "doc_id long; text string", [
 
 
 @q(
-    expected(
+    _SIGNS.dealt(
         "doc_id long; relative_dates array<string>; meetings array<string>; projects array<string>; has_action_items boolean; has_commitments boolean; word_count int",
         [
             (1, ['ASAP', 'next week'], ['call with Jane about budgets'], ['Apollo Nine is on track'], False, False, 18),
@@ -266,12 +260,12 @@ _SIGNS = Literal("texts", "doc_id long; text string", [
     )
 )
 def text_signs(spark, sf):
-    e = T.enrich(_SIGNS.frame(spark))
+    e = T.enrich(_SIGNS.over(spark, sf))
     return e.select("doc_id", "relative_dates", "meetings", "projects", "has_action_items", "has_commitments", "word_count")
 
 
 @q(
-    expected(
+    _SIGNS.dealt(
         "doc_id long; phrase string; text string; context string",
         [
             (3, 'due within 30 days, and submit by noon on Monday', 'within 30 days, and submit by noon on Monday', ' the report tomorrow. Payment '),
@@ -279,7 +273,7 @@ def text_signs(spark, sf):
     )
 )
 def deadline_contexts(spark, sf):
-    d = T.deadlines_in_context(_SIGNS.frame(spark), "doc_id")
+    d = T.deadlines_in_context(_SIGNS.over(spark, sf), "doc_id")
     return d.select("doc_id", F.explode("deadlines").alias("d")).select("doc_id", "d.phrase", "d.text", "d.context")
 
 
@@ -344,7 +338,7 @@ _CRITERIA = ["classification", "accuracy", "completeness", "citations", "missing
 
 
 @q(
-    expected(
+    _CARDS.dealt(
         "id long; classification string; accuracy string; completeness string; citations string; missing_context string; hallucination string; latency string; overall string",
         [
             (1, "PASS", "PASS", "PASS", "PASS", "PASS", "PASS", "PASS", "PASS"), (2, "PARTIAL", "PARTIAL", "PARTIAL", "PARTIAL", "PARTIAL", "FAIL", "PARTIAL", "FAIL"),
@@ -353,14 +347,14 @@ _CRITERIA = ["classification", "accuracy", "completeness", "citations", "missing
     )
 )
 def answer_scorecards(spark, sf):
-    return R.scorecard(_CARDS.frame(spark)).select("id", *_CRITERIA, "overall")
+    return R.scorecard(_CARDS.over(spark, sf)).select("id", *_CRITERIA, "overall")
 
 
-@q(expected("criterion string; PASS long; PARTIAL long; FAIL long; pass_rate double", [
+@example(expected("criterion string; PASS long; PARTIAL long; FAIL long; pass_rate double", [
     ("classification", 2, 1, 1, 0.5), ("accuracy", 1, 1, 2, 0.25), ("completeness", 1, 1, 2, 0.25), ("citations", 1, 2, 1, 0.25), ("missing_context", 1, 2, 1, 0.25), ("hallucination", 3, 0, 1, 0.75), ("latency", 2, 1, 1, 0.5),
 ]))
 def criterion_pass_rates(spark, sf):
-    return R.pass_rates(R.scorecard(_CARDS.frame(spark)), _CRITERIA)
+    return R.pass_rates(R.scorecard(_CARDS.frame(spark, sf)), _CRITERIA)
 
 
 _MET = Literal("met", "id long; category string; answer string; criteria array<string>; n_sources long", [
@@ -369,47 +363,51 @@ _MET = Literal("met", "id long; category string; answer string; criteria array<s
 ])
 
 
-@q(expected("id long; passed array<string>; failed array<string>; score double", [
+@q(_MET.dealt("id long; passed array<string>; failed array<string>; score double", [
     (1, ["dates", "sources", "deadlines", "person_names", "actionable"], [], 1.0), (2, [], ["dates", "sources", "not_hallucinated", "entities"], 0.0), (3, ["status", "risk_levels", "not_hallucinated", "entities"], [], 0.95), (4, [], [], 1.0),
 ]))
 def answer_criteria(spark, sf):
-    return R.criteria_met(_MET.frame(spark)).select("id", "passed", "failed", "score")
+    return R.criteria_met(_MET.over(spark, sf)).select("id", "passed", "failed", "score")
 
 
-@q(expected("category string; mean_score double; n long", [(None, 0.7375, 4), ("a", 0.5, 2), ("b", 0.975, 2)]))
+@example(expected("category string; mean_score double; n long", [(None, 0.7375, 4), ("a", 0.5, 2), ("b", 0.975, 2)]))
 def mean_answer_scores(spark, sf):
-    return R.mean_scores(R.criteria_met(_MET.frame(spark)))
+    return R.mean_scores(R.criteria_met(_MET.frame(spark, sf)))
 
 
-@q(expected("question_id long; event string; detail string", [(2, "missing_source", "email"), (3, "empty_result", "")]))
+@example(expected("question_id long; event string; detail string", [(2, "missing_source", "email"), (3, "empty_result", "")]))
 def retrieval_failures(spark, sf):
     results = spark.createDataFrame([(1, "email"), (1, "risk"), (2, "risk")], "question_id long, source_type string")
     wanted = spark.createDataFrame([(1, ["email", "risk"]), (2, ["email", "risk"]), (3, ["email"])], "question_id long, sources array<string>")
     return R.failures(results, wanted)
 
 
-@q(expected("id long; quality string", [(1, "ungrounded"), (2, "grounded"), (3, "partial"), (4, "partial"), (5, "uncertain"), (6, "partial")]))
+_QUALITY = Literal("quality", "id long; a string; e long", [(1, "All fine. [Email]", 0), (2, "All fine. [Email]", 2), (3, "All fine.", 2), (4, "Probably fine. [Email]", 2), (5, "Insufficient evidence, I think.", 2), (6, "", 1)])
+
+
+@q(_QUALITY.dealt("id long; quality string", [(1, "ungrounded"), (2, "grounded"), (3, "partial"), (4, "partial"), (5, "uncertain"), (6, "partial")]))
 def answer_quality_ladder(spark, sf):
-    rows = [(1, "All fine. [Email]", 0), (2, "All fine. [Email]", 2), (3, "All fine.", 2), (4, "Probably fine. [Email]", 2), (5, "Insufficient evidence, I think.", 2), (6, "", 1)]
-    return spark.createDataFrame(rows, "id long, a string, e long").select("id", R.answer_quality(F.col("a"), F.col("e")).alias("quality"))
+    return _QUALITY.over(spark, sf).select("id", R.answer_quality(F.col("a"), F.col("e")).alias("quality"))
+
+
+_CONTEXTS = Literal("contexts", "id long; c string", [(1, "the approval is DELAYED and a risk"), (2, "nothing of note"), (3, "the timeline shifted; follow up")])
 
 
-@q(expected("id long; answer string", [
+@q(_CONTEXTS.dealt("id long; answer string", [
     (1, "Current Status: Information retrieved from organisational memory.\n\nKey Facts:\n- Approval is delayed pending regulator response. [Email · Recent]\n\nRisks:\n- Q2 delivery is at risk if approval is not received soon. [Risk Record · Recent]"),
     (2, "Current Status: Information retrieved from organisational memory.\n\nInsufficient evidence found in the provided context to answer this query."),
     (3, "Current Status: Information retrieved from organisational memory.\n\n- Project timeline has shifted due to the approval hold. [Meeting · Recent]\n\nOpen Items:\n- Follow-up with regulator is pending. [Commitment · Recent]"),
 ]))
 def stub_answers(spark, sf):
-    rows = [(1, "the approval is DELAYED and a risk"), (2, "nothing of note"), (3, "the timeline shifted; follow up")]
-    return spark.createDataFrame(rows, "id long, c string").select("id", R.stub_answer(F.col("c")).alias("answer"))
+    return _CONTEXTS.over(spark, sf).select("id", R.stub_answer(F.col("c")).alias("answer"))
 
 
-@q(expected("question_id long; intent string; memories array<string>; collection string; n_vectors int; days_back int", [
+@q(S.QUESTIONS.dealt("question_id long; intent string; memories array<string>; collection string; n_vectors int; days_back int", [
     (1, "person", ["person"], "interactions", 5, None), (2, "timeline", ["timeline"], "interactions", 10, 30), (3, "project", ["project"], "documents", 5, None), (4, "risk", ["risks", "company", "project"], "documents", 4, None),
     (5, "commitment", ["commitments"], None, 0, None), (6, "general", [], "documents", 10, None),
 ]))
 def first_engine_plans(spark, sf):
-    return T.intents(S.QUESTIONS.frame(spark)).select("question_id", "intent", "memories", "collection", "n_vectors", "days_back")
+    return T.intents(S.QUESTIONS.over(spark, sf)).select("question_id", "intent", "memories", "collection", "n_vectors", "days_back")
 
 
 # ------------------------------------------------------------------ provenance and graph
@@ -478,22 +476,22 @@ def interaction_totals(spark, sf):
     return totals.withColumn("response_hours", F.round("response_hours", 6))
 
 
-@q(expected("company string; old_health string; health string; changed boolean; n_entries int", [("Acme", "at_risk", "neutral", True, 90), ("Delta", "at_risk", "at_risk", False, 1)]))
+@example(expected("company string; old_health string; health string; changed boolean; n_entries int", [("Acme", "at_risk", "neutral", True, 90), ("Delta", "at_risk", "at_risk", False, 1)]))
 def evaluated_relationships(spark, sf):
     past = F.when(F.col("company") == "Acme", F.transform(F.sequence(F.lit(1), F.lit(95)), lambda i: F.struct(now().alias("at"), i.cast("double").alias("score"), F.lit("at_risk").alias("health"))))
-    c = S.COMPANIES.frame(spark).select("company", "health").withColumn("health_history", past)
+    c = S.SAMPLE_COMPANIES.frame(spark, sf).select("company", "health").withColumn("health_history", past)
     scored = spark.createDataFrame([("Acme", 0.5, "neutral"), ("Delta", 0.1, "at_risk")], "company string, health_score double, health string")
     return D.evaluated(c, scored, now()).select("company", "old_health", "health", "changed", F.size("health_history").alias("n_entries"))
 
 
 @q(f"WITH {S.COMPANIES.cte} SELECT company, health, health_score FROM companies WHERE health IN ('attention_required', 'at_risk')")
 def relationships_requiring_attention(spark, sf):
-    return D.requiring_attention(S.COMPANIES.frame(spark)).select("company", "health", "health_score")
+    return D.requiring_attention(S.COMPANIES.frame(spark, sf)).select("company", "health", "health_score")
 
 
 @q(f"WITH {S.ESCALATIONS.cte}, e AS (SELECT DISTINCT signal_type, company, severity FROM escalations WHERE is_active) SELECT signal_type, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM e GROUP BY 1")
 def active_escalations(spark, sf):
-    e = S.ESCALATIONS.frame(spark).where("is_active")
+    e = S.ESCALATIONS.frame(spark, sf).where("is_active")
     return D.active_summary(e.where("company is null"), e.where("company is not null"), e)
 
 
