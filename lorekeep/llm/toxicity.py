@@ -43,8 +43,10 @@ POWER = 3
 #: Weight of all copies of a window with a character put in, against its own; and of one such copy for the probability.
 COPIES, COPY = 4.0, 0.05
 LANDMARKS, NEAR, ROUNDS, PENALTY = 500, 2, 5, 4.0
-#: Score from which a text counts as toxic.
-LEAST_SCORE = 0.3
+#: Share of clean windows that may pass on to the fine machine, if the toxic ones don't need more.
+PASSING = 0.05
+#: Score from which a text counts as toxic, and how many clean documents that the machine has not seen may have more.
+LEAST_SCORE, FALSE_ALARMS = 0.3, 0.015
 #: Likelihood ratio statistic from which a window surely tells toxic documents.
 SURE = 20.0
 #: Different windows that a task remembers.
@@ -299,6 +301,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     if not every or not witness:
         return None
     hard: list[str] = [every[i] for i in rng.choice(len(every), min(len(every), 4000), replace=False)]
+    common = [every[i] for i in rng.choice(len(every), min(len(every), 2000), replace=False)]
     machine = near = None
     for _ in range(rounds):
         if machine is not None:
@@ -325,7 +328,8 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         beta, bias = _fitted(own**POWER, all_**POWER, label, weight)
         coarse, coarse_bias = _fitted(own, all_, label, weight)
         passes = all_[label > 0] @ coarse + coarse_bias
-        gate = float(min(passes[: len(good)].min(), np.quantile(passes, 0.2)))
+        usual = index.matrix(common) @ coarse + coarse_bias
+        gate = float(min(passes[: len(good)].min(), np.quantile(passes, 0.2), np.quantile(usual, 1 - PASSING)))
         machine = Machine(letters, marks, coarse, coarse_bias, gate, beta, bias, _index=index)
     held = np.flatnonzero(~learn) if (~learn).any() else np.arange(len(y))
     value = lambda ws: float(machine.values(ws).max()) if ws else machine.bias - 1
@@ -340,7 +344,10 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
             values += [value([c]) for c in made[:: max(1, len(made) // 2)][:2]]
             weight += [COPY] * (len(values) - len(goal))
             goal += [1] * (len(values) - len(goal))
-    machine.slope, machine.shift = _platt(np.array(values), np.array(goal), np.array(weight))
+    values, goal = np.array(values), np.array(goal)
+    machine.slope, machine.shift = _platt(values, goal, np.array(weight))
+    most = np.quantile(values[goal == 0], 1 - FALSE_ALARMS, method="higher")
+    machine.shift = min(machine.shift, float(np.log(LEAST_SCORE / (1 - LEAST_SCORE)) - machine.slope * most))
     return machine
 
 
