@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import columns as X
 from .graph import reach
-from .retrieval import bm25, metadata_search, rank, rank_fusion, timeline_search, top, vector_search
+from .retrieval import bm25, factors, metadata_search, rank, rank_fusion, timeline_search, top, vector_search
 
 
 def plan_table(spark: SparkSession, plans: dict = C.PLANS) -> DataFrame:
@@ -77,6 +77,15 @@ def ranked(rows: DataFrame, category: str, focus: list[str] | None = None, least
     return rank(tied, C.PROFILE_OF.get(category, "executive")).withColumn("final", F.round("final", 4)).where(F.col("final") >= least)
 
 
+def ranked_by(rows: DataFrame, id_col: str, categories: list[str], focus: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """category, id, final: ranked() for several classes at once; the factors, which read the text, are computed once a row."""
+    tied = rows.withColumn("relationship", X.tie(F.col("relationships"), F.col("about"), focus))
+    profiles = [F.struct(F.lit(c).alias("category"), F.array(*[F.lit(float(w)) for w in C.RANKING_PROFILES[C.PROFILE_OF.get(c, "executive")]]).alias("weights")) for c in categories]
+    each = tied.select(id_col, F.array(*[f.cast("double") for f in factors()]).alias("_f"), F.explode(F.array(*profiles)).alias("_p"))
+    final = F.aggregate(F.zip_with("_p.weights", "_f", lambda a, f: a * f), F.lit(0.0), lambda s, x: s + x)
+    return each.select(F.col("_p.category").alias("category"), id_col, F.round(final, 4).alias("final")).where(F.col("final") >= least)
+
+
 def section_table(spark: SparkSession, sections: dict = C.SECTIONS) -> DataFrame:
     rows = [
         (strategy, i, title, a, list(types), n, most, order, mark, dated, typed, test)

@@ -73,9 +73,12 @@ def rank_fusion(hits: DataFrame, id_col: str, weights: dict[str, float] = C.MODE
 
 def rank(rows: DataFrame, profile: str = "executive") -> DataFrame:
     """rows: relevance, age_days, source_type, text, relationship. Adds the five factors' weighted sum."""
-    w = C.RANKING_PROFILES[profile]
-    factors = [F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("relevance"))), X.freshness(F.col("age_days")), X.authority(F.col("source_type")), X.importance(F.col("text")), F.coalesce(F.col("relationship"), F.lit(0.5))]
-    return rows.withColumn("final", sum((a * f for a, f in zip(w, factors)), F.lit(0.0)))
+    return rows.withColumn("final", sum((a * f for a, f in zip(C.RANKING_PROFILES[profile], factors())), F.lit(0.0)))
+
+
+def factors() -> list[Column]:
+    """The five factors that a ranking weighs."""
+    return [F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("relevance"))), X.freshness(F.col("age_days")), X.authority(F.col("source_type")), X.importance(F.col("text")), F.coalesce(F.col("relationship"), F.lit(0.5))]
 
 
 def section_top(rows: DataFrame, section: str, n: int, score: str, id_col: str) -> DataFrame:

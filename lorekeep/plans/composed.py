@@ -361,11 +361,8 @@ def ranked_by_class(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     linked = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("src1"))).otherwise(F.array().cast("array<string>"))
     rows = d.select("doc_id", "text", ((F.col("doc_id") % 100) / 100.0).alias("relevance"), (F.col("doc_id") % 400).alias("age_days"), F.when(F.col("lang") == "en", "email").otherwise("document").alias("source_type"), linked.alias("relationships"), F.col("source").alias("about"))
-    out = None
-    for category in _CLASSES:
-        best = V.top(A.ranked(rows, category, ["src1"], 0.3).select(F.lit(category).alias("category"), "doc_id", "final"), 10, "doc_id", "final")
-        out = best if out is None else out.unionByName(best)
-    return out
+    best = A.ranked_by(rows, "doc_id", list(_CLASSES), ["src1"], 0.3)
+    return V.section_top(best, "category", 10, "final", "doc_id").drop("rank")
 
 
 @q(
