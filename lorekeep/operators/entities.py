@@ -130,14 +130,18 @@ def company_score(a: str, b: str) -> float:
 
 
 def _cascade(mentions: DataFrame, id_col: str, stages) -> DataFrame:
-    """Each stage (a function of what is left) gives id, entity_id, stage, score; a mention leaves with its first stage."""
+    """Each stage (a function of what is left) gives id, entity_id, stage, score; a mention leaves with its first stage. What a stage
+    found and what it left are checkpointed, as the next stages read both."""
+    from .graph import shared_checkpoints
+
+    shared_checkpoints(mentions.sparkSession)
     out, left = None, mentions
     for stage in stages:
         found = stage(left).select(id_col, "entity_id", "stage", "score")
         best = Window.partitionBy(id_col).orderBy(F.desc("score"), "entity_id")
-        found = found.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+        found = found.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r").checkpoint()
         out = found if out is None else out.unionByName(found)
-        left = left.join(found, id_col, "left_anti")
+        left = left.join(found, id_col, "left_anti").checkpoint()
     return out
 
 
@@ -211,6 +215,41 @@ def boosted(resolved: DataFrame, mentions: DataFrame, persons: DataFrame) -> Dat
     return rows.withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + more), 6)).select(*resolved.columns)
 
 
+def resolve_persons(mentions: DataFrame, persons: DataFrame, aliases: DataFrame, least: float = C.PERSON_LEAST) -> DataFrame:
+    """mention_id -> entity_id, stage, score, by the first stage that finds a canonical person: email_exact, email_array (0.98),
+    email_alias, alias (of the name, then of the e-mail), fuzzy (names alike, among the persons of the mention's company where that has
+    any, raised by company and projects), context.
+
+    mentions: mention_id, name, email, company_id, project_ids; persons: entity_id, name, email, emails (array), company_id, project_ids,
+    is_canonical; aliases: alias, alias_type, entity_id, confidence. Ties go to the higher score, then the smaller entity_id."""
+    from .names import similar_names
+
+    m = mentions.withColumns({"_e": X.normalise_email(F.col("email")), "_n": X.normalise_name(F.col("name"))})
+    p = persons.where("is_canonical").withColumns({"_pe": X.normalise_email(F.col("email")), "_pn": X.normalise_name(F.col("name"))})
+    known = aliases.join(p.select("entity_id"), "entity_id", "left_semi").select("alias_type", "entity_id", F.col("confidence").alias("score"), X.normalise_email(F.col("alias")).alias("_ae"), X.normalise_name(F.col("alias")).alias("_an"))
+    others = p.select("entity_id", F.explode(F.transform("emails", X.normalise_email)).alias("_oe")).distinct()
+
+    def fuzzy(left):
+        left, named = left.where("_n <> ''"), p.where("_pn <> ''")
+        owners = p.select(F.col("company_id")).where("company_id is not null").distinct().withColumn("_own", F.lit(True))
+        found = similar_names(left.select(F.col("mention_id").alias("id"), F.col("_n").alias("name")), named.select(F.col("entity_id").alias("id"), F.col("_pn").alias("name")), least).toDF("mention_id", "entity_id", "score")
+        pairs = found.join(left.join(owners, "company_id", "left").select("mention_id", "company_id", "_own"), "mention_id").join(p.select("entity_id", F.col("company_id").alias("_pc")), "entity_id")
+        best = Window.partitionBy("mention_id").orderBy(F.desc("score"), "entity_id")
+        first = pairs.where("_own is null or company_id = _pc").withColumn("_r", F.row_number().over(best)).where("_r = 1").select("mention_id", "entity_id", "score")
+        return boosted(first, mentions, persons).withColumn("stage", F.lit("fuzzy"))
+
+    said = lambda stage, **c: {"stage": F.lit(stage), **c}
+    return _cascade(m, "mention_id", [
+        lambda left: left.where("_e <> ''").join(p.select("entity_id", "_pe"), F.col("_e") == F.col("_pe")).withColumns(said("email_exact", score=F.lit(1.0))),
+        lambda left: left.where("_e <> ''").join(others, F.col("_e") == F.col("_oe")).withColumns(said("email_array", score=F.lit(0.98))),
+        lambda left: left.where("_e <> ''").join(known.where("alias_type = 'email'"), F.col("_e") == F.col("_ae")).withColumns(said("email_alias")),
+        lambda left: left.where("_n <> ''").join(known, F.col("_n") == F.col("_an")).withColumns(said("alias")),
+        lambda left: left.where("_e <> ''").join(known, F.col("_e") == F.col("_ae")).withColumns(said("alias")),
+        fuzzy,
+        lambda left: resolve_by_context(left.select("mention_id", "name", "company_id", "project_ids"), p.select("entity_id", "name", "company_id", "project_ids"), least),
+    ])
+
+
 def register_aliases(aliases: DataFrame, fresh: DataFrame) -> DataFrame:
     """Insert if absent, by normalised value."""
     key = X.normalise_name(F.col("alias"))

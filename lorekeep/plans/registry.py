@@ -17,8 +17,11 @@ from ..operators import entities as E
 from ..operators import extraction as T
 from ..operators import graph as G
 from ..operators import retrieval as V
+from .. import constants as C
+from . import samples as S
 from .base import EXAMPLE_SQL, EXAMPLES, ORACLE, QUERIES, example, expected  # noqa: F401
 from .base import q as _q
+from .base import quoted
 from .base import spread as _spread
 from .base import table as _t
 
@@ -186,26 +189,28 @@ def exact_dup_docs(spark, sf):
     return d.agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
+def _sql_hits(patterns: list[str], text: str = "t") -> str:
+    return " + ".join(f"regexp_matches({text}, {quoted(p)})::INT" for p in patterns)
+
+
 @_q(
-    r"""WITH s AS (SELECT conv_id, turn, lower(text) AS t FROM conversations),
-c AS (SELECT conv_id, turn, regexp_matches(t, '(^|[^\p{L}\p{N}_])(the|der|que)($|[^\p{L}\p{N}_])')::INT + regexp_matches(t, '(^|[^\p{L}\p{N}_])of($|[^\p{L}\p{N}_])')::INT AS a,
-  regexp_matches(t, '(^|[^\p{L}\p{N}_])(and|und)($|[^\p{L}\p{N}_])')::INT AS b FROM s)
-SELECT conv_id, turn, CASE WHEN a >= b THEN 'alpha' ELSE 'beta' END AS kind, a + b AS n_patterns FROM c WHERE a + b > 0"""
+    f"""WITH {S.MESSAGES.cte}, n AS (SELECT msg_id, {", ".join(f"{_sql_hits(ps)} AS {k}" for k, ps in C.COMMITMENT_PATTERNS.items())} FROM (SELECT msg_id, lower(text) AS t FROM messages)),
+g AS (SELECT *, {" + ".join(C.COMMITMENT_PATTERNS)} AS n_patterns, greatest({", ".join(C.COMMITMENT_PATTERNS)}) AS most FROM n)
+SELECT msg_id, CASE {" ".join(f"WHEN {k} = most THEN '{k}'" for k in C.COMMITMENT_PATTERNS)} END AS kind, n_patterns FROM g WHERE n_patterns > 0"""
 )
 def commitment_types(spark, sf):
-    edge = r"(^|[^\p{L}\p{N}_])%s($|[^\p{L}\p{N}_])"
-    banks = {"alpha": [edge % "(the|der|que)", edge % "of"], "beta": [edge % "(and|und)"]}
+    """The kind of promise of which a turn holds most signs, by the full bank."""
     t = F.lower(F.col("text"))
-    rows = _t(spark, sf, "conversations").select("conv_id", "turn", X.most_hits(t, banks).alias("kind"), X.hits(t, [p for b in banks.values() for p in b]).alias("n_patterns"))
+    rows = S.MESSAGES.frame(spark, sf).select("msg_id", X.most_hits(t, C.COMMITMENT_PATTERNS).alias("kind"), X.hits(t, [p for b in C.COMMITMENT_PATTERNS.values() for p in b]).alias("n_patterns"))
     return rows.where("n_patterns > 0")
 
 
 @_q(
-    r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\bunder the\b') THEN 'contract_signed' WHEN regexp_matches(lower(text), '\b(of the|in the)\b') THEN 'meeting_held' ELSE 'email_sent' END AS event_type FROM documents"""
+    f"""WITH {S.NEWS.cte} SELECT doc_id, CASE {" ".join(f"WHEN {_sql_hits(ps)} > 0 THEN '{k}'" for k, ps in C.EVENT_PATTERNS.items() if ps)} ELSE 'email_sent' END AS event_type FROM (SELECT doc_id, lower(text) AS t FROM news)"""
 )
 def event_types(spark, sf):
-    banks = {"contract_signed": [r"\bunder the\b"], "meeting_held": [r"\b(of the|in the)\b"]}
-    return _t(spark, sf, "documents").select("doc_id", X.first_match(F.lower(F.col("text")), banks, "email_sent").alias("event_type"))
+    """What each document says has happened, by the full bank."""
+    return T.events_of(S.NEWS.frame(spark, sf), "text").select("doc_id", "event_type")
 
 
 @_q()

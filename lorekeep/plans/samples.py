@@ -150,3 +150,6 @@ TALK = Derived("talk", f"""SELECT {_company("user_id")} AS company, ts + INTERVA
 
 #: Documents and their beginnings.
 TEXTS = Derived("texts", "SELECT doc_id AS id, text AS a, substr(text, 30, 400) AS b FROM {documents}")
+
+#: Documents, each beginning with a sentence of what has happened.
+NEWS = Derived("news", f"""SELECT doc_id, {_turn("doc_id", "The contract was signed.", "Proposal sent on Monday.", "We need approval here.", "Approval delayed again.", "The board approved it.", "They agreed to help.", "A risk identified today.", "It was decided.", "A meeting took place.", "The report prepared by Ann.", "Kick-off in May.", "A milestone.", "The project completed.", "Hello.")} || ' ' || text AS text FROM {{documents}}""")

@@ -86,7 +86,9 @@ def parse(kind: str, data: bytes) -> tuple[str, str | None, str, int]:
                     for c in row:
                         v = next((x.text or "" for x in c.iter() if x.tag.endswith("}v") or x.tag.endswith("}t")), "")
                         cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
-                    if any(cells) and len(lines) <= SHEET_ROWS:
+                    if any(cells):
+                        if len(lines) > SHEET_ROWS:  # a sheet that goes on is marked
+                            return "partial", None, "\n".join(lines), len(lines)
                         lines.append("\t".join(cells))
             return "success", None, "\n".join(lines), len(lines)
         if kind == "pdf":
@@ -97,9 +99,9 @@ def parse(kind: str, data: bytes) -> tuple[str, str | None, str, int]:
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """binaryFile rows -> path, kind, status, title, text, n_parts."""
-    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    routed = rows.select("path", F.coalesce(kinds[F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))], F.lit("unknown")).alias("kind"), "content")
+    """binaryFile rows, with a MIME type in a column `mime` where it is known -> path, kind, status, title, text, n_parts."""
+    kind = kind_of(F.col("path"), F.col("mime") if "mime" in rows.columns else None)
+    routed = rows.select("path", kind.alias("kind"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

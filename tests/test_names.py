@@ -54,3 +54,25 @@ def test_a_common_token_makes_no_pairs(spark):
 def test_initials_need_a_threshold_above_their_score(spark):
     with pytest.raises(ValueError):
         names.similar_names(spark.createDataFrame([(1, "a b")], "id long, name string"), spark.createDataFrame([(1, "a b")], "id long, name string"), 0.8)
+
+
+def test_persons_by_stages(spark):
+    mentions = [
+        (1, None, " JS@x.com ", None, None), (2, None, "john2@x.com", None, None), (3, None, "old@x.com", None, None), (4, "Johnny the Smith", None, None, None), (5, "Jon Smith", None, 10, ["p1"]),
+        (6, "Jon Smith", None, 11, []), (7, "Jon Smith", None, 99, None), (8, "Zoe", None, 11, ["p1", "p2"]), (9, "Nobody", "no@x.com", None, None), (10, "", "", None, None), (11, "x", "nick@x.com", None, None),
+    ]
+    persons = [
+        (30, "John Smith", "js@x.com", ["JOHN2@x.com"], 10, ["p1"], True), (31, "John Smyth", None, [], 11, [], True), (32, "Zoe Park", "z@x.com", None, 11, ["p1", "p2"], True), (33, "Jon Smith", "merged@x.com", ["js@x.com"], 10, [], False),
+    ]
+    aliases = [("old@x.com", "email", 31, 0.95), ("johnny the smith", "name", 30, 0.9), ("nick@x.com", "handle", 32, 0.8), ("no@x.com", "email", 33, 1.0)]
+    m = spark.createDataFrame(mentions, "mention_id long, name string, email string, company_id long, project_ids array<string>")
+    p = spark.createDataFrame(persons, "entity_id long, name string, email string, emails array<string>, company_id long, project_ids array<string>, is_canonical boolean")
+    a = spark.createDataFrame(aliases, "alias string, alias_type string, entity_id long, confidence double")
+    got = {r["mention_id"]: (r["entity_id"], r["stage"], round(r["score"], 3)) for r in entities.resolve_persons(m, p, a).collect()}
+    near = {k: round(entities.name_score("jon smith", n), 3) for k, n in ((30, "john smith"), (31, "john smyth"))}
+    assert got[1] == (30, "email_exact", 1.0) and got[2] == (30, "email_array", 0.98) and got[3] == (31, "email_alias", 0.95) and got[4] == (30, "alias", 0.9) and got[11] == (32, "alias", 0.8)
+    assert got[5][:2] == (30, "fuzzy") and got[5][2] >= near[30]  # raised by company and project
+    assert (near[31] >= 0.85 and got[6][:2] == (31, "fuzzy")) or 6 not in got or got[6][1] == "context"  # only the company's own
+    assert got[7] == (30, "fuzzy", near[30])  # a company without persons: all are asked
+    assert 9 not in got and 10 not in got
+    assert entities.resolve_persons(m.where("false"), p, a).count() == 0
