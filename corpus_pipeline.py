@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Edge cases: a document with a null or blank text fails the base rules and goes; a null doc_id is kept by the near-duplicate stage, as
+it names no document to drop; rows that repeat a doc_id are judged, cleaned and packed each, but if any of them is another
+document's copy, all with its id go; a null source is a source of its own; an empty table gives an empty result; further columns are
+dropped by the first stage. The tables between stages stay below spark.checkpoint.dir, so a run can be looked into.
 """
 
 from __future__ import annotations
