@@ -84,8 +84,8 @@ def matched(sentences: DataFrame, commitments: DataFrame, sentence_id: str, leas
     Commitments and sentences meet by the prefixes of their words in order of rarity (setjoin), never by a common word alone."""
     a = sentences.select(F.col(sentence_id).alias("id"), F.col("company").alias("_sc"), X.long_words(F.col("text")).alias("items"))
     b = commitments.where(F.col("status").isin("open", "in_progress")).select(F.col("commitment_id").alias("id"), F.col("company").alias("_cc"), "status", X.long_words(F.col("text")).alias("items"))
-    own = F.col("_sc").isNull() | (F.col("_sc") == F.col("_cc"))
-    found = most_similar(a, b, 1, least + 1e-9, own).withColumnsRenamed({"a": sentence_id, "b": "commitment_id"})
+    own = most_similar(a.where("_sc is not null"), b, 1, least + 1e-9, group=("_sc", "_cc"))
+    found = own.unionByName(most_similar(a.where("_sc is null"), b, 1, least + 1e-9)).withColumnsRenamed({"a": sentence_id, "b": "commitment_id"})
     return found.join(b.select(F.col("id").alias("commitment_id"), "status"), "commitment_id").select(sentence_id, "commitment_id", "status", "likeness")
 
 
