@@ -17,6 +17,8 @@ Terms are ASCII words, lower-cased, without stop words, plural endings cut (Harm
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,20 @@ def terms(text: Column, stop: list[str] = STOP) -> Column:
     return F.transform(F.filter(X.tokens(text), lambda t: ~t.isin(stop)), stem)
 
 
+def _counted(batches):
+    """doc_id and terms of rows -> doc_id, how many, the different ones and how often each."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            counts = [Counter(t) for t in part.column(1).to_pylist()]
+            columns = [part.column(0), pa.array([c.total() for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "terms", "tfs"])
+
+
 class TextIndex:
-    """Documents have long ids; of texts given twice for one id in a batch the larger counts, and a null text is an empty one."""
+    """Documents have long ids; a null text is an empty one."""
 
     def __init__(self, spark: SparkSession, path: str, stop: list[str] = STOP):
         self.spark, self.path, self.stop = spark, path.rstrip("/"), stop
@@ -77,7 +91,7 @@ class TextIndex:
         return self._read("sizes", at).agg(F.max("batch")).first()[0] or 0
 
     def _write(self, name: str, rows: DataFrame, generation: int, batch: int) -> None:
-        writer = rows.drop("batch").write.mode("overwrite")
+        writer = rows.drop("batch").write.mode("overwrite").option("compression", "zstd")
         if name == "postings":
             writer = writer.partitionBy("folder")
         writer.parquet(f"{self.path}/{generation}/{name}/batch={batch}")
@@ -99,16 +113,20 @@ class TextIndex:
         self._write("sizes", size(added, 1).unionByName(size(off, -1)).agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).coalesce(1), generation, batch)
 
     def update(self, docs: DataFrame | None = None, deleted: DataFrame | None = None) -> int:
-        """Adds or replaces documents (doc_id, text) and removes those of `deleted` (doc_id); returns the batch's number."""
+        """Adds or replaces documents (doc_id, text) and removes those of `deleted` (doc_id); returns the batch's number. A batch has a
+        document once; rows without an id are left out. Texts are cut where they lie: only postings are shuffled, once."""
         at = self.generation()
         batch = self.last(at) + 1
         none = self.spark.createDataFrame([], "doc_id long, text string")
-        docs = (none if docs is None else docs).where("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
+        docs = (none if docs is None else docs.select("doc_id", "text")).where("doc_id is not null")
+        if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+            raise ValueError("a document is in the batch twice")
         leave = docs.select("doc_id") if deleted is None else docs.select("doc_id").unionByName(deleted.select("doc_id")).distinct()
         off = self._live(self._read("docs", at, batch - 1), self._read("gone", at, batch - 1)).join(leave, "doc_id", "left_semi")
-        cut = docs.select("doc_id", terms(F.col("text"), self.stop).alias("_t")).withColumn("n", F.size("_t"))
-        postings = cut.select("doc_id", "n", F.explode("_t").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("n").alias("n"))
-        self._store(postings, cut, off.select("doc_id"), off, at, batch)
+        cut = docs.select("doc_id", terms(F.coalesce(F.col("text"), F.lit("")), self.stop).alias("_t"))
+        counted = cut.mapInArrow(_counted, "doc_id long, n int, terms array<string>, tfs array<int>")
+        postings = counted.select("doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")).select(F.col("_p.terms").alias("term"), "doc_id", F.col("_p.tfs").alias("tf"), "n")
+        self._store(postings, cut.select("doc_id", F.size("_t").alias("n")), off.select("doc_id"), off, at, batch)
         return batch
 
     def compact(self) -> int:

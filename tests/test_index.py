@@ -33,7 +33,9 @@ def test_batches_replace_and_remove(spark, tmp_path):
     index = I.TextIndex(spark, str(tmp_path / "i"))
     assert index.bm25(["cat"], 5).count() == 0 and index.all_of(["cat"]).count() == 0
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    index.update(frame([(1, "cats and dogs"), (2, "The dog. A cat, a cat!"), (3, None), (4, ""), (None, "cat"), (5, "bird"), (5, "zebra cat")]))
+    index.update(frame([(1, "cats and dogs"), (2, "The dog. A cat, a cat!"), (3, None), (4, ""), (None, "cat"), (5, "zebra cat")]))
+    with pytest.raises(ValueError):
+        index.update(frame([(8, "bird"), (8, "zebra cat")]))
     texts = {1: ["cat", "dog"], 2: ["dog", "cat", "cat"], 3: [], 4: [], 5: ["zebra", "cat"]}
     ask = lambda: {r["doc_id"]: round(r["score"], 9) for r in index.bm25(["Cats", "dogs dog"], 10).collect()}
     assert ask() == plain(texts, ["cat", "dog"])
