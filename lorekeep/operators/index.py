@@ -1,10 +1,10 @@
 """A full-text index in files: postings by term, updated by batch, searched without reading texts.
 
-Below a folder lie generations, and in each four Parquet tables, partitioned by batch:
+Below a folder lie generations, and in each three Parquet tables, partitioned by batch:
 
 * postings: term, doc_id, tf, n (terms of the document), in folders by a hash of the term and sorted by term, so that a query reads
   its terms' folders and, by the files' statistics, their row groups.
-* docs: doc_id, n.
+  Folder -1 has a row without a term for each document, which is the table of documents.
 * gone: doc_id of each document that a batch replaces or removes; what earlier batches say of it no longer counts.
 * sizes: docs, terms that the batch adds, less those it takes off; their sums are the corpus statistics.
 
@@ -32,7 +32,6 @@ STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "i
 
 _SCHEMAS = {
     "postings": "term string, doc_id long, tf int, n int, batch int, folder int",
-    "docs": "doc_id long, n int, batch int",
     "gone": "doc_id long, batch int",
     "sizes": "docs long, terms long, batch int",
 }
@@ -53,14 +52,14 @@ def terms(text: Column, stop: list[str] = STOP) -> Column:
 
 
 def _counted(batches):
-    """doc_id and terms of rows -> doc_id, how many, the different ones and how often each."""
+    """doc_id and terms of rows -> doc_id, how many, the different ones and how often each; first none, which stands for the document."""
     import pyarrow as pa
 
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             counts = [Counter(t) for t in part.column(1).to_pylist()]
-            columns = [part.column(0), pa.array([c.total() for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+            columns = [part.column(0), pa.array([c.total() for c in counts], pa.int32()), pa.array([[None, *c] for c in counts], pa.list_(pa.string())), pa.array([[0, *c.values()] for c in counts], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "terms", "tfs"])
 
 
@@ -82,6 +81,8 @@ class TextIndex:
         return self._stored(f"{self.path}/current", "generation int").agg(F.max("generation")).first()[0] or 0
 
     def _read(self, name: str, generation: int, upto: int | None = None) -> DataFrame:
+        if name == "docs":
+            return self._read("postings", generation, upto).where("folder = -1").select("doc_id", "n", "batch")
         rows = self._stored(f"{self.path}/{generation}/{name}", _SCHEMAS[name])
         return rows if upto is None else rows.where(F.col("batch") <= upto)
 
@@ -102,11 +103,10 @@ class TextIndex:
         late = gone.groupBy("doc_id").agg(F.max("batch").alias("_off"))
         return rows.join(late, "doc_id", "left").where("_off is null or _off <= batch").drop("_off")
 
-    def _store(self, postings: DataFrame, docs: DataFrame, gone: DataFrame, off: DataFrame, generation: int, batch: int) -> None:
-        folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")
+    def _store(self, postings: DataFrame, gone: DataFrame, off: DataFrame, generation: int, batch: int) -> None:
+        folder = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int"))
         dealt = postings.select("term", "doc_id", "tf", "n", folder.alias("folder")).repartition("folder", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
         self._write("postings", dealt.sortWithinPartitions("folder", "term", "doc_id"), generation, batch)
-        self._write("docs", docs.select("doc_id", "n"), generation, batch)
         self._write("gone", gone, generation, batch)
         added = self._read("docs", generation).where(F.col("batch") == batch)
         size = lambda rows, sign: rows.agg((sign * F.count(F.lit(1))).alias("docs"), (sign * F.coalesce(F.sum("n"), F.lit(0))).alias("terms"))
@@ -126,7 +126,7 @@ class TextIndex:
         cut = docs.select("doc_id", terms(F.coalesce(F.col("text"), F.lit("")), self.stop).alias("_t"))
         counted = cut.mapInArrow(_counted, "doc_id long, n int, terms array<string>, tfs array<int>")
         postings = counted.select("doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")).select(F.col("_p.terms").alias("term"), "doc_id", F.col("_p.tfs").alias("tf"), "n")
-        self._store(postings, cut.select("doc_id", F.size("_t").alias("n")), off.select("doc_id"), off, at, batch)
+        self._store(postings, off.select("doc_id"), off, at, batch)
         return batch
 
     def compact(self) -> int:
@@ -134,9 +134,9 @@ class TextIndex:
         at = self.generation()
         last, fresh = self.last(at), at + 1
         gone = self._read("gone", at, last)
-        docs, postings = self._live(self._read("docs", at, last), gone), self._live(self._read("postings", at, last), gone)
-        nothing = docs.where("false")
-        self._store(postings, docs, nothing.select("doc_id"), nothing, fresh, 1)
+        postings = self._live(self._read("postings", at, last), gone)
+        nothing = postings.where("false")
+        self._store(postings, nothing.select("doc_id"), nothing, fresh, 1)
         self.spark.range(1).select(F.lit(fresh).alias("generation")).coalesce(1).write.mode("append").parquet(f"{self.path}/current")
         return fresh
 
