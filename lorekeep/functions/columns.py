@@ -94,8 +94,8 @@ def stub_embedding(text: Column, buckets: int = 64, most: int = 128) -> Column:
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    """Whole days, rounded down for negative spans too."""
-    return F.floor((F.unix_timestamp(later.cast("timestamp")) - F.unix_timestamp(earlier.cast("timestamp"))) / 86400)
+    """Whole days, rounded down for negative spans too; parts of a second count."""
+    return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 86_400_000_000)
 
 
 def recency(age_days: Column, days: float = C.RECENCY_DAYS) -> Column:

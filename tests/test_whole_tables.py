@@ -1,6 +1,7 @@
 """Registered queries of the library see every row of their tables: brute force on small fixtures with ids of all sizes."""
 
 import datetime
+import math
 from collections import defaultdict
 
 import pytest
@@ -72,3 +73,12 @@ def test_names_of_every_pair(spark, tmp_path):
     plain = lambda x: x.lower().replace("#", " ")
     want = {(c, s): round(name_score(plain(a), plain(b)), 6) for c, n, a in customers for s, m, b in suppliers if n == m}
     assert got == want and got[1, 1] >= 0.7
+
+
+def test_ages_count_parts_of_a_second(spark, tmp_path):
+    """An event just after a day's border is not yet a day older."""
+    day = lambda d, us: datetime.datetime(2024, 1, d, 0, 0, 0, us)
+    rows = [(1, day(17, 0)), (2, day(17, 1)), (3, day(16, 999_999)), (4, day(16, 0)), (5, day(30, 500_000)), (6, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["score"] for r in registry.QUERIES["timeline_search"](spark, str(tmp_path)).collect()}
+    assert got == {1: round(math.exp(-14 / 90), 9), 2: round(math.exp(-13 / 90), 9), 3: round(math.exp(-14 / 90), 9), 5: 1.0}
