@@ -76,3 +76,33 @@ def test_persons_by_stages(spark):
     assert got[7] == (30, "fuzzy", near[30])  # a company without persons: all are asked
     assert 9 not in got and 10 not in got
     assert entities.resolve_persons(m.where("false"), p, a).count() == 0
+
+
+def test_few_letters_make_few_candidates(spark):
+    """Names of so few letters that nearly all share a pair of them; none of a pair from 0.8 on is lost, copies are searched once."""
+    rng = random.Random(8)
+    made = lambda: "".join(rng.choice("abdefgiklmnoprst") for _ in range(6)) + " " + "".join(rng.choice("abdefgiklmnoprst") for _ in range(7))
+    a = [made() for _ in range(400)]
+    b = [x[:2] + x[3:] if i % 2 else x[:9] + x[8:] for i, x in enumerate(a[:100])] + [made() for _ in range(200)]
+    left, right = (spark.createDataFrame([(n,) for n in x], "_n string") for x in (a, b))
+    assert 100 <= names._by_pieces(left, right, 0.8).count() < 300  # of 120,000
+    long = [x * 3 for x in a[:20]]
+    rows = [spark.createDataFrame(list(enumerate(x)), "id long, name string") for x in (a + long + a[:5], b + long)]
+    got = {(r["a"], r["b"]) for r in names.similar_names(*rows, 0.8, entities.indel_ratio).collect()}
+    assert got == {(i, j) for i, x in enumerate(a + long + a[:5]) for j, y in enumerate(b + long) if entities.indel_ratio(x, y) >= 0.8}
+
+
+def test_no_piece_misses_a_pair():
+    rng, seen = random.Random(3), 0
+    for _ in range(4000):
+        letters = "abcd"[: rng.choice((2, 3, 4))]
+        x = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 20)))
+        y = list(x)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.choice((0, 1))] = rng.choice(("", *letters))
+        y, t = "".join(y), rng.choice((0.6, 0.75, 0.8, 0.9, 0.98))
+        if y and entities.indel_ratio(x, y) >= t:
+            seen += 1
+            assert names.pieces(x, [len(y)], t, True) & names.pieces(y, [len(x)], t, False)
+    assert seen > 1000
