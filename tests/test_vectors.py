@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lorekeep.operators.vectors import VectorIndex, probes_for
+from lorekeep.operators.vectors import VectorIndex, nearest, probes_for
 
 
 def test_recall_and_exact_way(spark, tmp_path):
@@ -38,3 +38,23 @@ def test_empty_index(spark, tmp_path):
     index.build(spark.createDataFrame([], "id long, v array<float>"), "id", "v")
     assert index.search([1.0], 3, "id", "v").count() == 0
     assert probes_for(np.eye(2)[:1], np.eye(2)[:1]) == 1
+
+
+def test_blocks_find_what_all_pairs_do(spark, monkeypatch):
+    """Rows and queries in several blocks, copies among them, with and without groups; pairs are scored as matrices, not row by row."""
+    monkeypatch.setattr("lorekeep.operators.vectors.BLOCK", 20)
+    rng = np.random.default_rng(4)
+    made = rng.normal(size=(90, 6))
+    made[50:60] = made[3]
+    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(made)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>, kind int")
+    asked = vectors.where("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query"), "kind")
+    for group in (None, "kind"):
+        got = {(r["query_id"], r["rank"], r["id"]) for r in nearest(asked, vectors, 4, "id", "v", group).collect()}
+        want = set()
+        for i, v, g in rows[::2]:
+            score = lambda w: max(0.0, sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) ** 0.5 * sum(b * b for b in w) ** 0.5))
+            best = sorted((-round(score(w), 12), j) for j, w, h in rows if group is None or g == h)[:4]
+            want |= {(i, r, j) for r, (_, j) in enumerate(best, 1)}
+        assert got == want
+    assert "cogroup" in nearest(asked, vectors, 4, "id", "v")._jdf.queryExecution().toString().lower()
