@@ -215,11 +215,14 @@ def event_types(spark, sf):
 
 @_q()
 def fuzzy_customer_pairs(spark, sf):
-    """Names of all customers and suppliers that share a nation, scored in Arrow batches."""
-    c = _spread(_t(spark, sf, "customer")).select("c_custkey", "c_nationkey", X.normalise_name(F.col("c_name")).alias("a"))
-    s = _t(spark, sf, "supplier").select("s_suppkey", "s_nationkey", X.normalise_name(F.col("s_name")).alias("b"))
-    pairs = c.join(s, c["c_nationkey"] == s["s_nationkey"])
-    return E.with_name_score(pairs, "a", "b").select("c_custkey", "s_suppkey", F.round("name_score", 6).alias("name_score"))
+    """Names of all customers and suppliers that share a nation; a nation's different names are scored once, in Arrow batches, whatever
+    the number of customers and suppliers that have them."""
+    name = lambda c: F.coalesce(X.normalise_name(F.col(c)), F.lit(""))
+    c = _spread(_t(spark, sf, "customer")).select("c_custkey", F.col("c_nationkey").alias("_n"), name("c_name").alias("a"))
+    s = _spread(_t(spark, sf, "supplier")).select("s_suppkey", F.col("s_nationkey").alias("_n"), name("s_name").alias("b"))
+    pairs = c.select("_n", "a").distinct().repartition(4 * spark.sparkContext.defaultParallelism).join(s.select("_n", "b").distinct(), "_n")
+    scored = E.with_name_score(pairs, "a", "b").withColumn("name_score", F.round("name_score", 6))
+    return scored.join(s, ["_n", "b"]).join(c, ["_n", "a"]).select("c_custkey", "s_suppkey", "name_score")
 
 
 @example(

@@ -89,3 +89,13 @@ def test_mails_are_counted_each_time(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["mails"] for r in registry.QUERIES["mails_in_texts"](spark, str(tmp_path)).collect()}
     assert got == {0: ["a@x.org", "b@x.org"], 1: ["a@x.org"]}
+
+
+def test_copies_of_names_are_scored_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, i % 2, f"Acme {i % 4}" if i % 5 else None) for i in range(60)], "c_custkey long, c_nationkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, i % 2, f"Acme {i % 2} Ltd") for i in range(30)], "s_suppkey long, s_nationkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    seen, made = [], registry.E.with_name_score
+    monkeypatch.setattr(registry.E, "with_name_score", lambda pairs, a, b: (seen.append(pairs.count()), made(pairs, a, b))[1])
+    got = {(r["c_custkey"], r["s_suppkey"]): r["name_score"] for r in registry.QUERIES["fuzzy_customer_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(c, s): round(name_score(f"acme {c % 4}" if c % 5 else "", f"acme {s % 2} ltd"), 6) for c in range(60) for s in range(30) if c % 2 == s % 2}
+    assert seen == [6]  # of 900
