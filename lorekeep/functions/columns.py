@@ -24,7 +24,8 @@ def hits(text: Column, patterns: list[str]) -> Column:
 
 def words_found(text: Column, words: list[str]) -> Column:
     """How many of the plain words occur as substrings of the lower-cased text."""
-    return reduce(lambda a, b: a + b, (F.lower(text).contains(w).cast("int") for w in words), F.lit(0))
+    found = lambda t: reduce(lambda a, b: a + b, (t.contains(w).cast("int") for w in words), F.lit(0))
+    return F.transform(F.array(F.lower(text)), found)[0]  # the text is lower-cased once
 
 
 def first_match(text: Column, banks: dict[str, list[str]], otherwise: str | None = None) -> Column:

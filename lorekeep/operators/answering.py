@@ -81,7 +81,8 @@ def ranked_by(rows: DataFrame, id_col: str, categories: list[str], focus: list[s
     """category, id, final: ranked() for several classes at once; the factors, which read the text, are computed once a row."""
     tied = rows.withColumn("relationship", X.tie(F.col("relationships"), F.col("about"), focus))
     profiles = [F.struct(F.lit(c).alias("category"), F.array(*[F.lit(float(w)) for w in C.RANKING_PROFILES[C.PROFILE_OF.get(c, "executive")]]).alias("weights")) for c in categories]
-    each = tied.select(id_col, F.array(*[f.cast("double") for f in factors()]).alias("_f"), F.explode(F.array(*profiles)).alias("_p"))
+    told = tied.select(id_col, F.array(*[f.cast("double") for f in factors()]).alias("_f"))
+    each = told.select(id_col, "_f", F.explode(F.array(*profiles)).alias("_p"))  # beside the factors it would compute them for each class
     final = F.aggregate(F.zip_with("_p.weights", "_f", lambda a, f: a * f), F.lit(0.0), lambda s, x: s + x)
     return each.select(F.col("_p.category").alias("category"), id_col, F.round(final, 4).alias("final")).where(F.col("final") >= least)
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 
+from lorekeep.operators.answering import ranked_by
 from lorekeep.operators.entities import name_score
 from lorekeep.plans import registry
 
@@ -99,3 +100,9 @@ def test_copies_of_names_are_scored_once(spark, tmp_path, monkeypatch):
     got = {(r["c_custkey"], r["s_suppkey"]): r["name_score"] for r in registry.QUERIES["fuzzy_customer_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(c, s): round(name_score(f"acme {c % 4}" if c % 5 else "", f"acme {s % 2} ltd"), 6) for c in range(60) for s in range(30) if c % 2 == s % 2}
     assert seen == [6]  # of 900
+
+
+def test_a_text_is_lower_cased_once_for_each_bank_of_words(spark):
+    rows = spark.createDataFrame([(1, "Board risk", 0.5, 3, "email", ["x"], "x")], "doc_id long, text string, relevance double, age_days int, source_type string, relationships array<string>, about string")
+    plan = ranked_by(rows, "doc_id", ["company", "risk"], ["x"], 0.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 2 and plan.index("Generate") < plan.index("lower(text")  # below what makes a row for each class
