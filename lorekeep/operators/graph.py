@@ -119,6 +119,10 @@ def grouped_timeline(events: DataFrame, entity: str, ts: str, kind: str, unit: s
     return events.groupBy(entity, F.date_trunc(unit, ts).alias("period")).agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct(kind).alias("n_kinds"), F.min(ts).alias("first_at"), F.max(ts).alias("last_at"))
 
 
+#: Parts that the nodes of one label are dealt to.
+SALTS = 16
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component: least reachable node. Each turn takes the least label of the neighbours, then that label's own label, so
     turns grow with the logarithm of a path rather than its length; edges are written once, lineage is cut each turn."""
@@ -128,8 +132,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        tops = lower.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        after = lower.join(tops, "component", "left").select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component")).checkpoint()
+        tops = lower.where("component < node").select(F.col("node").alias("component"), F.col("component").alias("top")).join(lower.select("component").distinct(), "component", "left_semi")
+        tops = tops.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a label may be that of nearly all nodes
+        after = lower.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(tops, ["component", "_s"], "left").select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component")).checkpoint()
         labels = after.select("node", "component")
         if after.where("was <> component").limit(1).count() == 0:
             return labels
