@@ -188,10 +188,11 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = 0.85, measur
     sides.append(sides[0] if right is left else kept(right))
     names = [side.select("_n").distinct() for side in sides]
     if measure is indel_ratio:
-        near = least / (2 - least) * LONGEST - 1e-9  # what a longer name may meet
-        long = _by_keys(*(side.where(F.length("_n") >= near) for side in names), least, kinds)
-        long = long.where((F.greatest(F.length("_na"), F.length("_nb")) > LONGEST) & (F.least(F.length("_na"), F.length("_nb")) * 2 >= least * (F.length("_na") + F.length("_nb")) - 1e-9))
-        pairs = _by_pieces(*names, least).unionByName(long)
+        pairs = _by_pieces(*names, least)
+        if any((side.agg(F.max(F.length("_n"))).first()[0] or 0) > LONGEST for side in sides):
+            near = least / (2 - least) * LONGEST - 1e-9  # what a longer name may meet
+            long = _by_keys(*(side.where(F.length("_n") >= near) for side in names), least, kinds)
+            pairs = pairs.unionByName(long.where((F.greatest(F.length("_na"), F.length("_nb")) > LONGEST) & (F.least(F.length("_na"), F.length("_nb")) * 2 >= least * (F.length("_na") + F.length("_nb")) - 1e-9)))
     else:
         pairs = _by_keys(*names, least, kinds)
     scored = with_score(pairs, "_na", "_nb", measure).where(F.col("name_score") >= least)

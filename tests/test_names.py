@@ -106,3 +106,14 @@ def test_no_piece_misses_a_pair():
             seen += 1
             assert names.pieces(x, [len(y)], t, True) & names.pieces(y, [len(x)], t, False)
     assert seen > 1000
+
+
+def test_short_names_have_no_keys_of_letters(spark, monkeypatch):
+    """Where no name is longer than LONGEST, names meet by pieces only; at 0.98 a name of 14 letters is its only key, so keys, and what
+    they take of the disk, grow with the names."""
+    monkeypatch.setattr(names, "_by_keys", lambda *a: pytest.fail("pairs of letters"))
+    rows = [(i, "".join(chr(97 + (i * 7 + j * j) % 23) for j in range(6)) + " " + "".join(chr(97 + (i // 23 + j) % 23) for j in range(7))) for i in range(200)]
+    assert all(len(names.pieces(n, [14], 0.98, left)) == 1 for _, n in rows for left in (True, False))
+    table = spark.createDataFrame([*rows, (500, rows[3][1]), (501, None), (502, "")], "id long, name string")
+    want = {(a, b) for a, x in [*rows, (500, rows[3][1])] for b, y in [*rows, (500, rows[3][1])] if a < b and x == y}
+    assert (3, 500) in want and {(r["a"], r["b"]) for r in names.within(table, 0.98).collect()} == want
