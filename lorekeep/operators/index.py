@@ -2,9 +2,10 @@
 
 Below a folder lie generations, and in each three Parquet tables, partitioned by batch:
 
-* postings: term, doc_id, tf, n (terms of the document), in folders by a hash of the term and sorted by term, so that a query reads
-  its terms' folders and, by the files' statistics, their row groups.
-  Folder -1 has a row without a term for each document, which is the table of documents.
+* postings: a term with doc_ids and, for each of them, tfs and ns (terms of the document), in folders by a hash of the term and sorted
+  by term, so that a query reads its terms' folders and, by the files' statistics, their row groups. A row holds what a few thousand
+  documents have of the term: rows are put together where texts lie, so few are shuffled and sorted.
+  Folder -1 has rows without a term, in which each document is once; they are the table of documents.
 * gone: doc_id of each document that a batch replaces or removes; what earlier batches say of it no longer counts.
 * sizes: docs, terms that the batch adds, less those it takes off; their sums are the corpus statistics.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,13 @@ from ..functions import columns as X
 
 #: Folders of postings.
 FOLDERS = 64
+#: Postings of which rows are put together at once.
+TOGETHER = 1 << 21
 #: Words that are in nearly every English text.
 STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 
 _SCHEMAS = {
-    "postings": "term string, doc_id long, tf int, n int, batch int, folder int",
+    "postings": "term string, doc_ids array<long>, tfs array<int>, ns array<int>, batch int, folder int",
     "gone": "doc_id long, batch int",
     "sizes": "docs long, terms long, batch int",
 }
@@ -51,16 +55,92 @@ def terms(text: Column, stop: list[str] = STOP) -> Column:
     return F.transform(F.filter(X.tokens(text), lambda t: ~t.isin(stop)), stem)
 
 
-def _counted(batches):
-    """doc_id and terms of rows -> doc_id, how many, the different ones and how often each; first none, which stands for the document."""
+def _alone(text: Column) -> Column:
+    """The tokens() of a text between blanks: one pass over it, and no look at each token."""
+    word = r"[\p{L}\p{N}_]"
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{word})[a-z0-9]++(?!{word})"), 0), " ")
+
+
+def stemmed(token: str) -> str:
+    """What stem() makes of a token."""
+    if token.endswith("ies"):
+        return token if token[-4:-3] in ("", "a", "e") else token[:-3] + "y"
+    if token.endswith("es"):
+        return token if token[-3:-2] in ("", "a", "e", "o") else token[:-1]
+    return token[:-1] if token.endswith("s") and token[-2:-1] not in ("", "u", "s") else token
+
+
+def _put_together(terms, codes, columns):
+    """A row for each term: `codes` are the terms' places for each posting, `columns` the postings' doc_id, tf and n."""
     import pyarrow as pa
 
+    order = np.argsort(codes, kind="stable")
+    ends = pa.array(np.append(0, np.cumsum(np.bincount(codes, minlength=len(terms)))), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c[order], kind)) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32()))]
+    return pa.RecordBatch.from_arrays([terms, *lists], ["term", "doc_ids", "tfs", "ns"])
+
+
+def _together(batches):
+    """Batches of postings (term, doc_id, tf, n) -> rows of many each."""
+    import pyarrow as pa
+
+    def put(kept):
+        whole = pa.Table.from_batches(kept).combine_chunks()
+        terms = pa.concat_arrays(whole["term"].chunks).dictionary_encode(null_encoding="encode")
+        return _put_together(terms.dictionary, terms.indices.to_numpy(zero_copy_only=False), [whole[c].to_numpy() for c in ("doc_id", "tf", "n")])
+
+    kept, many = [], 0
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            counts = [Counter(t) for t in part.column(1).to_pylist()]
-            columns = [part.column(0), pa.array([c.total() for c in counts], pa.int32()), pa.array([[None, *c] for c in counts], pa.list_(pa.string())), pa.array([[0, *c.values()] for c in counts], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "terms", "tfs"])
+        kept.append(batch)
+        many += batch.num_rows
+        if many >= TOGETHER:
+            yield put(kept)
+            kept, many = [], 0
+    if many:
+        yield put(kept)
+
+
+def _counted(stop: list[str]):
+    """doc_id and tokens between blanks -> rows of postings; each document has one without a term as well, which stands for it.
+    A token is looked at once for many documents."""
+    stop = frozenset(stop)
+
+    def count(batches):
+        import pyarrow as pa
+
+        def put():
+            return _put_together(pa.array(place, pa.string()), np.array(codes), [np.repeat(np.concatenate(ids), many), np.array(tfs), np.repeat(sizes, many)])
+
+        place: dict[str | None, int] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                if not place:
+                    place, seen, codes, tfs, ids, sizes, many = {None: 0}, {}, [], [], [], [], []
+                for text in part.column(1).to_pylist():
+                    found, n = {0: 0}, 0
+                    for token, times in Counter(text.split(" ") if text else ()).items():
+                        code = seen.get(token)
+                        if code is None:
+                            code = seen[token] = -1 if token in stop else place.setdefault(stemmed(token), len(place))
+                        if code >= 0:
+                            n += times
+                            found[code] = found.get(code, 0) + times
+                    codes += found
+                    tfs += found.values()
+                    sizes.append(n)
+                    many.append(len(found))
+                ids.append(part.column(0).to_numpy())
+                if len(codes) >= TOGETHER:
+                    yield put()
+                    place = {}
+        if place:
+            yield put()
+
+    return count
+
+
+_ROWS = "term string, doc_ids array<long>, tfs array<int>, ns array<int>"
 
 
 class TextIndex:
@@ -82,7 +162,7 @@ class TextIndex:
 
     def _read(self, name: str, generation: int, upto: int | None = None) -> DataFrame:
         if name == "docs":
-            return self._read("postings", generation, upto).where("folder = -1").select("doc_id", "n", "batch")
+            return self._each(self._read("postings", generation, upto).where("folder = -1")).select("doc_id", "n", "batch")
         rows = self._stored(f"{self.path}/{generation}/{name}", _SCHEMAS[name])
         return rows if upto is None else rows.where(F.col("batch") <= upto)
 
@@ -97,6 +177,12 @@ class TextIndex:
             writer = writer.partitionBy("folder")
         writer.parquet(f"{self.path}/{generation}/{name}/batch={batch}")
 
+    @staticmethod
+    def _each(rows: DataFrame) -> DataFrame:
+        """term, doc_id, tf, n, batch: one row for each posting."""
+        one = rows.select("term", F.explode(F.arrays_zip("doc_ids", "tfs", "ns")).alias("_p"), "batch")
+        return one.select("term", F.col("_p.doc_ids").alias("doc_id"), F.col("_p.tfs").alias("tf"), F.col("_p.ns").alias("n"), "batch")
+
     @staticmethod
     def _live(rows: DataFrame, gone: DataFrame) -> DataFrame:
         """Rows (doc_id, batch) that no later batch takes off."""
@@ -105,8 +191,8 @@ class TextIndex:
 
     def _store(self, postings: DataFrame, gone: DataFrame, off: DataFrame, generation: int, batch: int) -> None:
         folder = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int"))
-        dealt = postings.select("term", "doc_id", "tf", "n", folder.alias("folder")).repartition("folder", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-        self._write("postings", dealt.sortWithinPartitions("folder", "term", "doc_id"), generation, batch)
+        dealt = postings.select("term", "doc_ids", "tfs", "ns", folder.alias("folder")).repartition("folder", F.pmod(F.xxhash64(F.col("doc_ids")[0]), F.lit(8)))
+        self._write("postings", dealt.sortWithinPartitions("folder", "term"), generation, batch)
         self._write("gone", gone, generation, batch)
         added = self._read("docs", generation).where(F.col("batch") == batch)
         size = lambda rows, sign: rows.agg((sign * F.count(F.lit(1))).alias("docs"), (sign * F.coalesce(F.sum("n"), F.lit(0))).alias("terms"))
@@ -123,9 +209,8 @@ class TextIndex:
             raise ValueError("a document is in the batch twice")
         leave = docs.select("doc_id") if deleted is None else docs.select("doc_id").unionByName(deleted.select("doc_id")).distinct()
         off = self._live(self._read("docs", at, batch - 1), self._read("gone", at, batch - 1)).join(leave, "doc_id", "left_semi")
-        cut = docs.select("doc_id", terms(F.coalesce(F.col("text"), F.lit("")), self.stop).alias("_t"))
-        counted = cut.mapInArrow(_counted, "doc_id long, n int, terms array<string>, tfs array<int>")
-        postings = counted.select("doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")).select(F.col("_p.terms").alias("term"), "doc_id", F.col("_p.tfs").alias("tf"), "n")
+        cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _alone(F.coalesce(F.col("text"), F.lit(""))))
+        postings = cut.mapInArrow(_counted(self.stop), _ROWS)
         self._store(postings, off.select("doc_id"), off, at, batch)
         return batch
 
@@ -134,8 +219,9 @@ class TextIndex:
         at = self.generation()
         last, fresh = self.last(at), at + 1
         gone = self._read("gone", at, last)
-        postings = self._live(self._read("postings", at, last), gone)
-        nothing = postings.where("false")
+        live = self._live(self._each(self._read("postings", at, last)), gone).select("term", "doc_id", "tf", "n")
+        postings = live.mapInArrow(_together, _ROWS)
+        nothing = live.where("false")
         self._store(postings, nothing.select("doc_id"), nothing, fresh, 1)
         self.spark.range(1).select(F.lit(fresh).alias("generation")).coalesce(1).write.mode("append").parquet(f"{self.path}/current")
         return fresh
@@ -151,7 +237,7 @@ class TextIndex:
         last = self.last(at)
         folders = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")).distinct().collect()] if wanted else []
         found = self._read("postings", at, last).where(F.col("folder").isin(folders) & F.col("term").isin(wanted))
-        return self._live(found, self._read("gone", at, last)).select("term", "doc_id", "tf", "n")
+        return self._live(self._each(found), self._read("gone", at, last)).select("term", "doc_id", "tf", "n")
 
     def bm25(self, query: list[str], k: int, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
         """doc_id and score of the k best, best score 1, ties to the smaller id."""

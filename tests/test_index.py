@@ -82,3 +82,32 @@ def test_a_query_reads_its_terms_folders(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "folder" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(term,word7x)" in plan.replace("In(term, [word7x])", "EqualTo(term,word7x)")
     assert [r["doc_id"] for r in found.collect()] == [7]
+
+
+ODD = ["Kelvin cats 10K", "İs İcats ẋcats", "a_b cat's cafés cáts x² ²x y①", "the ties\nties\tIS s es ies aies glass bus", "_ __ cats_ _cats", "дcat catд cat-д ٣cats", "", None, "naïve O'Hare's 3rd 007s ﬁsh sſ ẞ"]
+
+
+def test_postings_are_the_terms_of_the_text(spark, tmp_path, monkeypatch):
+    """Stored terms, counts and sizes are those of terms(), whatever stands beside the ASCII words, and however many are put together."""
+    monkeypatch.setattr(I, "TOGETHER", 50)
+    docs = spark.createDataFrame([(i, ODD[i % len(ODD)]) for i in range(600)], "doc_id long, text string").repartition(1)
+    told = {r["doc_id"]: r["t"] for r in docs.select("doc_id", I.terms(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    want = {(t, d, n, len(ts)) for d, ts in told.items() for t, n in [(None, 0), *Counter(ts).items()]}
+    index = I.TextIndex(spark, str(tmp_path / "i"))
+    index.update(docs)
+    for _ in range(2):
+        at = index.generation()
+        got = [tuple(r)[:4] for r in index._each(index._read("postings", at)).collect()]
+        assert len(got) == len(want) and {*got} == want
+        index.compact()
+    assert index._read("docs", 2).count() == 600
+
+
+def test_a_common_term_makes_few_rows(spark, tmp_path):
+    """Rows that are shuffled and sorted grow with the terms of some thousand documents, not with each document that holds a term."""
+    index = I.TextIndex(spark, str(tmp_path / "i"))
+    index.update(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("common words").alias("text")).coalesce(2))
+    for generation in (0, 1):
+        assert index._read("postings", generation).count() <= 3 * 8
+        assert index.all_of(["common word"]).count() == 3000 and index._read("docs", generation).count() == 3000
+        index.compact()
