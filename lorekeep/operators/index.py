@@ -13,12 +13,14 @@ Below a folder lie generations, and in each three Parquet tables, partitioned by
 number, overwrites it. Compaction writes what is live as one batch of a new generation and names that last; readers of the old one are
 not disturbed. One writer at a time.
 
-Terms are ASCII words, lower-cased, without stop words, plural endings cut (Harman's S stemmer).
+Terms are ASCII words, lower-cased, without stop words, plural endings cut (Harman's S stemmer). Which other characters are letters or
+digits, so that an ASCII word beside them is none, Python's Unicode tables say for texts and the JVM's for queries; they differ at most
+in characters that one of them does not know yet.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +33,12 @@ from ..functions import columns as X
 FOLDERS = 64
 #: Postings of which rows are put together at once.
 TOGETHER = 1 << 21
+#: Bytes of text that are cut at once, if one text is no longer.
+AT_ONCE = 1 << 24
+#: Bytes of UTF-8 as a cut sees them: ASCII letters in lower case, blanks for other ASCII signs than digits and "_".
+SEEN = bytes(c if c >= 128 or c == 95 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
+#: An ASCII word that no other letter, digit or "_" touches.
+ALONE = re.compile(r"(?<!\w)[a-z0-9]++(?!\w)")
 #: Words that are in nearly every English text.
 STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 
@@ -55,19 +63,15 @@ def terms(text: Column, stop: list[str] = STOP) -> Column:
     return F.transform(F.filter(X.tokens(text), lambda t: ~t.isin(stop)), stem)
 
 
-def _alone(text: Column) -> Column:
-    """The tokens() of a text between blanks: one pass over it, and no look at each token."""
-    word = r"[\p{L}\p{N}_]"
-    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{word})[a-z0-9]++(?!{word})"), 0), " ")
-
-
 def stemmed(token: str) -> str:
     """What stem() makes of a token."""
+    if not token.endswith("s"):
+        return token
     if token.endswith("ies"):
         return token if token[-4:-3] in ("", "a", "e") else token[:-3] + "y"
     if token.endswith("es"):
         return token if token[-3:-2] in ("", "a", "e", "o") else token[:-1]
-    return token[:-1] if token.endswith("s") and token[-2:-1] not in ("", "u", "s") else token
+    return token if token[-2:-1] in ("", "u", "s") else token[:-1]
 
 
 def _put_together(terms, codes, columns):
@@ -100,41 +104,74 @@ def _together(batches):
         yield put(kept)
 
 
+def _between_blanks(texts):
+    """Texts -> what stands between blanks once bytes are as SEEN has them, for all texts; how many of these each text has."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ends = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    raw = texts.buffers()[2] or b""
+    first = np.frombuffer(texts.buffers()[1], np.int32, 1, 4 * texts.offset)[0]
+    seen = bytes(memoryview(raw)[first : first + ends[-1]]).translate(SEEN)
+    found = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(seen)))
+    return found.flatten(), pc.list_value_length(found).to_numpy()
+
+
+def _postings(ids, texts, place: dict, stop: frozenset):
+    """Place of the term, doc_id, tf and n of each posting of some texts, by term; `place` gets the terms that are new to it."""
+    tokens, lengths = _between_blanks(texts)
+    tokens = tokens.dictionary_encode()
+    flat, ends = [], [0]  # the terms of each different token: mostly one, several where words stand between other than ASCII signs
+    for token in tokens.dictionary.cast("binary").to_numpy(zero_copy_only=False):
+        for word in [token.decode()] if token.isalnum() else ALONE.findall(token.decode(errors="replace").lower()):
+            if word not in stop:
+                flat.append(place.setdefault(stemmed(word), len(place)))
+        ends.append(len(flat))
+    flat, ends, which = np.array(flat, np.int64), np.array(ends), tokens.indices.to_numpy()
+    times = np.diff(ends)[which]
+    doc = np.repeat(np.repeat(np.arange(len(ids)), lengths), times)
+    term = flat[np.repeat(ends[which] - (np.cumsum(times) - times), times) + np.arange(len(doc))]
+    n = np.bincount(doc, minlength=len(ids))
+    pairs = np.sort(term * len(ids) + doc)
+    new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+    term, doc = np.divmod(pairs[new], len(ids))
+    tf = np.diff(np.append(new, len(pairs)))
+    join = lambda x, y, kind: np.concatenate([x, y]).astype(kind)
+    none = np.zeros(len(ids))
+    return join(none, term, np.int32), join(ids, ids[doc], np.int64), join(none, tf, np.int32), join(n, n[doc], np.int32)
+
+
 def _counted(stop: list[str]):
-    """doc_id and tokens between blanks -> rows of postings; each document has one without a term as well, which stands for it.
-    A token is looked at once for many documents."""
+    """doc_id and text -> rows of postings; each document has one without a term as well, which stands for it. Texts are cut and
+    counted as arrays: Python looks at a token once for some megabytes of text, not in each document."""
     stop = frozenset(stop)
 
+    def parts(batches):
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            ends, start = np.append(0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))), 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] + AT_ONCE, "right")) - 1)
+                yield batch.column(0)[start:end].to_numpy(), batch.column(1)[start:end].cast("string")
+                start = end
+
     def count(batches):
         import pyarrow as pa
 
         def put():
-            return _put_together(pa.array(place, pa.string()), np.array(codes), [np.repeat(np.concatenate(ids), many), np.array(tfs), np.repeat(sizes, many)])
-
-        place: dict[str | None, int] = {}
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                if not place:
-                    place, seen, codes, tfs, ids, sizes, many = {None: 0}, {}, [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    found, n = {0: 0}, 0
-                    for token, times in Counter(text.split(" ") if text else ()).items():
-                        code = seen.get(token)
-                        if code is None:
-                            code = seen[token] = -1 if token in stop else place.setdefault(stemmed(token), len(place))
-                        if code >= 0:
-                            n += times
-                            found[code] = found.get(code, 0) + times
-                    codes += found
-                    tfs += found.values()
-                    sizes.append(n)
-                    many.append(len(found))
-                ids.append(part.column(0).to_numpy())
-                if len(codes) >= TOGETHER:
-                    yield put()
-                    place = {}
-        if place:
+            codes, *columns = map(np.concatenate, zip(*kept))
+            return _put_together(pa.array(place, pa.string()), codes, columns)
+
+        place: dict[str | None, int] = {None: 0}
+        kept, many = [], 0
+        for ids, texts in parts(batches):
+            kept.append(_postings(ids, texts, place, stop))
+            many += len(kept[-1][0])
+            if many >= TOGETHER:
+                yield put()
+                place, kept, many = {None: 0}, [], 0
+        if many:
             yield put()
 
     return count
@@ -174,6 +211,8 @@ class TextIndex:
     def _write(self, name: str, rows: DataFrame, generation: int, batch: int) -> None:
         writer = rows.drop("batch").write.mode("overwrite").option("compression", "zstd")
         if name == "postings":
+            for nearly_all_differ in ("term", "doc_ids.list.element"):
+                writer = writer.option(f"parquet.enable.dictionary#{nearly_all_differ}", "false")
             writer = writer.partitionBy("folder")
         writer.parquet(f"{self.path}/{generation}/{name}/batch={batch}")
 
@@ -209,7 +248,7 @@ class TextIndex:
             raise ValueError("a document is in the batch twice")
         leave = docs.select("doc_id") if deleted is None else docs.select("doc_id").unionByName(deleted.select("doc_id")).distinct()
         off = self._live(self._read("docs", at, batch - 1), self._read("gone", at, batch - 1)).join(leave, "doc_id", "left_semi")
-        cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _alone(F.coalesce(F.col("text"), F.lit(""))))
+        cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")))
         postings = cut.mapInArrow(_counted(self.stop), _ROWS)
         self._store(postings, off.select("doc_id"), off, at, batch)
         return batch

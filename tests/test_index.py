@@ -111,3 +111,44 @@ def test_a_common_term_makes_few_rows(spark, tmp_path):
         assert index._read("postings", generation).count() <= 3 * 8
         assert index.all_of(["common word"]).count() == 3000 and index._read("docs", generation).count() == 3000
         index.compact()
+
+
+def test_texts_cut_in_parts_have_the_terms_of_the_text(spark, tmp_path, monkeypatch):
+    """However few bytes are cut at once, and where bytes are no UTF-8."""
+    monkeypatch.setattr(I, "AT_ONCE", 60)
+    monkeypatch.setattr(I, "TOGETHER", 50)
+    odd = ODD + ["cats—dogs…birds s x", "end cats", " cats", "cats\x00dogs\x1fÅb", "É" * 40 + " cat"]
+    rows = [(i, odd[i % len(odd)]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(spark.sql("SELECT 80L, CAST(x'63617473ff20646f6773' AS string)")).repartition(2)
+    told = {r["doc_id"]: r["t"] for r in docs.select("doc_id", I.terms(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    want = {(t, d, n, len(ts)) for d, ts in told.items() for t, n in [(None, 0), *Counter(ts).items()]}
+    index = I.TextIndex(spark, str(tmp_path / "i"))
+    index.update(docs)
+    got = [tuple(r)[:4] for r in index._each(index._read("postings", 0)).collect()]
+    assert len(got) == len(want) and {*got} == want
+
+
+def test_work_in_python_is_done_once_for_a_term(monkeypatch):
+    """Lines of Python that run grow with the different terms of some megabytes of text, not with the postings."""
+    import sys
+
+    import pyarrow as pa
+
+    def lines(docs):
+        ran = [0]
+
+        def trace(frame, event, arg):
+            ran[0] += event == "line"
+            return trace
+
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(docs), pa.int64()), "text": [" ".join(f"word{i}" for i in range(100))] * docs})
+        before = sys.gettrace()
+        sys.settrace(trace)
+        try:
+            out = list(I._counted([])([batch]))
+        finally:
+            sys.settrace(before)
+        assert sum(len(x["doc_ids"].flatten()) for x in out) == 101 * docs
+        return ran[0]
+
+    assert lines(1000) < 2 * lines(10)
