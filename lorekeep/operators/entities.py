@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,8 +93,107 @@ def with_score(pairs: DataFrame, a: str, b: str, measure=name_score) -> DataFram
     return pairs.withColumn("name_score", score(F.col(a), F.col(b)))
 
 
+def _told(name: str) -> tuple[str, str, tuple[str, ...], tuple[str, ...]]:
+    """The tokens in order, the distinct ones in order, and what a name meets another by, as the left one and as the right one: if
+    nothing of it is shared, no token, initial or form of a first name is."""
+    tokens, dotless = name.split(), name.replace(".", " ").split()
+    wide = {*tokens, *dotless}.union(*(_FORMS.get(t, ()) for t in tokens))
+    left = (*wide, *(f"{x}*" for x in dotless if len(x) == 1))
+    return " ".join(sorted(tokens)), " ".join(sorted({*tokens})), left, (*wide, *{f"{y[0]}*" for y in dotless})
+
+
+def _common(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences, a row for each of ys, by bit-parallel rows of all xs (64 letters at most) at once.
+    In the order of ys each begins with the rows of the letters that it shares with the one before."""
+    codes = np.array(xs, "U")
+    codes = codes.view(np.uint32).reshape(len(xs), -1) if codes.dtype.itemsize else np.zeros((len(xs), 0), np.uint32)
+    kind = np.uint32 if codes.shape[1] <= 32 else np.uint64
+    hits = {}
+    for c in {*"".join(ys)}:
+        hits[c] = np.zeros(len(xs), kind)
+        for i in range(codes.shape[1]):
+            hits[c] |= (codes[:, i] == ord(c)).astype(kind) << kind(i)
+    rows = np.empty((max(map(len, ys), default=0) + 1, len(xs)), kind)
+    rows[0] = np.iinfo(kind).max
+    hit, out, before = np.empty(len(xs), kind), np.empty((len(ys), len(xs)), np.uint8), ""
+    for k in sorted(range(len(ys)), key=ys.__getitem__):
+        y, same = ys[k], 0
+        while same < min(len(y), len(before)) and y[same] == before[same]:
+            same += 1
+        for d in range(same, len(y)):
+            np.bitwise_and(rows[d], hits[y[d]], out=hit)
+            np.add(rows[d], hit, out=rows[d + 1])
+            np.subtract(rows[d], hit, out=hit)
+            rows[d + 1] |= hit
+        out[k], before = np.bitwise_count(~rows[len(y)]), y
+    return out
+
+
+def name_scores(left: list[str], right: list[str], known: dict | None = None) -> np.ndarray:
+    """name_score of each of left (a row) with each of right. Names that share no token, initial or form are scored by their longest
+    common subsequences, all at once; the others, and what is longer than 64 letters, one by one. `known` keeps what some thousand
+    names are told by from call to call."""
+    known = {} if known is None else known
+    if len(known) > 1 << 14:
+        known.clear()
+    best = np.zeros((len(right), len(left)))
+    hard = [[k for k, x in enumerate(names) if len(x) > 64 or "\0" in x] for names in (left, right)]
+    if any(hard):
+        easy = [sorted({*range(len(names))}.difference(h)) for names, h in zip((left, right), hard)]
+        best[np.ix_(easy[1], easy[0])] = name_scores([left[i] for i in easy[0]], [right[j] for j in easy[1]], known).T
+        for i, j in {*((i, j) for i in hard[0] for j in range(len(right))), *((i, j) for j in hard[1] for i in range(len(left)))}:
+            best[j, i] = name_score(left[i], right[j])
+    if any(hard) or not best.size:
+        return best.T
+    a, b = ([known[x] if x in known else known.setdefault(x, _told(x)) for x in names] for names in (left, right))
+    forms = [(left, right), ([x[0] for x in a], [y[0] for y in b]), ([x[1] for x in a], [y[1] for y in b])]
+    for k, (xs, ys) in enumerate(forms):
+        if k and (xs, ys) == forms[k - 1]:
+            continue
+        both = np.add.outer(np.fromiter(map(len, ys), float, len(ys)), np.fromiter(map(len, xs), float, len(xs)))
+        with np.errstate(invalid="ignore"):
+            ratio = np.multiply(_common(xs, ys), 2.0) / both
+        if k == 0:
+            ratio[both == 0] = 1.0
+        np.fmax(best, ratio, out=best)
+    where: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        for key in y[3]:
+            where.setdefault(key, []).append(j)
+    for i, x in enumerate(a):
+        met = {j for key in x[2] if key in where for j in where[key]}
+        for j in met:
+            best[j, i] = name_score(left[i], right[j])
+    return best.T
+
+
+def _with_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known: dict = {}
+        for x, y in batches:
+            y = y.fill_null([]) if y.null_count else y
+            names, sizes, flat = x.to_pylist(), y.value_lengths().to_numpy(zero_copy_only=False), y.flatten()
+            ends = np.cumsum(sizes)
+            out = np.empty(len(flat))
+            at, sames = 0, []
+            for i in range(1, len(names) + 1):  # neighbours that meet the same names
+                if i == len(names) or not flat.slice(ends[i] - sizes[i], sizes[i]).equals(flat.slice(ends[at] - sizes[at], sizes[at])):
+                    sames.append((at, i))
+                    at = i
+            for i, j in sames:
+                if sizes[i]:
+                    others = flat.slice(ends[i] - sizes[i], sizes[i]).to_pylist()
+                    out[ends[i] - sizes[i] : ends[j - 1]] = name_scores([n or "" for n in names[i:j]], [n or "" for n in others], known).ravel()
+            yield pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
+
+    return pairs.withColumn("name_score", score(F.col(a), F.col(b)))
+
+
 def with_name_score(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return with_score(pairs, a, b)
+    """Adds name_score. Where b is an array of names, the scores are one too: many at once, most of all where rows with equal arrays
+    come one after another."""
+    return _with_scores(pairs, a, b) if pairs.schema[b].dataType.typeName() == "array" else with_score(pairs, a, b)
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.85) -> DataFrame:

@@ -213,16 +213,35 @@ def event_types(spark, sf):
     return T.events_of(S.NEWS.frame(spark, sf), "text").select("doc_id", "event_type")
 
 
+#: Rows of a nation's suppliers (by name) that a customer's name meets at once, rows of one name that are kept together, and parts of a
+#: nation's customers.
+NAMES_AT_ONCE, ROWS_AT_ONCE, PARTS = 128, 128, 16
+
+
 @_q()
 def fuzzy_customer_pairs(spark, sf):
-    """Names of all customers and suppliers that share a nation; a nation's different names are scored once, in Arrow batches, whatever
-    the number of customers and suppliers that have them."""
+    """Names of all customers and suppliers that share a nation; a nation's different names are scored once, blocks of suppliers' names
+    with many customers' at once. Names carry the keys of their rows, so no pair is shuffled: pairs leave the join that made them."""
     name = lambda c: F.coalesce(X.normalise_name(F.col(c)), F.lit(""))
-    c = _spread(_t(spark, sf, "customer")).select("c_custkey", F.col("c_nationkey").alias("_n"), name("c_name").alias("a"))
-    s = _spread(_t(spark, sf, "supplier")).select("s_suppkey", F.col("s_nationkey").alias("_n"), name("s_name").alias("b"))
-    pairs = c.select("_n", "a").distinct().repartition(4 * spark.sparkContext.defaultParallelism).join(s.select("_n", "b").distinct(), "_n")
-    scored = E.with_name_score(pairs, "a", "b").withColumn("name_score", F.round("name_score", 6))
-    return scored.join(s, ["_n", "b"]).join(c, ["_n", "a"]).select("c_custkey", "s_suppkey", "name_score")
+    nth = lambda *part, by: F.row_number().over(Window.partitionBy(*part).orderBy(*by)) - 1
+    c = _spread(_t(spark, sf, "customer")).where("c_nationkey is not null").select("c_custkey", F.col("c_nationkey").alias("_n"), name("c_name").alias("a"))
+    s = _spread(_t(spark, sf, "supplier")).where("s_nationkey is not null").select("s_suppkey", F.col("s_nationkey").alias("_n"), name("s_name").alias("b"))
+    c = c.withColumn("_k", F.floor(nth("_n", "a", by=["c_custkey"]) / ROWS_AT_ONCE)).groupBy("_n", "a", "_k").agg(F.collect_list("c_custkey").alias("_c")).drop("_k")
+    s = s.withColumn("_k", F.floor(nth("_n", by=["b", "s_suppkey"]) / NAMES_AT_ONCE)).groupBy("_n", "_k", "b").agg(F.collect_list("s_suppkey").alias("_s"))
+    s = s.groupBy("_n", "_k").agg(F.array_sort(F.collect_list(F.struct("b", "_s"))).alias("_b"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    blocks = s.select("_n", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_p"), F.col("_b.b").alias("b"), F.col("_b._s").alias("_s")).repartition(tasks, "_n", "_p")
+    c = c.withColumn("_p", F.pmod(F.xxhash64("a", F.col("_c")[0]), F.lit(PARTS)).cast("int")).repartition(tasks, "_n", "_p")
+    pairs = blocks.join(c.hint("merge"), ["_n", "_p"])  # for each block all its customers, one after another
+    scored = E.with_name_score(pairs.select("a", "b", "_c", "_s"), "a", "b")
+    rows = scored.select(F.explode("_c").alias("c_custkey"), "_s", "name_score").select("c_custkey", "_s", F.posexplode("name_score").alias("_i", "_score"))
+    return rows.select("c_custkey", F.explode(F.col("_s")[F.col("_i")]).alias("s_suppkey"), _to_millionths(F.col("_score")).alias("name_score"))
+
+
+def _to_millionths(x):
+    """round(x, 6) of numbers from 0 to 1; decimals are made only near the half where binary fractions might fall on the wrong side."""
+    part = x * 1e6 - F.floor(x * 1e6)
+    return F.when(F.abs(part - 0.5) > 1e-6, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(F.round(x, 6))
 
 
 @example(

@@ -117,3 +117,12 @@ def test_short_names_have_no_keys_of_letters(spark, monkeypatch):
     table = spark.createDataFrame([*rows, (500, rows[3][1]), (501, None), (502, "")], "id long, name string")
     want = {(a, b) for a, x in [*rows, (500, rows[3][1])] for b, y in [*rows, (500, rows[3][1])] if a < b and x == y}
     assert (3, 500) in want and {(r["a"], r["b"]) for r in names.within(table, 0.98).collect()} == want
+
+
+def test_many_names_are_scored_as_one_by_one():
+    """Blocks of names get the very scores of pairs: shared and repeated tokens, initials, first names, marks, long and empty names."""
+    told = ["", "a", "j smith", "john smith", "jon smyth", "johnny b. goode", "b.goode j", "bob bob", "robert", "acme acme corp", "corp acme", "zoë \U0001f600 x", "x y", "  odd   blanks ", ".", "a.b", "nul\0", "customer 000000012", "supplier 000000012", "supplier 000000013", "q" * 32, "q" * 33, "r" * 63 + "s", "ab " * 21, "ab " * 22, "long " * 40, "lo ng" * 30]
+    random.seed(5)
+    told += ["".join(random.choice("ab .") for _ in range(random.randint(0, 12))) for _ in range(60)]
+    for left, right in ((told, told[::-1]), (told[:3], told), ([], told), (told, []), ([""], ["", "b"]), (["customer 1", "customer 22"], ["supplier 3", "supplier 35"])):
+        assert entities.name_scores(left, right).tolist() == [[entities.name_score(a, b) for b in right] for a in left]

@@ -102,6 +102,18 @@ def test_copies_of_names_are_scored_once(spark, tmp_path, monkeypatch):
     assert seen == [6]  # of 900
 
 
+def test_scored_pairs_are_not_shuffled(spark, tmp_path):
+    """Pairs of different names leave the join that made them: nothing is joined or exchanged above the scores."""
+    spark.createDataFrame([(i, 7, f"Acme {i}") for i in range(9)], "c_custkey long, c_nationkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, 7, f"Zenith {i}") for i in range(300)], "s_suppkey long, s_nationkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = registry.QUERIES["fuzzy_customer_pairs"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("ArrowEvalPython")]
+    assert "Join" not in above and "Repartition" not in above
+    got = {(r["c_custkey"], r["s_suppkey"]): r["name_score"] for r in found.collect()}
+    assert got == {(c, s): round(name_score(f"acme {c}", f"zenith {s}"), 6) for c in range(9) for s in range(300)}
+
+
 def test_a_text_is_lower_cased_once_for_each_bank_of_words(spark):
     rows = spark.createDataFrame([(1, "Board risk", 0.5, 3, "email", ["x"], "x")], "doc_id long, text string, relevance double, age_days int, source_type string, relationships array<string>, about string")
     plan = ranked_by(rows, "doc_id", ["company", "risk"], ["x"], 0.0)._jdf.queryExecution().optimizedPlan().toString()
